@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +18,16 @@ from .common import prepare, shared_folder, width
 END_ID = 0
 #: Ids of one shard at least, but for the last one of a partition; bounds the memory of a task.
 SHARD_IDS = 2_000_000
-#: Distinct pieces of text whose ids a worker keeps.
-KEPT = 700_000
+#: Distinct pieces of text, and words, in each of two generations whose ids a worker keeps.
+KEPT = 400_000
 #: Before a plain space these make a longer run of white space, which is not cut at that space.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 SHARD = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("shard", pa.binary())])
+#: Texts of these alone mean the same to the pattern's and the library's character classes.
+COMMON = re.compile("[!-~¡-ɏ\\n]+")
+#: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
 _TOKENIZERS: dict = {}
 
 
@@ -40,26 +47,62 @@ class Pieces:
     def __init__(self, path: str):
         import os
 
+        import public_tokenizers
+        import regex
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str], before: str) -> dict[str, bytes]:
-        got = self.tokenizer.encode_batch_fast([before + p for p in pieces], add_special_tokens=False)
-        return {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(pieces, got, strict=True)}
+        self.older: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of the pre-tokenizer, by the library's own merges."""
+        got = self.words.get(word) or self.older_words.get(word)
+        if got is None:
+            got = array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
+        self.words[word] = got
+        return got
+
+    def _learn(self, texts: list[str], before: str) -> dict[str, bytes]:
+        """Ids of each text after `before`. Texts of common characters are cut into the pre-tokenizer's words, by its
+        public pattern where they aren't letters only, or letters and one more sign, so that words seen before with
+        other signs beside them aren't merged again."""
+        out, word = {}, self._word
+        for t in texts:
+            if not COMMON.fullmatch(t):
+                out[t] = self._ids(before + t).tobytes()
+            elif t.isalpha():
+                out[t] = word(before + t)
+            elif t[-1] in ".,;:!?" and t[:-1].isalpha():
+                out[t] = word(before + t[:-1]) + word(t[-1])
+            else:
+                out[t] = b"".join(map(word, self.pattern.findall(before + t)))
+        if len(self.words) > KEPT:
+            self.words, self.older_words = {}, self.words
+        return out
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed integers of self.kind."""
         if len(self.known) > KEPT:
-            self.known = {}
+            self.known, self.older = {}, self.known
         odd = [any(w + " " in t for w in BLANKS) for t in texts]
         split = [[] if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
         new = {p for s in split for p in s[1:]}.difference(self.known)
-        self.known.update(self._learn(list(new), " "))
+        old = {p: self.older[p] for p in new if p in self.older}
+        self.known.update(old)
+        self.known.update(self._learn([p for p in new if p not in old], " "))
         first = self._learn([s[0] if s else t for s, t in zip(split, texts, strict=True)], "") if texts else {}
         get = self.known.__getitem__
         return [first[t] if o else first[s[0]] + b"".join(map(get, s[1:])) for t, o, s in zip(texts, odd, split, strict=True)]
