@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses
+from .ann import nearest
 from .common import table
+from .licenses import license_scan
 from .mixing import mixture
 from .quality import quality_scores
 from .simhash import near_duplicates
@@ -29,10 +32,20 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_source_mix": op7_source_mix,
     "op8_token_output": op8_token_output,
+    "op9_nearest_vectors": op9_nearest_vectors,
+    "op10_license_scan": op10_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql()}
