@@ -16,13 +16,13 @@ from .common import prepare, stage, width
 MAX_SAMPLE = 20_000
 MAX_LISTS = 1024
 #: Part of the lists that a query looks into, and the least number of vectors in them.
-PROBED, LEAST = 0.25, 400
+PROBED, LEAST = 0.55, 400
 #: Dimensions of a subspace and codes of its book (4 bits).
-SUB, CODES = 4, 16
+SUB, CODES = 2, 16
 #: Cosine from which errors along a vector are made to matter more than errors across it.
 AIM = 0.3
 #: Vectors and queries of one scan, and candidates of a scan that are scored exactly.
-CHUNK, QUERIES, RERANKED = 8192, 512, 60
+CHUNK, QUERIES, RERANKED = 8192, 512, 80
 
 
 @dataclass
@@ -79,7 +79,7 @@ def train(unit: np.ndarray, total: int, rounds: int = 4) -> Index:
     """Centroids and score-aware codebooks from unit vectors: codes and books are improved in turn."""
     rng = np.random.default_rng(5)
     dim = unit.shape[1]
-    k = int(np.clip(np.sqrt(total) / 2, 1, min(MAX_LISTS, max(1, len(unit) // 16))))
+    k = int(np.clip(np.sqrt(total), 1, min(MAX_LISTS, max(1, len(unit) // 16))))
     centroids = _means(unit, k, rng, True)
     weight = max(1.0, (dim - 1) * AIM**2 / (1 - AIM**2))
     x, base = _split(unit), _split(centroids[np.argmax(unit @ centroids.T, axis=1)])

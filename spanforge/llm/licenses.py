@@ -85,10 +85,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
     table = docs.sparkSession.createDataFrame(known, "place int, text string").select("place", _digest(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("place").alias("place"))
     clean = docs.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("text"))
     unit = lambda whole: lambda part: F.struct(F.lit(whole).alias("whole"), _digest(part).alias("digest"))
-    parts = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n *\n")))
+    parts = F.array_distinct(F.concat(F.split(F.col("text"), "\n"), F.split(F.col("text"), "\n *\n")))
     units = clean.select("doc_id", F.explode(F.concat(F.array(unit(True)(F.col("text"))), F.transform(F.filter(parts, lambda p: F.trim(p) != ""), unit(False)))).alias("u")).select("doc_id", "u.*")
     found = units.join(F.broadcast(table), "digest", "left")
-    by = found.groupBy("doc_id").agg(F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"), F.max(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("place"))).alias("bits"))
+    by = found.groupBy("doc_id").agg(F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"), F.max(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.expr("bit_or(shiftleft(1L, place))").alias("bits"))
     names = F.array(*map(F.lit, NAMES))
     named = F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, F.lit(n)) for k, n in enumerate(NAMES)])
     return by.select("doc_id", "canonical_sha256", F.get(names, F.col("whole")).alias("document_license"), F.array_join(F.array_compact(named), ",").alias("licenses"))
