@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import licenses
 from .ann import nearest
+from .chunks import deduplicated_text
 from .common import table
 from .licenses import license_scan
 from .mixing import mixture
@@ -20,6 +21,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated_text(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_chunk_dedup": op4_chunk_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_source_mix": op7_source_mix,
     "op8_token_output": op8_token_output,
