@@ -14,6 +14,7 @@ from .licenses import license_scan
 from .mixing import mixture
 from .quality import quality_scores
 from .simhash import near_duplicates
+from .suffix import without_repeats
 from .tokens import token_digests
 
 
@@ -29,6 +30,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"), digests_only=True)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents")).drop("source")
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_chunk_dedup": op4_chunk_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_source_mix": op7_source_mix,
     "op8_token_output": op8_token_output,
     "op9_nearest_vectors": op9_nearest_vectors,
