@@ -10,6 +10,7 @@ from . import licenses
 from .ann import nearest
 from .chunks import deduplicated_text
 from .common import table
+from .decontam import leaks
 from .licenses import license_scan
 from .mixing import mixture
 from .quality import quality_scores
@@ -18,6 +19,10 @@ from .suffix import without_repeats
 from .tokens import token_digests
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +56,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_leaks": op1_benchmark_leaks,
     "op3_quality_rules": op3_quality_rules,
     "op4_chunk_dedup": op4_chunk_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
