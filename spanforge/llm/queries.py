@@ -12,6 +12,7 @@ from .chunks import deduplicated_text
 from .common import table
 from .decontam import leaks
 from .licenses import license_scan
+from .lines import line_report
 from .mixing import mixture
 from .quality import quality_scores
 from .simhash import near_duplicates
@@ -23,6 +24,10 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +62,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_leaks": op1_benchmark_leaks,
+    "op2_fuzzy_line_dedup": op2_fuzzy_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_chunk_dedup": op4_chunk_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
