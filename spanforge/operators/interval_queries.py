@@ -316,7 +316,7 @@ def i37(spark: SparkSession, d: str) -> DataFrame:
     return got.select("user_id", "id", F.when(F.col("x").isNotNull(), "gap").when(F.col("y").isNotNull(), "pause").otherwise("speech").alias("class"), F.coalesce("x", "y").alias("by_id"))
 
 
-@query("i38_frame_pick", f"""SELECT t.user_id, t.target, max_by(p.event_id, (p.us, p.event_id)) AS frame, coalesce(max(p.us) + {12 * HOUR} > t.target, false) AS fresh
+@query("i38_frame_pick", f"""SELECT t.user_id, t.target, max_by(p.event_id, (p.us, p.event_id)) AS frame, coalesce(max(p.us + {12 * HOUR} - t.target) > 0, false) AS fresh
 FROM (SELECT user_id, unnest(range(lo, hi + 1, {24 * HOUR})) AS target FROM (SELECT user_id, min(us) AS lo, max(us) AS hi FROM pts GROUP BY user_id)) t LEFT JOIN pts p ON p.user_id = t.user_id AND p.kind = 'view' AND p.us <= t.target GROUP BY ALL""", (POINTS,))
 def i38(spark: SparkSession, d: str) -> DataFrame:
     """On a daily grid from each user's first event, the last view, and whether it is less than twelve hours old."""
