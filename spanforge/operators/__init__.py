@@ -1,3 +1,3 @@
 """Operators as DataFrame transforms; importing this package registers their queries."""
 
-from . import interval_queries, ledger, segments, signal, textsearch  # noqa: F401
+from . import documents, evaluation, interval_queries, ledger, segments, signal, textsearch  # noqa: F401
