@@ -18,6 +18,8 @@ SHINGLE, SIMILAR = 8, 0.8
 #: Two lines at similarity 0.8 share one of 12 bands of 4 minima with a chance of 0.998, more similar ones sooner.
 BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
+#: Lines of one key that meet by pairs.
+FEW = 8
 #: Lines of one band that meet in one task at most; more are dealt by pairs of blocks.
 MOST = 4000
 
@@ -110,14 +112,30 @@ def _keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose key another line has too, with the number of lines that have it."""
+    """What is to meet: the lines of a key that many have, with their number; of a key that few have each pair, under a
+    key of its own, so that a pair which shares several bands is looked at once."""
     got = list(it)
-    if got:
-        t = pa.Table.from_batches(got)
-        keys, ids = t.column("key").to_numpy(), t.column("id").to_numpy()
-        _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        n = counts[inverse]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1]), pa.array(ids[n > 1]), pa.array(n[n > 1].astype(np.int32))], names=["key", "id", "n"])
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    keys, ids = t.column("key").to_numpy().view(np.uint64), t.column("id").to_numpy()
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, len(keys)))
+    n = np.repeat(sizes, sizes)
+    many, few = n > FEW, np.flatnonzero((n > 1) & (n <= FEW))
+    out = [(keys[many], ids[many], n[many])]
+    k, i = keys[few], ids[few]
+    with np.errstate(over="ignore"):
+        for d in range(1, min(FEW, len(k))):
+            at = np.flatnonzero(k[d:] == k[:-d])
+            a, b = i[at], i[at + d]
+            pair = (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+            out += [(pair, a, np.full(len(a), 2)), (pair, b, np.full(len(a), 2))]
+    keys, ids, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    _, first = np.unique(np.stack([keys, ids.view(np.uint64)], 1), axis=0, return_index=True) if len(keys) else (None, np.zeros(0, int))
+    yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(ids[first]), pa.array(n[first].astype(np.int32))], names=["key", "id", "n"])
 
 
 def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +167,7 @@ def line_links(lines: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     split = shared.withColumn("other", F.explode(F.when(F.col("n") <= MOST, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), blocks - 1))))
     key = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least(block, "other"), F.greatest(block, "other")))
-    wanted = split.select("id", key.alias("key")).groupBy("id").agg(F.collect_list("key").alias("keys"))
+    wanted = split.select("id", key.alias("key")).groupBy("id").agg(F.collect_set("key").alias("keys"))
     met = lines.join(wanted, "id").select(F.explode("keys").alias("key"), "id", "line")
     return met.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
 
