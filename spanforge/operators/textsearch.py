@@ -205,7 +205,7 @@ def t12(spark: SparkSession, d: str) -> DataFrame:
     return ranked(_hits(spark, d), KEYS).groupBy(*KEYS).agg(F.when(sure, "sure").otherwise("ask").alias("confidence"))
 
 
-@query("t13_accent_search")
+@query("t13_accent_search", "SELECT conv_id, pos, coalesce(lead(pos) OVER (PARTITION BY conv_id ORDER BY pos), min(pos) OVER (PARTITION BY conv_id)) AS next FROM turns WHERE contains(strip_accents(lower(text)), 'etre')", (TURNS,))
 def t13(spark: SparkSession, d: str) -> DataFrame:
     """Turns that hold `etre` whatever the marks, and the next such turn of the conversation, after the last the first."""
     t = turns(spark, d).where(decomposed("text").contains("etre")).select("conv_id", "pos")
@@ -241,7 +241,7 @@ def t15(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d).select("conv_id", "pos", wrap("text").alias("lines"))
 
 
-@query("t16_parsed_subtitles")
+@query("t16_parsed_subtitles", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos)::INTEGER - 1 AS block, pos * 5000 AS start_ms, pos * 5000 + 4000 AS end_ms, role AS cue, CAST(NULL AS VARCHAR) AS problem FROM turns", (TURNS,))
 def t16(spark: SparkSession, d: str) -> DataFrame:
     """The subtitles of t18, read back."""
     return subtitles(t18(spark, d), ["conv_id"], "srt")
@@ -302,7 +302,7 @@ def t23(spark: SparkSession, d: str) -> DataFrame:
     return got.select("user_id", "event_id", "other", F.when(F.expr("v = v_b AND us = us_b"), "exact").when(F.expr("kind = kind_b"), "likely").otherwise("mismatch").alias("match"))
 
 
-@query("t24_normalised_words")
+@query("t24_normalised_words", r"SELECT conv_id, pos, trim(regexp_replace(lower(nfc_normalize(text)), '[^\p{L}\p{N}'']+', ' ', 'g')) AS words FROM turns", (TURNS,))
 def t24(spark: SparkSession, d: str) -> DataFrame:
     """Words for scoring: composed letters, lower case, no signs, single spaces."""
 
