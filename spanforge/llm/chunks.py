@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, texts_of, width
+from .common import prepare, texts_of, trimmed, width
 from .spans import identity, lists_of, merged, without
 
 #: A cut has the greatest rolling hash within this many bytes to each side, so chunks have over REACH bytes, about
@@ -124,9 +124,9 @@ def chunk_repeats(docs: DataFrame) -> DataFrame:
     that agree in doc_id and text count as one document. Null texts read as empty.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", *identity(F.col("doc_id")))
-    chunks = rows.select("doc_id", "t1", "t2", "text").mapInArrow(_digested, _TYPES)
+    chunks = rows.select("doc_id", "t1", "t2", "text").mapInArrow(trimmed(_digested), _TYPES)
     home = F.when(F.col("d1").isNull(), F.col("t1")).otherwise(F.col("d1"))
-    gone = chunks.repartition(width(docs.sparkSession), home).mapInArrow(_repeats, "t1 long, t2 long, pos int, size int")
+    gone = chunks.repartition(width(docs.sparkSession), home).mapInArrow(trimmed(_repeats), "t1 long, t2 long, pos int, size int")
     packed = F.col("pos").cast("long") * (1 << 24) + F.col("size")
     by = gone.groupBy("t1", "t2").agg(F.collect_list(packed).alias("ranges"))
     return rows.join(by, ["t1", "t2"], "left").select("row", "text", "ranges")
@@ -155,4 +155,4 @@ def deduplicated_text(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.string())], names=["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = chunk_repeats(docs.select("doc_id", "text")).select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "ranges")
-    return rows.mapInArrow(cut, "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(trimmed(cut), "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, texts_of
+from .common import prepare, texts_of, trimmed
 
 #: Characters of a q-gram; longer items are looked for by windows, each STEP characters; edits for each character.
 Q, WINDOW, STEP, RATE = 10, 160, 80, 0.08
@@ -192,7 +192,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 4
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "n_windows", "edits"])
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, "doc_id long, item_id long, n_windows int, edits int")
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(search), "doc_id long, item_id long, n_windows int, edits int")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.min("edits").alias("edits"))
 
@@ -210,5 +210,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[t for t, *_ in held.value.matches(texts_of(b))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, schema)
+        docs = docs.mapInArrow(trimmed(clean), schema)
     return docs

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stage, width
+from .common import prepare, stage, trimmed, width
 from .graph import components
 from .spans import identity
 
@@ -162,14 +162,14 @@ def line_links(lines: DataFrame) -> DataFrame:
     similarity of SIMILAR or more do. Texts move only for lines that share a band. A band with over MOST lines is
     dealt by pairs of blocks of lines, so no task holds more than two blocks of one."""
     n = width(lines.sparkSession)
-    shared = lines.mapInArrow(_keys, "key long, id long").repartition(n, "key").mapInArrow(_shared, "key long, id long, n int")
+    shared = lines.mapInArrow(trimmed(_keys), "key long, id long").repartition(n, "key").mapInArrow(trimmed(_shared), "key long, id long, n int")
     blocks = F.ceil(F.col("n") / (MOST // 2)).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     split = shared.withColumn("other", F.explode(F.when(F.col("n") <= MOST, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), blocks - 1))))
     key = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least(block, "other"), F.greatest(block, "other")))
     wanted = split.select("id", key.alias("key")).groupBy("id").agg(F.collect_set("key").alias("keys"))
     met = lines.join(wanted, "id").select(F.explode("keys").alias("key"), "id", "line")
-    return met.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
+    return met.repartition(n, "key").sortWithinPartitions("key").mapInArrow(trimmed(_linked), "a long, b long")
 
 
 def _lines_of(docs: DataFrame) -> DataFrame:

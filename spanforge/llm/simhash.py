@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stage, texts_of, width
+from .common import prepare, stage, texts_of, trimmed, width
 from .graph import components, forest
 
 WORDS, SEED, BITS = 4, 42, 4
@@ -176,8 +176,8 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
             rows, keys = keys_of(fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(fp[rows])], names=["key", "fp"])
 
-    spread = prints.mapInArrow(keyed, "key long, fp long").repartition(width(spark), "key")
-    found = stage(spread.mapInArrow(lambda it: _links(it, MOST), "a long, b long, key long"))
+    spread = prints.mapInArrow(trimmed(keyed), "key long, fp long").repartition(width(spark), "key")
+    found = stage(spread.mapInArrow(trimmed(lambda it: _links(it, MOST)), "a long, b long, key long"))
     edges, late = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("fp"))
     if late.isEmpty():
         return edges
@@ -185,7 +185,7 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
     pairs = blocks.select("key", "fp", block.alias("g"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("h"))
     again = pairs.select(F.xxhash64("key", F.least("g", "h"), F.greatest("g", "h")).alias("key"), "fp").repartition(width(spark) * 4, "key")
-    return edges.unionByName(again.mapInArrow(lambda it: _links(it, None), "a long, b long, key long").select("a", "b"))
+    return edges.unionByName(again.mapInArrow(trimmed(lambda it: _links(it, None)), "a long, b long, key long").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints_of(texts_of(b)).view(np.int64))], names=["doc_id", "fp"])
 
-    rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prints, "doc_id long, fp long"))
+    rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(prints), "doc_id long, fp long"))
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(link_fingerprints(classes.select("fp")))
     of = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

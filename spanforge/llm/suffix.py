@@ -2,9 +2,8 @@
 
 No transform of the whole corpus is needed. Each string of LENGTH bytes has a key, the least hash of the GRAM-byte
 strings in it, so equal strings have equal keys; consecutive strings with one key make a segment. Keys with one segment
-only are dropped; the segments of the others meet by key, and one transform is built for the keys of a bounded number
-of bytes. Keys whose segments hold over HEAVY bytes don't meet: their strings are compared by 128-bit hashes, of which
-each task sends one per different string.
+only are dropped; the segments of the others meet by key, and one transform is built for some keys together. Keys whose
+segments hold over HEAVY bytes are too much for a transform; their strings are compared in cells, see below.
 """
 
 from __future__ import annotations
@@ -18,17 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeated_starts
-from .common import prepare, stage, texts_of, width
+from .common import prepare, stage, texts_of, trimmed, width
 from .spans import identity, lists_of, merged, without
 
 LENGTH, GRAM = 400, 128
 #: Bytes of one transform at least, and bytes of a key's segments at most, that meet in one task.
-BATCH, HEAVY = 1 << 20, 2 << 20
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-def _powers(base: int, n: int) -> list[np.uint64]:
-    return [np.uint64(pow(base, 1 << k, 1 << 64)) for k in range(n)]
+BATCH, HEAVY = 1 << 19, 1 << 20
+_BASE = 0x9E3779B97F4A7C15
 
 
 def hashes(b: np.ndarray, size: int, base: int) -> np.ndarray:
@@ -79,7 +74,7 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
         if len(b) < length:
             continue
         with np.errstate(over="ignore"):
-            h = hashes(b, gram, _BASES[0])
+            h = hashes(b, gram, _BASE)
         high, place = h & ~mask, np.arange(len(h), dtype=np.uint64)
         left = (_least(high | place, over) & mask).astype(np.int64)
         right = (mask - (_least(high | (mask - place), over) & mask)).astype(np.int64)
@@ -151,41 +146,100 @@ def _meeting(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c[n][out]) for n in ("key", "t1", "t2", "first", "last")], names=["key", "t1", "t2", "first", "last"])
 
 
-_PART = pa.schema([("key", pa.int64()), ("more", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary()), ("known", pa.bool_())])
-_PART_TYPES = "key long, more long, t1 long, t2 long, first int, bytes binary, known boolean"
+_PART_TYPES = "key long, t1 long, t2 long, first int, bytes binary"
 
 
 def _parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of segments that are to meet; hashes of the strings of heavy keys, each once a batch."""
+    """The bytes of segments that are to meet."""
     for b in it:
-        rows: list[tuple] = []
-        heavy: list[tuple] = []
+        rows = []
         for t1, t2, text, segs in zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), texts_of(b), b.column("segs").to_pylist(), strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            for s in segs or ():
-                part = data[s["first"] : s["last"] + LENGTH]
-                if s["heavy"]:
-                    heavy.append((t1, t2, s["first"], part))
-                else:
-                    rows.append((s["key"], None, t1, t2, s["first"], part, None))
-        if heavy:
-            with np.errstate(over="ignore"):
-                both = [[hashes(np.frombuffer(p, np.uint8), LENGTH, base) for *_, p in heavy] for base in _BASES]
-            n = [len(x) for x in both[0]]
-            h1, h2 = (np.concatenate(x) for x in both)
-            which, place = np.repeat(np.arange(len(n)), n), np.concatenate([np.arange(k) + h[2] for k, h in zip(n, heavy, strict=True)])
-            order = np.lexsort((place, which, h2, h1))
-            new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
-            alone = new & np.append(new[1:], True)
-            for i, is_new, is_alone in zip(order.tolist(), new.tolist(), alone.tolist(), strict=True):
-                t1, t2, *_ = heavy[which[i]]
-                if not is_alone:
-                    rows.append((int(t1), None, t1, t2, int(place[i]), None, True))
-                if is_new:
-                    rows.append((int(h1[i].astype(np.int64)), int(h2[i].astype(np.int64)), t1, t2, int(place[i]), None, False))
+            rows += [(s["key"], t1, t2, s["first"], data[s["first"] : s["last"] + LENGTH]) for s in segs]
         for k in range(0, len(rows), 2000):
             cols = list(zip(*rows[k : k + 2000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PART, strict=True)], schema=_PART)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["key", "t1", "t2", "first", "bytes"])
+
+
+# Heavy keys. Every string of LENGTH bytes of such a key holds the key's gram, its anchor. A cell is the strings of a
+# text that begin between `low` and `high` bytes before an anchor; `start` and `stop` are those that matter. Equal
+# strings are in like cells. If all bytes of a cell are those of another one, all its strings repeat. If the bytes that
+# its strings have in common are no other cell's, none does. Else it is parted. So a passage that a third of all
+# documents share costs each of them a few rows a round, and equal cells are counted by partial aggregation.
+
+_CELL = pa.schema([("key", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("anchor", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.int32()), ("bytes", pa.binary()), ("core", pa.binary()), ("full", pa.binary())])
+_CELL_TYPES = "key long, t1 long, t2 long, anchor int, low int, high int, start int, stop int, base int, bytes binary, core binary, full binary"
+PARTED = 4
+
+
+def _cell(key: int, t1: int, t2: int, anchor: int, low: int, high: int, start: int, stop: int, data: bytes, at: int) -> tuple | None:
+    """A cell from data, which begins `at` bytes into the text; None without strings that matter."""
+    start, stop = max(start, anchor - high), min(stop, anchor - low)
+    if start > stop:
+        return None
+    part = data[max(0, anchor - high - at) : anchor - low + LENGTH - at]
+    base = max(at, anchor - high)
+    mark = f"{key} {low} {high} ".encode()
+    core = hashlib.blake2b(mark + part[anchor - low - base : anchor - high + LENGTH - base], digest_size=16).digest()
+    whole = base == anchor - high and len(part) == high - low + LENGTH
+    return key, t1, t2, anchor, low, high, start, stop, base, part, core, hashlib.blake2b(mark + part, digest_size=16).digest() if whole else None
+
+
+def _as_cells(rows: list[tuple | None]) -> Iterator[pa.RecordBatch]:
+    rows = [r for r in rows if r]
+    for k in range(0, len(rows), 2000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 2000], strict=True), _CELL, strict=True)], schema=_CELL)
+
+
+def _parted(low: int, high: int) -> list[tuple[int, int]]:
+    step = -(-(high - low + 1) // PARTED)
+    return [(k, min(high, k + step - 1)) for k in range(low, high + 1, step)]
+
+
+def _first_cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mask = np.uint64((1 << 24) - 1)
+    for b in it:
+        rows = []
+        for t1, t2, text, segs in zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), texts_of(b), b.column("segs").to_pylist(), strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            for s in segs:
+                first, last = s["first"], s["last"]
+                for at in range(first, last + 1, 1 << 23):
+                    end = min(last, at + (1 << 23) - 1)
+                    with np.errstate(over="ignore"):
+                        h = hashes(np.frombuffer(data, np.uint8)[at : end + LENGTH], GRAM, _BASE)
+                    left = at + (_least(h & ~mask | np.arange(len(h), dtype=np.uint64), LENGTH - GRAM + 1) & mask).astype(np.int64)
+                    new = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
+                    for i, j in zip(new.tolist(), [*new[1:].tolist(), len(left)], strict=True):
+                        rows += [_cell(s["key"], t1, t2, int(left[i]), low, high, at + i, at + j - 1, data, 0) for low, high in _parted(0, LENGTH - GRAM)]
+        yield from _as_cells(rows)
+
+
+def _next_cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        rows = []
+        for r in b.to_pylist():
+            rows += [_cell(r["key"], r["t1"], r["t2"], r["anchor"], low, high, r["start"], r["stop"], r["bytes"], r["base"]) for low, high in _parted(r["low"], r["high"])]
+        yield from _as_cells(rows)
+
+
+def _heavy_ranges(cells: DataFrame) -> list[DataFrame]:
+    """t1, t2, range of the strings of cells that repeat, by rounds of parting."""
+    out = []
+    while True:
+        cells = stage(cells)
+        row = F.struct(*[F.col(n) for n in _CELL.names if n != "full"], "full")
+        fulls = stage(cells.where("full is not null").groupBy("full").agg(F.count("*").alias("n"), F.min(row).alias("row")).where("n > 1").select("full", "row"))
+        packed = F.col("start").cast("long") * (1 << 32) + F.col("stop") + LENGTH
+        out.append(cells.join(fulls, "full", "left_semi").select("t1", "t2", packed.alias("range")))
+        # one of the cells that are all the same goes on, to be met by others that have some of its strings
+        alone = cells.join(fulls, "full", "left_anti").select(*_CELL.names, F.lit(True).alias("open"))
+        rest = alone.unionByName(fulls.select("row.*", F.lit(False).alias("open"))).where("high > low")
+        cores = rest.groupBy("core").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("core")
+        rest = stage(rest.join(cores, "core", "left_semi"))
+        if rest.isEmpty():
+            return out
+        cells = rest.select(*_CELL.names).mapInArrow(trimmed(_next_cells), _CELL_TYPES)
 
 
 def _runs(t1: np.ndarray, t2: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
@@ -209,39 +263,17 @@ def _repeated(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key: segments are gathered to transforms of BATCH bytes or somewhat more, whole keys each."""
     group: list[tuple] = []
     held, key = 0, None
-    hashed: list[tuple[np.ndarray, ...]] = []
     for b in it:
-        bytes_ = b.column("bytes")
-        segs = np.flatnonzero(bytes_.is_valid().to_numpy(zero_copy_only=False))
-        rest = np.flatnonzero(~bytes_.is_valid().to_numpy(zero_copy_only=False))
-        keys, t1, t2, first = (b.column(n).to_numpy() for n in ("key", "t1", "t2", "first"))
-        known = b.column("known").fill_null(False).to_numpy(zero_copy_only=False)
-        more = b.column("more").fill_null(0).to_numpy()
-        sure = rest[known[rest]]
-        if len(sure):
-            yield _runs(t1[sure], t2[sure], first[sure], first[sure] + LENGTH)
-        rest = rest[~known[rest]]
-        if len(rest):
-            hashed.append((keys[rest], more[rest], t1[rest], t2[rest], first[rest]))
-        for i in segs.tolist():
-            if keys[i] != key:
+        for k, t1, t2, first, part in zip(*(b.column(n).to_pylist() for n in ("key", "t1", "t2", "first", "bytes")), strict=True):
+            if k != key:
                 if held >= BATCH:
                     yield from _expand(group)
                     group, held = [], 0
-                key = keys[i]
-            part = bytes_[i].as_py()
-            group.append((int(t1[i]), int(t2[i]), int(first[i]), part))
+                key = k
+            group.append((t1, t2, first, part))
             held += len(part)
     if group:
         yield from _expand(group)
-    if hashed:
-        h1, h2, t1, t2, at = (np.concatenate(x) for x in zip(*hashed, strict=True))
-        o = np.lexsort((at, t2, t1, h2, h1))
-        h1, h2, t1, t2, at = h1[o], h2[o], t1[o], t2[o], at[o]
-        same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        twice = np.concatenate([[False], same]) | np.append(same, False)
-        if twice.any():
-            yield _runs(t1[twice], t2[twice], at[twice], at[twice] + LENGTH)
 
 
 def repeated_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -253,13 +285,22 @@ def repeated_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity())
     texts = rows.groupBy("t1", "t2").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"), F.count("*").alias("n"))
-    keyed = rows.where(F.octet_length("text") >= LENGTH).select("t1", "t2", "text").mapInArrow(_keyed, _SEGMENT_TYPES)
+    keyed = rows.where(F.octet_length("text") >= LENGTH).select("t1", "t2", "text").mapInArrow(trimmed(_keyed), _SEGMENT_TYPES)
     home = F.when(F.col("known"), F.col("t1")).otherwise(F.col("key"))
-    met = stage(keyed.repartition(width(spark), home).mapInArrow(_meeting, "key long, t1 long, t2 long, first int, last int").distinct())
-    heavy = met.groupBy("key").agg(F.sum(F.col("last") - F.col("first") + LENGTH).alias("size")).where(F.col("size") > HEAVY).select("key", F.lit(True).alias("heavy"))
-    segs = met.join(heavy, "key", "left").groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "first", "last", F.coalesce("heavy", F.lit(False)).alias("heavy"))).alias("segs"))
-    parts = texts.join(segs, ["t1", "t2"]).select("t1", "t2", "text", "n", "segs").mapInArrow(_parts, _PART_TYPES)
-    ranges = stage(parts.repartition(width(spark), "key").sortWithinPartitions("key").mapInArrow(_repeated, "t1 long, t2 long, range long").groupBy("t1", "t2").agg(F.collect_list("range").alias("ranges")))
+    met = stage(keyed.repartition(width(spark), home).mapInArrow(trimmed(_meeting), "key long, t1 long, t2 long, first int, last int").distinct())
+    heavy = met.groupBy("key").agg(F.sum(F.col("last") - F.col("first") + LENGTH).alias("size")).where(F.col("size") > HEAVY).select("key")
+    heavy = stage(heavy)
+
+    def with_text(some: DataFrame) -> DataFrame:
+        segs = some.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "first", "last")).alias("segs"))
+        return texts.join(segs, ["t1", "t2"]).select("t1", "t2", "text", "n", "segs")
+
+    parts = with_text(met.join(heavy, "key", "left_anti")).mapInArrow(trimmed(_parts), _PART_TYPES)
+    found = parts.repartition(width(spark), "key").sortWithinPartitions("key").mapInArrow(trimmed(_repeated), "t1 long, t2 long, range long")
+    if not heavy.isEmpty():
+        for more in _heavy_ranges(with_text(met.join(heavy, "key", "left_semi")).mapInArrow(trimmed(_first_cells), _CELL_TYPES)):
+            found = found.unionByName(more)
+    ranges = stage(found.groupBy("t1", "t2").agg(F.collect_list("range").alias("ranges")))
     return rows.select("doc_id", "t1", "t2"), texts.join(ranges, ["t1", "t2"], "left").select("t1", "t2", "text", "n", "ranges")
 
 
@@ -290,6 +331,6 @@ def without_repeats(docs: DataFrame, digests_only: bool = False) -> DataFrame:
     """
     prepare(docs.sparkSession)
     rows, texts = repeated_bytes(docs)
-    cut = texts.mapInArrow(_cut, _KEPT)
+    cut = texts.mapInArrow(trimmed(_cut), _KEPT)
     cut = cut.drop("text") if digests_only else cut
     return rows.join(cut, ["t1", "t2"]).drop("t1", "t2")

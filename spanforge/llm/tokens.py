@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import prepare, shared_folder, width
+from .common import prepare, shared_folder, trimmed, width
 
 END_ID = 0
 #: Ids of one shard at least, but for the last one of a partition; bounds the memory of a task.
 SHARD_IDS = 2_000_000
-#: Distinct pieces of text, and words, in each of two generations whose ids a worker keeps.
-KEPT = 400_000
+#: Distinct pieces of text in each of two generations whose ids a worker keeps.
+KEPT = 300_000
 #: Before a plain space these make a longer run of white space, which is not cut at that space.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 SHARD = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("shard", pa.binary())])
@@ -60,16 +60,20 @@ class Pieces:
         self.code = "H" if self.kind == "<u2" else "I"
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
-        self.older_words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
+    def _merged(self, word: str) -> bytes:
         """Ids of one word of the pre-tokenizer, by the library's own merges."""
-        got = self.words.get(word) or self.older_words.get(word)
+        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """The same; a word after a space may be known as a piece of its own."""
+        if word[0] == " ":
+            return self.known.get(word[1:]) or self.older.get(word[1:]) or self._merged(word)
+        got = self.words.get(word)
         if got is None:
-            got = array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
-        self.words[word] = got
+            got = self.words[word] = self._merged(word)
         return got
 
     def _learn(self, texts: list[str], before: str) -> dict[str, bytes]:
@@ -81,13 +85,13 @@ class Pieces:
             if not COMMON.fullmatch(t):
                 out[t] = self._ids(before + t).tobytes()
             elif t.isalpha():
-                out[t] = word(before + t)
+                out[t] = self._merged(before + t)
             elif t[-1] in ".,;:!?" and t[:-1].isalpha():
                 out[t] = word(before + t[:-1]) + word(t[-1])
             else:
                 out[t] = b"".join(map(word, self.pattern.findall(before + t)))
-        if len(self.words) > KEPT:
-            self.words, self.older_words = {}, self.words
+        if len(self.words) > KEPT // 4:
+            self.words = {}
         return out
 
     def _ids(self, text: str) -> np.ndarray:
@@ -151,7 +155,7 @@ def encode_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id:
 
     tie = F.xxhash64("text")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(width(spark), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie, "text")
-    ordered.mapInArrow(shards, "part int, seq int, n_ids long, shard binary").write.mode("overwrite").option("compression", "none").parquet(path)
+    ordered.mapInArrow(trimmed(shards), "part int, seq int, n_ids long, shard binary").write.mode("overwrite").option("compression", "none").parquet(path)
     return path
 
 
@@ -177,7 +181,7 @@ def decode_tokens(spark: SparkSession, path: str) -> DataFrame:
                     own = range(k, min(k + 1000, len(keys)))
                     yield pa.RecordBatch.from_pylist([{"doc_id": keys[i], "part": part, "seq": seq, "pos": int(ends[i] - sizes[i]), "ids": ids[ends[i] - sizes[i] : ends[i]].astype("<u4").tobytes()} for i in own], schema=schema)
 
-    return spark.read.schema("part int, seq int, n_ids long, shard binary").parquet(path).mapInArrow(rows, "doc_id long, part int, seq int, pos long, ids binary")
+    return spark.read.schema("part int, seq int, n_ids long, shard binary").parquet(path).mapInArrow(trimmed(rows), "doc_id long, part int, seq int, pos long, ids binary")
 
 
 def token_digests(docs: DataFrame) -> DataFrame:

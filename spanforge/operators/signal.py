@@ -104,6 +104,23 @@ def biquad(x: np.ndarray, b: tuple[float, float, float], a: tuple[float, float])
     return y
 
 
+# Two of the four phases of the interpolation filter of ITU-R BS.1770-4, Annex 2; the others mirror them.
+PHASES = [
+    [0.001708984375, 0.010986328125, -0.0196533203125, 0.033203125, -0.0594482421875, 0.1373291015625, 0.97216796875, -0.102294921875, 0.047607421875, -0.026611328125, 0.014892578125, -0.00830078125],
+    [-0.0291748046875, 0.029296875, -0.0517578125, 0.089111328125, -0.16650390625, 0.465087890625, 0.77978515625, -0.2003173828125, 0.1015625, -0.0582275390625, 0.0330810546875, -0.0189208984375],
+]
+
+
+def true_peak(samples: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """by, peak: the largest magnitude of a signal and its values a quarter, half and three quarters on. Each is a sum over
+    the last twelve samples, so a window does it; what is before the first sample counts as 0."""
+    w = Window.partitionBy(*by).orderBy(order)
+    lags = [F.coalesce(F.lag(value, k).over(w), F.lit(0.0)) if k else F.col(value) for k in range(12)]
+    rows = samples.select(*by, F.array(*lags).alias("last"))
+    sums = [F.abs(sum((F.get("last", F.lit(k)) * c for k, c in enumerate(phase) if c), F.lit(0.0))) for p in PHASES for phase in (p, p[::-1])]
+    return rows.groupBy(*by).agg(F.max(F.greatest(*sums)).alias("peak"))
+
+
 def parts(spark: SparkSession, d: str) -> DataFrame:
     """Events in time order as 100 ms energies: series (kind), part, energy."""
     nth = F.row_number().over(Window.partitionBy("kind").orderBy("us", "event_id")) - 1
@@ -146,6 +163,17 @@ def d5(spark: SparkSession, d: str) -> DataFrame:
     return loudness_range(parts(spark, d), ["series"]).select("series", F.round("lra", 6).alias("lra"))
 
 
+def _peak_sql() -> str:
+    lag = lambda k: f"coalesce(lag(energy, {k}) OVER (PARTITION BY series ORDER BY part), 0)" if k else "energy"
+    sums = ["abs(" + " + ".join(f"({c!r}) * x{k}" for k, c in enumerate(phase)) + ")" for p in PHASES for phase in (p, p[::-1])]
+    return f"SELECT series, round(max(greatest({', '.join(sums)})), 9)::DOUBLE AS peak FROM (SELECT series, {', '.join(f'{lag(k)} AS x{k}' for k in range(12))} FROM parts) GROUP BY series"
+
+
+@query("d6_true_peak", _peak_sql(), (POINTS, PARTS))
+def d6(spark: SparkSession, d: str) -> DataFrame:
+    return true_peak(parts(spark, d), ["series"], "part", "energy").select("series", F.round("peak", 9).alias("peak"))
+
+
 @query("d7_level_words", "SELECT event_id, CASE WHEN x < -30 THEN 'very_quiet' WHEN x < -20 THEN 'quiet' WHEN x <= -12 THEN 'fine' ELSE 'loud' END AS word, round(least(20.0, greatest(-12.0, -16 - x)), 6)::DOUBLE AS gain_db FROM (SELECT event_id, (v % 6000) / 100.0 - 60 AS x FROM pts)", (POINTS,))
 def d7(spark: SparkSession, d: str) -> DataFrame:
     x = (F.col("v") % 6000) / 100.0 - 60

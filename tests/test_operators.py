@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from spanforge.functions.numeric import fnv1a, half_up
 from spanforge.operators import intervals as I
+from spanforge.operators.cues import Rules, Word, cues, lines_of
 from spanforge.operators.documents import migrated, validated
 from spanforge.operators.evaluation import alignment, judged
 from spanforge.operators.segments import gap_sessions, silences, speech_spans, split_spans
@@ -165,3 +166,15 @@ def test_budgets_take_the_exact_id_first(spark):
     m = spark.createDataFrame([("a.b", 5.0), ("a.c", 5.0), ("z", 1.0), ("a.d", None)], "id string, value double")
     b = spark.createDataFrame([(0, "a.*", 0.0, 1.0), (1, "a.b", 0.0, 9.0)], "place int, pattern string, low double, high double")
     assert {r.id: r.verdict for r in judged(m, b).collect()} == {"a.b": "ok", "a.c": "over", "z": "info", "a.d": "unmeasured"}
+
+
+def test_cues():
+    words = lambda text, step=200_000, at=0: [Word(at + k * step, at + (k + 1) * step - 1000, w) for k, w in enumerate(text.split())]
+    got = cues(words("Hello there. This is a longer sentence that needs two lines, surely. Ok"), 10**9)
+    assert got[0][2] == "Hello there." and all(len(x) <= 32 for _, _, t in got for x in t.split("\n"))
+    assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+    assert " ".join(t.replace("\n", " ") for *_, t in got) == "Hello there. This is a longer sentence that needs two lines, surely. Ok"
+    assert lines_of(words("pay $ 5 now"), Rules(line=6)) == ["pay", "$ 5 now"] or lines_of(words("pay $ 5 now"), Rules(line=6)) is None
+    assert cues([], 5) == [] and cues([Word(0, 10, "a")], 7) == [(0, 7, "a")]
+    paused = [Word(0, 100_000, "one"), Word(900_000, 1_000_000, "two")]
+    assert [t for *_, t in cues(paused, 10**9)] == ["one", "two"]
