@@ -149,4 +149,5 @@ def within_limit(clips: DataFrame, removals: DataFrame, by: list[str], most: int
         return right[[*by, "id", "b_id"]].assign(taken=taken)
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, "id"]) + ", b_id long, taken boolean"
-    return clips.groupBy(*by).cogroup(removals.groupBy(*by)).applyInPandas(fold, schema)
+    fresh = removals.select(*(F.col(c).alias(c) for c in [*by, "id", "b_id", "b_start_us", "b_end_us"]))  # removals may come from clips
+    return clips.groupBy(*by).cogroup(fresh.groupBy(*by)).applyInPandas(fold, schema)
