@@ -41,10 +41,11 @@ class Pieces:
     """Encodes texts with the tokenizers library, which sees each distinct piece once.
 
     The byte-level pre-tokenizer never joins a character other than white space with a space after it, so a text
-    may be cut there and the ids of its pieces joined: the same ids as for the whole text.
+    may be cut there and the ids of its pieces joined: the same ids as for the whole text. With `added`, contents of
+    the tokenizer's added tokens get the ids of these, as plain encode gives them; texts that hold one aren't cut.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import os
 
         import public_tokenizers
@@ -54,7 +55,8 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.code = "H" if self.kind == "<u2" else "I"
@@ -82,7 +84,7 @@ class Pieces:
         other signs beside them aren't merged again."""
         out, word = {}, self._word
         for t in texts:
-            if not COMMON.fullmatch(t):
+            if not COMMON.fullmatch(t) or self._holds_added(t):
                 out[t] = self._ids(before + t).tobytes()
             elif t.isalpha():
                 out[t] = self._merged(before + t)
@@ -94,6 +96,9 @@ class Pieces:
             self.words = {}
         return out
 
+    def _holds_added(self, text: str) -> bool:
+        return any(c in text for c in self.contents)
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
@@ -101,7 +106,7 @@ class Pieces:
         """Ids of each text as packed integers of self.kind."""
         if len(self.known) > KEPT:
             self.known, self.older = {}, self.known
-        odd = [any(w + " " in t for w in BLANKS) for t in texts]
+        odd = [any(w + " " in t for w in BLANKS) or self._holds_added(t) for t in texts]
         split = [[] if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
         new = {p for s in split for p in s[1:]}.difference(self.known)
         old = {p: self.older[p] for p in new if p in self.older}
@@ -114,13 +119,14 @@ class Pieces:
 
 def pieces(path: str) -> Pieces:
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Pieces(path)
+        _TOKENIZERS[path] = Pieces(path, added=True)
     return _TOKENIZERS[path]
 
 
 def encode_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = END_ID) -> str:
     """Writes the ids of docs (doc_id, text) in ascending doc_id order to path and gives path back.
 
+    Ids are those of the tokenizer's plain encode(text, add_special_tokens=False).
     Rows of a doc_id that repeats follow each other by the hash of their text and then the text; a null doc_id
     comes first; a null text counts as empty and so holds the end id only; further columns are not read. An empty
     table gives a folder without shards. Memory of a task: one shard and the longest document.

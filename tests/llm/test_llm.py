@@ -88,6 +88,23 @@ def test_pieces_match_whole_texts():
         assert np.frombuffer(coder.encode([t])[0], coder.kind).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_get_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    tok, coder, rng = Tokenizer.from_file(tokens.vocabulary()), tokens.Pieces(tokens.vocabulary(), added=True), random.Random(5)
+    assert tok.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    parts = ["a", " ", "  ", "\n", " \n", "é", "12", "!!", " x", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "日本"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(600)] + ["a <|endoftext|> b", "<|endoftext|>"]
+    for t, got in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(got, coder.kind).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    got = {r.doc_id: r for r in tokens.token_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    start = 0
+    for k, t in enumerate(texts):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 0]
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def brute_print(text):
     words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     parts = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
