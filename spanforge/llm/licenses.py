@@ -1,10 +1,31 @@
-"""License scans: canonical digests of whole texts, blocks and lines, hash-joined to those of known licences."""
+"""License scans: canonical digests of whole texts, blocks and lines, hash-joined to those of known licences; whole
+licence texts also as runs of words anywhere in a document."""
 
 from __future__ import annotations
 
+from functools import reduce
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Whole texts by licence id, as published; `CORES` says which part of a text is looked for within documents.
+TEXTS = Path(__file__).parent / "license_texts"
+#: Where the terms of a text begin and what follows them, without title, preamble and appendix.
+CORES: dict[str, tuple[str, str | None]] = {
+    "Apache-2.0": ("TERMS AND CONDITIONS FOR USE", "END OF TERMS AND CONDITIONS"),
+    "CC-BY-SA-4.0": ("Section 1 --", "\n=====\n"),
+    "CC0-1.0": ("Statement of Purpose", None),
+    "GPL-2.0": ("TERMS AND CONDITIONS FOR COPYING", "END OF TERMS AND CONDITIONS"),
+    "GPL-3.0": ("TERMS AND CONDITIONS\n", "END OF TERMS AND CONDITIONS"),
+    "LGPL-3.0": ("This version of the GNU Lesser", None),
+    "MPL-2.0": ("1. Definitions", "Exhibit A - Source"),
+    "Unlicense": ("This is free", "For more information"),
+}
+#: Fixed value: the third condition of BSD-3-Clause.
+BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+#: Every core text holds one of these in lower case, so only documents with one are searched for them.
+SIGNS = ("warrant", "lesser")
 #: Known texts may be broadcast up to this number; the list below is fixed.
 MAX_KNOWN = 4096
 
@@ -58,14 +79,70 @@ def known_texts() -> list[tuple[int, str]]:
     return [(place[i], t) for i, t in texts]
 
 
-def canonical(text: F.Column) -> F.Column:
-    """Lower case, no copyright lines, one spelling, words of letters and digits; line feeds stay."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+def _bsd() -> list[tuple[str, str]]:
+    """BSD texts with either word for the holder, and numbers or bullets at the conditions."""
+    two, out = (TEXTS / "BSD-2-Clause.txt").read_text(), []
+    at = two.index("THIS SOFTWARE IS PROVIDED")
+    for i, text in (("BSD-2-Clause", two), ("BSD-3-Clause", two[:at] + BSD_NAMES + "\n\n" + two[at:])):
+        for t in (text, text.replace("THE COPYRIGHT HOLDER OR", "THE COPYRIGHT OWNER OR")):
+            out += [(i, t), (i, t.replace("1. R", "* R").replace("2. R", "* R").replace("3. N", "* N"))]
+    return out
+
+
+def core_texts() -> list[tuple[str, str]]:
+    """(licence id, text) of what is looked for as a run of words anywhere in a document."""
+    out = [("MIT", MIT), ("ISC", ISC_GRANT + "\n" + ISC_WARRANTY), ("0BSD", ZERO_BSD_GRANT + "\n" + ISC_WARRANTY), ("Apache-2.0", APACHE_NOTICE), *_bsd()]
+    for i, (start, stop) in CORES.items():
+        text = (TEXTS / f"{i}.txt").read_text()
+        text = text[text.index(start) :]
+        if i == "CC-BY-SA-4.0":
+            text = text[: text.rindex("=====")].rstrip("=")
+        elif stop:
+            text = text[: text.index(stop)]
+        out.append((i, text))
+    return out
+
+
+def whole_texts() -> list[tuple[int, str]]:
+    """(place of the licence id, whole text) of documents that are a licence: the terms alone, under their name, and as published."""
+    place, out = {x: k for k, x in enumerate(NAMES)}, []
+    for i, text in core_texts():
+        if text != APACHE_NOTICE:
+            out += [(i, text), *((i, f"{n.removeprefix('the ')}\n\n{rest}{text}") for n in NAMES[i] for rest in ("", "All rights reserved.\n\n")), (i, f"All rights reserved.\n\n{text}")]
+    out.append(("MIT", "The MIT License (MIT)\n\n" + MIT))
+    for i in CORES:
+        text, end = (TEXTS / f"{i}.txt").read_text(), "END OF TERMS AND CONDITIONS"
+        out += [(i, text)] + ([(i, text[: text.index(end) + len(end)])] if end in text else [])
+    return [(place[i], t) for i, t in out]
+
+
+def canonical(text: F.Column, notices: bool = False) -> F.Column:
+    """Lower case, no copyright lines unless notices is set, one spelling, words of letters and digits; line feeds stay."""
+    out = F.lower(text) if notices else F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     for pattern, by in SPELLINGS:
         out = F.regexp_replace(out, pattern, by)
     return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
 
 
+def _flat(part: F.Column) -> F.Column:
+    """The words of a canonical text, with one space before each and one at the end."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(part, r"[ \n]+", " ")), F.lit(" "))
+
+
+def with_runs(clean: DataFrame, place: dict[str, int]) -> DataFrame:
+    """Adds hits to clean (raw, text): bits of the licences whose terms are a run of words of a document. As a line may
+    wrap before the word copyright within the terms, they are also looked for with copyright lines kept."""
+    rows = clean.sparkSession.createDataFrame(core_texts(), "id string, text string")
+    cores = rows.select("id", _flat(canonical(F.col("text"))).alias("bare"), _flat(canonical(F.col("text"), notices=True)).alias("full")).distinct().collect()
+    if not all(any(x in r.bare for x in SIGNS) for r in cores):
+        raise ValueError("a core text without a sign")
+    own = reduce(lambda a, b: a | b, (F.contains(F.lower("raw"), F.lit(x)) for x in SIGNS))
+    bare = clean.withColumn("bare", F.when(own, _flat(F.col("text")))).withColumn("full", F.when(own & F.lower("raw").rlike(COPYRIGHT_LINE), _flat(canonical(F.col("raw"), notices=True))))
+    bits = [F.when(F.contains("bare", F.lit(r.bare)) | F.contains("full", F.lit(r.full)), F.lit(1 << place[r.id]).cast("long")).otherwise(F.lit(0).cast("long")) for r in cores]
+    hits = F.when(F.col("bare").isNotNull(), reduce(lambda a, b: a.bitwiseOR(b), bits)).otherwise(F.lit(0).cast("long"))
+    return bare.withColumn("hits", hits).drop("raw", "bare", "full")
+
+
 def _digest(part: F.Column) -> F.Column:
     return F.sha2(F.trim(F.regexp_replace(part, r"[ \n]+", " ")).cast("binary"), 256)
 
@@ -74,21 +151,23 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, canonical_sha256, document_license, licenses of each doc_id of docs (doc_id, text).
 
     document_license: the licence whose known text the whole document is, or null; licenses: ids, comma-separated in
-    code point order, of all known texts that the document, a block between empty lines or a line is. Null texts read
+    code point order, of all known texts that the document, a block between empty lines or a line is, and of all
+    licences whose whole terms (core_texts) are a run of words of the document, however it is wrapped. Null texts read
     as empty. Rows that agree in doc_id, or have none, give one row together: all licences found, and the greatest
     digest. Further columns are not read; an empty table gives no rows. Units of a document are joined one by one and
     gathered as bits, so neither a long document nor a frequent licence makes a large group.
     """
-    known = known_texts()
+    known = known_texts() + whole_texts()
     if len(known) > MAX_KNOWN:
         raise ValueError("too many known texts to broadcast")
     table = docs.sparkSession.createDataFrame(known, "place int, text string").select("place", _digest(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("place").alias("place"))
-    clean = docs.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("text"))
-    unit = lambda whole: lambda part: F.struct(F.lit(whole).alias("whole"), _digest(part).alias("digest"))
+    clean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("raw")).withColumn("text", canonical(F.col("raw")))
+    clean = with_runs(clean, {x: k for k, x in enumerate(NAMES)})
+    unit = lambda whole: lambda part: F.struct(F.lit(whole).alias("whole"), _digest(part).alias("digest"), (F.col("hits") if whole else F.lit(0).cast("long")).alias("hits"))
     parts = F.array_distinct(F.concat(F.split(F.col("text"), "\n"), F.split(F.col("text"), "\n *\n")))
     units = clean.select("doc_id", F.explode(F.concat(F.array(unit(True)(F.col("text"))), F.transform(F.filter(parts, lambda p: F.trim(p) != ""), unit(False)))).alias("u")).select("doc_id", "u.*")
     found = units.join(F.broadcast(table), "digest", "left")
-    by = found.groupBy("doc_id").agg(F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"), F.max(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.expr("bit_or(shiftleft(1L, place))").alias("bits"))
+    by = found.groupBy("doc_id").agg(F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"), F.max(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.expr("bit_or(coalesce(shiftleft(1L, place), 0L) | hits)").alias("bits"))
     names = F.array(*map(F.lit, NAMES))
     named = F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, F.lit(n)) for k, n in enumerate(NAMES)])
     return by.select("doc_id", "canonical_sha256", F.get(names, F.col("whole")).alias("document_license"), F.array_join(F.array_compact(named), ",").alias("licenses"))

@@ -376,3 +376,25 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 100
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "mix", "tokens"]
+
+
+def test_whole_licence_texts(spark):
+    import textwrap
+
+    from spanforge.llm.licenses import CORES, TEXTS, core_texts
+
+    head = "Copyright (c) 2020 A. Person\n\n"
+    bsd3 = next(t for i, t in core_texts() if i == "BSD-3-Clause")
+    narrow = "\n".join(textwrap.fill(p, 62) for p in bsd3.split("\n"))
+    assert "\ncopyright" in narrow.lower()
+    cores = core_texts()
+    texts = {"mit": "# Tool\n\n" + prose(20, 1) + "\n\n" + head + MIT + "\n\n" + prose(20, 2), "bsd3": "BSD 3-Clause License\n\n" + head + bsd3, "narrow": "/* " + narrow.replace("\n", "\n * ") + " */\n" + prose(9, 3), "wrapped": prose(9, 3) + "\n" + narrow, "cut": head + MIT[: len(MIT) // 2], "none": prose(30, 4)}
+    texts |= {i: (TEXTS / f"{i}.txt").read_text() for i in CORES} | {f"core {k}": f"before {t} after" for k, (_, t) in enumerate(cores)}
+    keys = list(texts)
+    got = {keys[r.doc_id]: r for r in license_scan(spark.createDataFrame([(k, texts[x]) for k, x in enumerate(keys)], "doc_id long, text string")).collect()}
+    assert (got["mit"].licenses, got["mit"].document_license) == ("MIT", None)
+    assert (got["bsd3"].licenses, got["bsd3"].document_license) == ("BSD-3-Clause",) * 2
+    assert got["narrow"].licenses == got["wrapped"].licenses == "BSD-3-Clause"
+    assert got["cut"].licenses == got["none"].licenses == ""
+    assert all((got[i].document_license, i in got[i].licenses.split(",")) == (i, True) for i in CORES)
+    assert all(got[f"core {k}"].licenses == i for k, (i, _) in enumerate(cores))
