@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,23 @@ def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spanforge-")
+    return f"{named.rstrip('/')}/spanforge-stream-{uuid.uuid4().hex}"
+
+
 @query("l6_hourly_attempts_stream", "SELECT user_id, us // 3600000000 AS win, count(*) AS n FROM pts GROUP BY ALL", (POINTS,))
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hourly counter as a streaming job over all that is there: its complete state, as batch gives it."""
-    name = f"spanforge_{uuid.uuid4().hex}"
-    counts = windows.hourly_attempts(_replayed(spark, sf_dir))
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """The hourly counter as a streaming job over all that is there: its complete state, as batch gives it. Executors
+    write the state and each batch's table under spark.checkpoint.dir; a batch that runs again overwrites its own."""
+    folder = _folder(spark)
+    counts, last = windows.hourly_attempts(_replayed(spark, sf_dir)), []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        path = f"{folder}/table/{batch}"
+        rows.write.mode("overwrite").parquet(path)
+        last[:] = [path]
+
+    counts.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(*last) if last else spark.createDataFrame([], counts.schema)
