@@ -24,16 +24,20 @@ LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<8sIIQI")
 
 
-def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols present and their frequencies, at least 1 each, 2**SCALE in all."""
-    symbols, counts = np.unique(ids, return_counts=True)
+def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols present, their frequencies, at least 1 each, 2**SCALE in all, and the symbols' places by id."""
+    all_counts = np.bincount(ids, minlength=1)
+    symbols = np.flatnonzero(all_counts)
+    counts = all_counts[symbols]
     room = (1 << SCALE) - len(symbols)
     if room < 0:
         raise ValueError(f"more than {1 << SCALE} symbols in one shard")
     f = 1 + counts * room // max(1, counts.sum())
     if len(f):
         f[np.argmax(f)] += (1 << SCALE) - f.sum()
-    return symbols, f.astype(np.uint64)
+    places = np.zeros(len(all_counts), np.int32)
+    places[symbols] = np.arange(len(symbols))
+    return symbols, f.astype(np.uint64), places
 
 
 def _encode(sym: np.ndarray, f: np.ndarray, cum: np.ndarray):
@@ -69,9 +73,9 @@ def _blocks(sym: np.ndarray, f: np.ndarray, cum: np.ndarray, n: list[int]) -> li
 
 def pack(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     """One shard from the ids of whole documents, in order; lengths: ids of each document."""
-    symbols, f = frequencies(ids)
+    symbols, f, places = frequencies(ids)
     cum = np.concatenate([[0], np.cumsum(f)])[:-1].astype(np.uint64)
-    sym = np.searchsorted(symbols, ids).astype(np.int32)
+    sym = places[ids]
     full = len(sym) // BLOCK
     blocks = _blocks(sym[: full * BLOCK].reshape(full, STEPS, LANES), f, cum, [BLOCK] * full) if full else []
     if rest := len(sym) - full * BLOCK:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import codecs
+import gc
+import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,18 +21,24 @@ from . import rans
 from .common import prepare, shared_folder, trimmed, width
 
 END_ID = 0
-#: Ids of one shard at least, but for the last one of a partition; bounds the memory of a task.
-SHARD_IDS = 2_000_000
-#: Distinct pieces of text in each of two generations whose ids a worker keeps.
+#: Characters of one shard at least, but for the last one of a partition; bounds the memory of a task.
+SHARD_CHARS = 5_000_000
+#: Distinct words in each of two generations whose ids a worker keeps.
 KEPT = 300_000
-#: Before a plain space these make a longer run of white space, which is not cut at that space.
-BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 SHARD = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("shard", pa.binary())])
-#: Texts of these alone mean the same to the pattern's and the library's character classes.
-COMMON = re.compile("[!-~¡-ɏ\\n]+")
+#: Texts of these alone mean the same to any version of the pattern's character classes.
+COMMON = re.compile("[\t-\r -~¡-ɏ‐-‧]*")
+#: Where one of these is, a word isn't just a run of letters, digits or other signs with a space before it at most.
+SPECIAL = ["\t", "\x0b", "\x0c", "\r", "  ", " \n", "\n ", "\n\n", *(f"'{x}" for x in ("s", "t", "m", "d", "re", "ve", "ll"))]
 #: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_SIGNS = {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
+_OTHERS = sorted({*range(256)} - {*_PLAIN})
+SIGNS = "".join(chr(b) if b in _PLAIN else chr(256 + _OTHERS.index(b)) for b in range(256))
+#: Kinds of characters below U+0250: letter, number, other sign, space, line feed.
+LETTER, NUMBER, OTHER, SPACE, FEED = range(5)
+KINDS = np.array([SPACE if c == 32 else FEED if c == 10 else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x250)], np.uint8)
+#: Settings of the tokenizer under which its words are known here.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _TOKENIZERS: dict = {}
 
 
@@ -37,15 +48,29 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bytes at which the byte-level pre-tokenizer's words begin, in UTF-8 texts of common characters without anything
+    SPECIAL that begin at `starts`: runs of one kind, with a space before them at most, and line feeds."""
+    kind = KINDS[np.minimum(data, 127)]
+    kind[data > 127] = OTHER
+    two = np.flatnonzero((data > 0xC1) & (data < 0xCA))
+    kind[two] = kind[two + 1] = KINDS[(data[two] & 31).astype(np.int32) << 6 | data[two + 1] & 63]
+    new = np.ones(len(data), bool)
+    new[1:] = ((kind[1:] != kind[:-1]) & (kind[:-1] != SPACE)) | (kind[1:] == FEED)
+    new[starts[starts < len(data)]] = True
+    return np.flatnonzero(new)
+
+
 class Pieces:
-    """Encodes texts with the tokenizers library, which sees each distinct piece once.
+    """Encodes texts with the tokenizers library, which merges each distinct word once.
 
-    The byte-level pre-tokenizer never joins a character other than white space with a space after it, so a text
-    may be cut there and the ids of its pieces joined: the same ids as for the whole text. With `added`, contents of
-    the tokenizer's added tokens get the ids of these, as plain encode gives them; texts that hold one aren't cut.
+    A byte-level pre-tokenizer cuts a text into words, and the ids of a text are those of its words, one after another.
+    Words of plain texts are cut all at once, those of texts that hold something SPECIAL by the published pattern.
+    Texts with other than common characters and those that hold an added token go to the library as they are, as do all
+    texts if its settings aren't those of a byte-level pre-tokenizer.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         import os
 
         import public_tokenizers
@@ -53,73 +78,66 @@ class Pieces:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added
-        self.contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.code = "H" if self.kind == "<u2" else "I"
-        self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        about = json.loads(Path(path).read_text(encoding="utf-8"))
+        model, cutter = about["model"], about["pre_tokenizer"] or {}
+        self.byte_level = about["normalizer"] is None and model["type"] == "BPE" and BYTE_LEVEL.items() <= cutter.items()
+        # the library's merges without its own cache of words: those met are kept here
+        self.merges = BPE(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], cache_capacity=0) if self.byte_level else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _merged(self, word: str) -> bytes:
-        """Ids of one word of the pre-tokenizer, by the library's own merges."""
-        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """The same; a word after a space may be known as a piece of its own."""
-        if word[0] == " ":
-            return self.known.get(word[1:]) or self.older.get(word[1:]) or self._merged(word)
-        got = self.words.get(word)
-        if got is None:
-            got = self.words[word] = self._merged(word)
-        return got
-
-    def _learn(self, texts: list[str], before: str) -> dict[str, bytes]:
-        """Ids of each text after `before`. Texts of common characters are cut into the pre-tokenizer's words, by its
-        public pattern where they aren't letters only, or letters and one more sign, so that words seen before with
-        other signs beside them aren't merged again."""
-        out, word = {}, self._word
-        for t in texts:
-            if not COMMON.fullmatch(t) or self._holds_added(t):
-                out[t] = self._ids(before + t).tobytes()
-            elif t.isalpha():
-                out[t] = self._merged(before + t)
-            elif t[-1] in ".,;:!?" and t[:-1].isalpha():
-                out[t] = word(before + t[:-1]) + word(t[-1])
-            else:
-                out[t] = b"".join(map(word, self.pattern.findall(before + t)))
-        if len(self.words) > KEPT // 4:
-            self.words = {}
-        return out
-
-    def _holds_added(self, text: str) -> bool:
-        return any(c in text for c in self.contents)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as packed integers of self.kind."""
+    def _learn(self, words: list[str]) -> None:
         if len(self.known) > KEPT:
             self.known, self.older = {}, self.known
-        odd = [any(w + " " in t for w in BLANKS) or self._holds_added(t) for t in texts]
-        split = [[] if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
-        new = {p for s in split for p in s[1:]}.difference(self.known)
-        old = {p: self.older[p] for p in new if p in self.older}
-        self.known.update(old)
-        self.known.update(self._learn([p for p in new if p not in old], " "))
-        first = self._learn([s[0] if s else t for s, t in zip(split, texts, strict=True)], "") if texts else {}
-        get = self.known.__getitem__
-        return [first[t] if o else first[s[0]] + b"".join(map(get, s[1:])) for t, o, s in zip(texts, odd, split, strict=True)]
+        known, older, tokenize, code = self.known, self.older.get, self.merges.tokenize, self.code
+        new = [w for w in words if w not in known]
+        signs = codecs.charmap_decode("\0".join(new).encode(), "strict", SIGNS)[0].split(SIGNS[0]) if new else []
+        for w, s in zip(new, signs, strict=True):
+            known[w] = older(w) or array(code, [t.id for t in tokenize(s)]).tobytes()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the number of each text's."""
+        own = [self.byte_level and COMMON.fullmatch(t) is not None and not any(c in t for c in self.contents) for t in texts]
+        special = [o and any(x in t for x in SPECIAL) for o, t in zip(own, texts, strict=True)]
+        others = iter(self._whole([t for o, t in zip(own, texts, strict=True) if not o]))
+        found = [self.pattern.findall(t) if s else () for s, t in zip(special, texts, strict=True)]
+        plain = pa.array([t if o and not s else "" for t, o, s in zip(texts, own, special, strict=True)], pa.large_string())
+        at = np.frombuffer(plain.buffers()[1], np.int64)[: len(texts) + 1]
+        data = np.frombuffer(plain.buffers()[2] or b"", np.uint8)[: at[-1]]
+        starts = word_starts(data, at[:-1])
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data))
+        coded = words.dictionary_encode() if len(starts) else pa.array([], pa.large_string()).dictionary_encode()
+        distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn([*distinct, *{w for f in found for w in f}.difference(distinct)])
+        known = self.known
+        # the table's rows: distinct words, then for each text what it is that isn't plain
+        rows = [known[w] for w in distinct]
+        rows += [b"".join([known[w] for w in f]) if o else next(others) for f, o in zip(found, own, strict=True)]
+        size = np.fromiter(map(len, rows), np.int64, len(rows)) // np.dtype(self.kind).itemsize
+        table, begin = np.frombuffer(b"".join(rows), self.kind), np.cumsum(size) - size
+        cut = np.searchsorted(starts, at[:-1])
+        place = np.insert(place, cut, len(distinct) + np.arange(len(texts)))
+        n = size[place]
+        ends = np.cumsum(n)
+        source = np.repeat(begin[place] - (ends - n), n)
+        source += np.arange(len(source))
+        last = np.append(cut[1:] + np.arange(1, len(texts)), len(place)) - 1 if len(texts) else np.zeros(0, np.int64)
+        return table[source], np.diff(np.append(0, ends[last]))
 
 
 def pieces(path: str) -> Pieces:
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Pieces(path, added=True)
+        _TOKENIZERS[path] = Pieces(path)
     return _TOKENIZERS[path]
 
 
@@ -136,28 +154,32 @@ def encode_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id:
 
     def shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq = pieces(vocab), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], coder.kind).tobytes()
-        ids, docs_, sizes, held = [], [], [], 0
+        keys, texts, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, docs_, sizes, held, seq
-            all_ids = np.frombuffer(b"".join(ids), coder.kind)
-            out = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": len(all_ids), "shard": rans.pack(all_ids, docs_, np.array(sizes))}], schema=SHARD)
-            ids, docs_, sizes, held, seq = [], [], [], 0, seq + 1
+            nonlocal keys, texts, held, seq
+            ids, sizes = coder.encode(texts)
+            all_ids = np.full(len(ids) + len(sizes), end_id, coder.kind)
+            own = np.ones(len(all_ids), bool)
+            own[np.cumsum(sizes + 1) - 1] = False
+            all_ids[own] = ids
+            out = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": len(all_ids), "shard": rans.pack(all_ids, keys, sizes + 1)}], schema=SHARD)
+            keys, texts, held, seq = [], [], 0, seq + 1
             return out
 
-        for b in it:
-            keys, texts = b.column("doc_id").to_pylist(), [x or "" for x in b.column("text").to_pylist()]
-            for key, got in zip(keys, coder.encode(texts), strict=True):
-                n = len(got) // np.dtype(coder.kind).itemsize + 1
-                ids += (got, end)
-                docs_.append(key)
-                sizes.append(n)
-                held += n
-                if held >= SHARD_IDS:
+        gc.disable()  # the caches hold many small objects and no cycles
+        try:
+            for b in it:
+                keys += b.column("doc_id").to_pylist()
+                new = [x or "" for x in b.column("text").to_pylist()]
+                texts += new
+                held += sum(map(len, new))
+                if held >= SHARD_CHARS:
                     yield flush()
-        if docs_:
-            yield flush()
+            if keys:
+                yield flush()
+        finally:
+            gc.enable()
 
     tie = F.xxhash64("text")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(width(spark), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie, "text")
