@@ -20,6 +20,8 @@ BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
 #: Lines of one key that meet by pairs.
 FEW = 8
+#: Pairs, and characters of pairs, that are compared at a time.
+PAIRS, PAIR_CHARS = 1000, 1_000_000
 #: Lines of one band that meet in one task at most; more are dealt by pairs of blocks.
 MOST = 4000
 
@@ -35,15 +37,17 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             codes = codes[:-s] * power + codes[s:]
             power = power * power
             s *= 2
-        line = np.repeat(np.arange(len(lines)), np.maximum(1, size - SHINGLE + 1))
-        start = np.cumsum(size) - size
-        nth = np.arange(len(line)) - np.searchsorted(line, line)
-        h = codes[start[line] + nth]
+        count = np.maximum(1, size - SHINGLE + 1)
+        start, begin = np.cumsum(size) - size, np.cumsum(count) - count
+        at = np.repeat(start - begin, count)
+        at += np.arange(len(at))
+        h = codes[at]
         for k in np.flatnonzero(size < SHINGLE):
-            at = np.searchsorted(line, k)
-            h[at] = np.uint64(hash_of(lines[k]))
-        h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
-        return line, h ^ h >> np.uint64(29)
+            h[begin[k]] = np.uint64(hash_of(lines[k]))
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        return np.repeat(np.arange(len(lines)), count), h
 
 
 def hash_of(text: str) -> int:
@@ -88,7 +92,7 @@ def similar(a: frozenset[str], b: frozenset[str]) -> bool:
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
-def links_among(ids: list[int], lines: list[str]) -> list[tuple[int, int]]:
+def links_among(ids: list, lines: list[str]) -> list[tuple]:
     """A forest of the links among lines: each line reached looks for others among those not reached yet."""
     sets = [shingles(x) for x in lines]
     rest, out = set(range(len(ids))), []
@@ -138,59 +142,124 @@ def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(ids[first]), pa.array(n[first].astype(np.int32))], names=["key", "id", "n"])
 
 
-def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key."""
-    key, ids, lines, out = None, [], [], []
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """Whether a[k] and b[k] are similar, for all k. Shingles of all pairs are counted together as hashes, of which the
+    low bits tell the pair; where a wrong count of one could decide, the shingles themselves are compared."""
+    n = len(a)
+    low = np.uint64((1 << max(1, n.bit_length())) - 1)
+    line, h = _shingle_hashes([*a, *b])
+    key, first = h & ~low | (line % n).astype(np.uint64), line < n
+    left, right = _distinct(key[first]), _distinct(key[~first])
+    met = np.sort(np.concatenate([left, right]))
+    count = lambda x: np.bincount((x & low).astype(np.int64), minlength=n)
+    both, sizes = count(met[1:][met[1:] == met[:-1]]), count(left) + count(right)
+    over = both - SIMILAR * (sizes - both)
+    out = over >= 0
+    for k in np.flatnonzero(np.abs(over) < 2).tolist():
+        out[k] = similar(shingles(a[k]), shingles(b[k]))
+    return out
+
+
+_LINK = pa.schema([(n, pa.int64()) for n in ("a1", "a2", "b1", "b2")])
+
+
+def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(id, id2, line) of each key; rows come sorted by key."""
+    key, group = None, []
     for b in it:
-        for k, i, line in zip(b.column("key").to_pylist(), b.column("id").to_pylist(), b.column("line").to_pylist(), strict=True):
-            if k != key:
-                if len(ids) > 1:
-                    out += links_among(ids, lines)
-                key, ids, lines = k, [], []
-            ids.append(i)
-            lines.append(line)
+        for k, *row in zip(*(b.column(n).to_pylist() for n in ("key", "id", "id2", "line")), strict=True):
+            if k != key and group:
+                yield group
+                group = []
+            key = k
+            group.append(tuple(row))
+    if group:
+        yield group
+
+
+def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among the lines of each key. Keys of two lines are compared many at a time."""
+    pairs, held, out = [], 0, []
+
+    def compared() -> list[tuple]:
+        fine = similar_pairs([x[2] for x, _ in pairs], [y[2] for _, y in pairs]) if pairs else np.zeros(0, bool)
+        return [(*pairs[k][0][:2], *pairs[k][1][:2]) for k in np.flatnonzero(fine).tolist()]
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 4)], schema=_LINK)
+
+    for group in _groups(it):
+        if len(group) == 2:
+            pairs.append(group)
+            held += len(group[0][2]) + len(group[1][2])
+        elif len(group) > 2:
+            out += [(*x, *y) for x, y in links_among([r[:2] for r in group], [r[2] for r in group])]
+        if len(pairs) >= PAIRS or held >= PAIR_CHARS:
+            out += compared()
+            pairs, held = [], 0
         if len(out) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+            yield batch()
             out = []
-    if len(ids) > 1:
-        out += links_among(ids, lines)
-    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+    out += compared()
+    yield batch()
 
 
 def line_links(lines: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the different lines (id long, line) as all pairs that share a band and have a
-    similarity of SIMILAR or more do. Texts move only for lines that share a band. A band with over MOST lines is
-    dealt by pairs of blocks of lines, so no task holds more than two blocks of one."""
+    """Edges (a1, a2, b1, b2) that connect the different lines (id, id2: long, line) as all pairs that share a band and
+    have a similarity of SIMILAR or more do. Lines find each other by id alone: should two lines share it, both come
+    along. Texts move only for lines that share a band. A band with over MOST lines is dealt by pairs of blocks of
+    lines, so no task holds more than two blocks of one."""
     n = width(lines.sparkSession)
-    shared = lines.mapInArrow(trimmed(_keys), "key long, id long").repartition(n, "key").mapInArrow(trimmed(_shared), "key long, id long, n int")
+    shared = lines.select("id", "line").mapInArrow(trimmed(_keys), "key long, id long").repartition(n, "key").mapInArrow(trimmed(_shared), "key long, id long, n int")
     blocks = F.ceil(F.col("n") / (MOST // 2)).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     split = shared.withColumn("other", F.explode(F.when(F.col("n") <= MOST, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), blocks - 1))))
     key = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least(block, "other"), F.greatest(block, "other")))
     wanted = split.select("id", key.alias("key")).groupBy("id").agg(F.collect_set("key").alias("keys"))
-    met = lines.join(wanted, "id").select(F.explode("keys").alias("key"), "id", "line")
-    return met.repartition(n, "key").sortWithinPartitions("key").mapInArrow(trimmed(_linked), "a long, b long")
+    met = lines.join(wanted, "id").select(F.explode("keys").alias("key"), "id", "id2", "line")
+    return met.repartition(n, "key").sortWithinPartitions("key").mapInArrow(trimmed(_linked), "a1 long, a2 long, b1 long, b2 long")
+
+
+def _line_ids() -> list:
+    """Columns id and id2: 128 bits that stand for the line."""
+    return [F.xxhash64("line").alias("id"), F.xxhash64(F.lit(2), "line").alias("id2")]
 
 
 def _lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, t1, t2, no, line of every line of every row of docs (doc_id, text) that isn't blank."""
+    """doc_id, t1, t2, no, line, id, id2 of every line of every row of docs (doc_id, text) that isn't blank."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity(F.col("doc_id")))
     lines = rows.select("doc_id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return lines.where(F.trim("line") != "").withColumn("id", F.xxhash64("line"))
+    return lines.where(F.trim("line") != "").select("*", *_line_ids())
+
+
+def linked_lines(lines: DataFrame) -> DataFrame:
+    """id, id2, root of each line (id, line) that links to another one; root: a number of its component."""
+    gathered = lines.select("id", "line").groupBy("id").agg(F.collect_set("line").alias("lines"))
+    different = gathered.select("id", F.explode("lines").alias("line")).select("id", "line", _line_ids()[1])
+    links = stage(line_links(different))
+    ends = links.select(F.col("a1").alias("id"), F.col("a2").alias("id2")).unionByName(links.select(F.col("b1").alias("id"), F.col("b2").alias("id2"))).distinct()
+    nodes = stage(ends.withColumn("node", F.monotonically_increasing_id()))
+    a, b = (nodes.select(F.col("id").alias(f"{x}1"), F.col("id2").alias(f"{x}2"), F.col("node").alias(x)) for x in "ab")
+    roots = components(links.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b"))
+    return nodes.join(roots, "node", "left").select("id", "id2", F.coalesce("root", "node").alias("root"))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """t1, t2, kept: the numbers of the lines that stay in each document that keeps any.
 
     Lines that are equal or linked by similarity, however indirectly, make a component, of which the line that comes
-    first by doc_id (null first), text hash and number stays. Lines are told apart by 64-bit hashes of their text.
+    first by doc_id (null first), text hash and number stays. Lines are told apart by 128 bits of their text.
     """
     lines = _lines_of(docs)
-    different = lines.select("id", "line").groupBy("id").agg(F.first("line").alias("line"))
-    roots = components(stage(line_links(different)))
-    placed = lines.select("id", F.struct("doc_id", "t1", "t2", "no").alias("at")).groupBy("id").agg(F.min("at").alias("at"))
-    classes = placed.join(roots, placed.id == roots.node, "left").select(F.coalesce("root", "id").alias("root"), "at")
-    firsts = classes.groupBy("root").agg(F.min("at").alias("at")).select("at.*")
+    placed = lines.select("id", "id2", F.struct("doc_id", "t1", "t2", "no").alias("at")).groupBy("id", "id2").agg(F.min("at").alias("at"))
+    classes = placed.join(linked_lines(lines), ["id", "id2"], "left")
+    own = [F.when(F.col("root").isNull(), F.col(c)).alias(c) for c in ("id", "id2")]
+    firsts = classes.select("root", *own, "at").groupBy("root", "id", "id2").agg(F.min("at").alias("at")).select("at.*")
     return firsts.groupBy("t1", "t2").agg(F.array_sort(F.collect_list("no")).alias("kept"))
 
 

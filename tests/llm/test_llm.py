@@ -402,3 +402,38 @@ def test_whole_licence_texts(spark):
     assert got["cut"].licenses == got["none"].licenses == ""
     assert all((got[i].document_license, i in got[i].licenses.split(",")) == (i, True) for i in CORES)
     assert all(got[f"core {k}"].licenses == i for k, (i, _) in enumerate(cores))
+
+
+def test_similar_pairs_match_sets():
+    rng = random.Random(8)
+    a, b = [], []
+    for k in range(400):
+        x = list(prose(rng.randrange(1, 60), k)[: rng.randrange(1, 400)])
+        y = x[:]
+        for _ in range(rng.randrange(0, 1 + len(x) // 60)):
+            y[rng.randrange(len(y))] = "Z"
+        a.append("".join(x))
+        b.append("".join(y) + "é" * rng.randrange(3))
+    got, want = lines.similar_pairs(a, b).tolist(), [lines.similar(lines.shingles(x), lines.shingles(y)) for x, y in zip(a, b, strict=True)]
+    assert got == want and 50 < sum(want) < 350
+
+
+def test_line_links_find_what_all_pairs_do(spark):
+    """Recall of links at a similarity of 0.8 over all lines of a whole table."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    different = sorted({x for t in texts for x in t.split("\n") if x.strip(" ")})
+    holders = collections.defaultdict(list)
+    sets = [lines.shingles(x) for x in different]
+    for k, s in enumerate(sets):
+        for x in s:
+            holders[x].append(k)
+    pairs = []
+    for k, s in enumerate(sets):
+        both = collections.Counter(j for x in s for j in holders[x] if j < k)
+        pairs += [(k, j) for j, n in both.items() if n >= lines.SIMILAR * (len(s) + len(sets[j]) - n)]
+    roots = {different[k]: different[r] for k, r in forest(pairs)}
+    df = spark.createDataFrame([(x,) for x in different], "line string").select("line", *lines._line_ids())
+    got = {r.line: r.root for r in df.join(lines.linked_lines(df), ["id", "id2"]).collect()}
+    linked = {x for p in pairs for x in (different[p[0]], different[p[1]])}
+    assert len(linked) > 10 and set(got) <= linked and len(set(got)) >= 0.99 * len(linked)
+    assert all(got.get(x) == got.get(r) for x, r in roots.items() if x in got)
