@@ -92,19 +92,42 @@ def similar(a: frozenset[str], b: frozenset[str]) -> bool:
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def links_among(ids: list, lines: list[str]) -> list[tuple]:
-    """A forest of the links among lines: each line reached looks for others among those not reached yet."""
-    sets = [shingles(x) for x in lines]
-    rest, out = set(range(len(ids))), []
-    while rest:
-        todo = [rest.pop()]
-        while todo and rest:
+    """A forest of the links among lines: each line reached looks for others among those not reached yet. Shingles are
+    numbered by their hashes, and counted as such; where a wrong count of one could decide, they are compared."""
+    n = len(lines)
+    bits = np.uint64(n.bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    line, h = _shingle_hashes(lines)
+    key = _distinct(h & ~low | line.astype(np.uint64))
+    number = np.cumsum(np.append(True, key[1:] >> bits != key[:-1] >> bits)) - 1
+    own = (key & low).astype(np.int64)
+    flat = number[np.argsort(own, kind="stable")]
+    size = np.bincount(own, minlength=n)
+    begin = np.cumsum(size) - size
+    marked, rest, out = np.zeros(number[-1] + 1, bool), np.ones(n, bool), []
+    while rest.any():
+        todo = [int(np.argmax(rest))]
+        rest[todo] = False
+        while todo and rest.any():
             i = todo.pop()
-            low, high = SIMILAR * len(sets[i]), len(sets[i]) / SIMILAR
-            near = [j for j in rest if low <= len(sets[j]) <= high and similar(sets[i], sets[j])]
-            rest.difference_update(near)
-            todo += near
-            out += [(ids[i], ids[j]) for j in near]
+            mine = flat[begin[i] : begin[i] + size[i]]
+            marked[mine] = True
+            both = np.add.reduceat(marked[flat], begin, dtype=np.int64)
+            marked[mine] = False
+            over = both - SIMILAR * (size[i] + size - both)
+            near = rest & (over >= 0)
+            for j in np.flatnonzero(rest & (np.abs(over) < 2)).tolist():
+                near[j] = similar(shingles(lines[i]), shingles(lines[j]))
+            rest &= ~near
+            found = np.flatnonzero(near).tolist()
+            todo += found
+            out += [(ids[i], ids[j]) for j in found]
     return out
 
 
@@ -142,11 +165,6 @@ def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(ids[first]), pa.array(n[first].astype(np.int32))], names=["key", "id", "n"])
 
 
-def _distinct(x: np.ndarray) -> np.ndarray:
-    x = np.sort(x)
-    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
-
-
 def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
     """Whether a[k] and b[k] are similar, for all k. Shingles of all pairs are counted together as hashes, of which the
     low bits tell the pair; where a wrong count of one could decide, the shingles themselves are compared."""

@@ -437,3 +437,18 @@ def test_line_links_find_what_all_pairs_do(spark):
     linked = {x for p in pairs for x in (different[p[0]], different[p[1]])}
     assert len(linked) > 10 and set(got) <= linked and len(set(got)) >= 0.99 * len(linked)
     assert all(got.get(x) == got.get(r) for x, r in roots.items() if x in got)
+
+
+def test_links_among_match_all_pairs():
+    for seed in range(30):
+        rng = random.Random(seed)
+        some = []
+        for k in range(rng.randrange(1, 25)):
+            x = list(prose(40, rng.randrange(4))[: rng.randrange(1, 200)]) if k % 3 else list(rng.choice(some or ["ab"]))
+            for _ in range(rng.randrange(0, 4)):
+                x[rng.randrange(len(x))] = rng.choice("ZY")
+            some.append("".join(x))
+        sets = [lines.shingles(x) for x in some]
+        want = dict(forest((i, j) for i in range(len(sets)) for j in range(i) if lines.similar(sets[i], sets[j])))
+        got = lines.links_among(list(range(len(some))), some)
+        assert dict(forest(got)) == want and len(got) == len(want)
