@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import prepare, texts_of, trimmed
 
-#: Characters of a q-gram; longer items are looked for by windows, each STEP characters; edits for each character.
-Q, WINDOW, STEP, RATE = 10, 160, 80, 0.08
+#: Characters of a q-gram; longer items are looked for by windows, each STEP characters, so a passage of an item of
+#: WINDOW + STEP - 1 characters is sure to hold a whole window; edits for each character.
+Q, WINDOW, STEP, RATE = 10, 80, 40, 0.08
 #: Diagonals of a band; bands overlap by the edits of a window, at most WINDOW * RATE.
 BAND = 32
 #: Characters of the benchmark that one pass holds in each task; a larger benchmark takes more passes.
@@ -80,8 +81,9 @@ class Patterns:
                 self.item.append(item)
                 self.codes.append(codes[a : a + WINDOW])
         self.size = np.array([len(c) for c in self.codes], np.int64)
-        self.edits = np.floor(self.size * RATE).astype(np.int64)
-        bound = np.maximum(1, self.size - Q + 1 - Q * self.edits)
+        # as many edits as leave a q-gram in common, so that the lemma covers all that is looked for
+        self.edits = np.minimum(np.floor(self.size * RATE).astype(np.int64), (self.size - Q) // Q)
+        bound = self.size - Q + 1 - Q * self.edits
         own = [grams(c) for c in self.codes]
         gram = np.concatenate([*own, np.zeros(0, np.uint64)])
         window = np.repeat(np.arange(len(own)), [len(g) for g in own])
@@ -99,8 +101,9 @@ class Patterns:
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.kinds >> np.uint64(64 - _BITS)] = True
 
-    def candidates(self, h: np.ndarray) -> np.ndarray:
-        """(window, first diagonal of the band) where enough q-grams of the window lie in a band of diagonals."""
+    def candidates(self, h: np.ndarray, text: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """(text, window, first diagonal of the band, from the text's begin) where enough q-grams of the window lie in a
+        band of diagonals of one text. h: q-grams of all texts, one after another; text: the text of each."""
         at = np.flatnonzero(self.seen[h >> np.uint64(64 - _BITS)]) if len(self.kinds) else np.zeros(0, np.int64)
         k = np.searchsorted(self.kinds, h[at])
         k = np.minimum(k, max(0, len(self.kinds) - 1))
@@ -108,59 +111,65 @@ class Patterns:
         at, k = at[real], k[real]
         n = self.count[k]
         post = np.repeat(self.start[k] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
-        window = self.window[post]
-        diagonal = np.repeat(at, n) - self.place[post] + WINDOW
-        band = diagonal // BAND
+        window, own = self.window[post], text[at]
+        diagonal = np.repeat(at - begin[own], n) - self.place[post] + WINDOW
+        band = diagonal // BAND + 1
         low = diagonal % BAND < self.edits[window]
-        key = np.concatenate([window << 40 | band, window[low] << 40 | (band[low] - 1)])
-        kinds, counts = np.unique(key, return_counts=True)
-        window = kinds >> 40
-        kept = counts >= self.bound[window]
-        return np.stack([window[kept], (kinds[kept] & ((1 << 40) - 1)) * BAND - WINDOW], 1)
-
-    def distances(self, text: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least edits between each candidate's window and a place of text on its band's diagonals; and the place's end."""
-        least, end = np.full(len(found), 1 << 30), np.zeros(len(found), np.int64)
-        for size in np.unique(self.size[found[:, 0]]) if len(found) else ():
-            for own in np.array_split(o := np.flatnonzero(self.size[found[:, 0]] == size), -(-len(o) // 256)):
-                w = np.stack([self.codes[k] for k in found[own, 0]])
-                slack = int(self.edits[found[own[0], 0]])
+        pair = (np.repeat(own, n) * len(self.codes) + window) << 28
+        key = np.sort(np.concatenate([pair | band, pair[low] | (band[low] - 1)]))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        pair = key[first] >> 28
+        kept = np.diff(np.append(first, len(key))) >= self.bound[pair % max(1, len(self.codes))]
+        pair, band = pair[kept], (key[first][kept] & ((1 << 28) - 1)) - 1
+        return np.stack([pair // max(1, len(self.codes)), pair % max(1, len(self.codes)), band * BAND - WINDOW], 1)
+
+    def distances(self, flat: np.ndarray, begin: np.ndarray, end: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Least edits between each candidate's window and a place of its text, flat[begin[t] : end[t]], on its band's
+        diagonals. Nothing outside of the text takes part: there each sign differs from all."""
+        least = np.full(len(found), 1 << 30)
+        for size in np.unique(self.size[found[:, 1]]) if len(found) else ():
+            for own in np.array_split(o := np.flatnonzero(self.size[found[:, 1]] == size), -(-len(o) // 256)):
+                w = np.stack([self.codes[k] for k in found[own, 1]])
+                slack = int(self.edits[found[own[0], 1]])
                 width = BAND + 3 * slack + 1
-                base = found[own, 1] - slack
+                base = begin[found[own, 0]] + found[own, 2] - slack
+                low, high = begin[found[own, 0]][:, None], end[found[own, 0]][:, None]
                 d = np.zeros((len(own), width), np.int32)
                 ramp = np.arange(width, dtype=np.int32)
                 for i in range(size):
                     place = base[:, None] + i + ramp
-                    inside = (place >= 0) & (place < len(text))
-                    chars = np.where(inside, text[np.clip(place, 0, len(text) - 1)], 0)
+                    inside = (place >= low) & (place < high)
+                    chars = np.where(inside, flat[np.clip(place, 0, len(flat) - 1)], 0)
                     up = np.full_like(d, 1 << 20)
                     up[:, :-1] = d[:, 1:] + 1
                     d = np.minimum(d + (chars != w[:, i, None]), up)
                     d = np.minimum.accumulate(d - ramp, axis=1) + ramp
                 least[own] = d.min(1)
-                end[own] = base + size + d.argmin(1)
-        return least, end
+        return least
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
-        """(text, item, windows matched, least edits) of the texts that hold a window of an item within its edits."""
+        """(text, item, windows matched, least edits) of the texts that hold a window of an item within its edits. What
+        is found in a text doesn't depend on the texts beside it."""
         parts = [normalised(t) for t in texts]
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
-        for p, e in zip(parts, ends.tolist(), strict=True):
-            flat[e - 1 - len(p) : e - 1] = p
-        found = self.candidates(grams(flat))
+        size = np.array([len(p) for p in parts], np.int64)
+        flat = np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.uint32)
+        end = np.cumsum(size)
+        text = np.repeat(np.arange(len(parts)), size)
+        h = grams(flat)
+        whole = text[: len(h)] == text[Q - 1 :][: len(h)]
+        h[~whole] = 0  # q-grams over the end of a text are none
+        found = self.candidates(h, text, end - size)
         out: dict[tuple[int, int], list] = {}
-        least, end = self.distances(flat, found)
-        for (w, _), d, e in zip(found.tolist(), least.tolist(), end.tolist(), strict=True):
+        least = self.distances(flat, end - size, end, found)
+        for (t, w, _), d in zip(found.tolist(), least.tolist(), strict=True):
             if d <= self.edits[w]:
-                t = int(np.searchsorted(ends, min(e, len(flat)) - 1, side="right"))
                 held = out.setdefault((t, self.item[w]), [set(), d])
                 held[0].add(w)
                 held[1] = min(held[1], d)
         for t, p in enumerate(parts if self.short else ()):
-            text = f" {''.join(map(chr, p))} "
+            own = f" {''.join(map(chr, p))} "
             for item, words in self.short:
-                if f" {words} " in text:
+                if f" {words} " in own:
                     out.setdefault((t, item), [{-1}, 0])
         return [(t, item, len(ws), d) for (t, item), (ws, d) in out.items()]
 
@@ -176,8 +185,8 @@ def _passes(benchmark: DataFrame) -> Iterator[Patterns]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, edits: the documents (doc_id, text) that hold an item of benchmark (item_id, text), or
-    one of its windows of WINDOW characters, within RATE edits a character. Case and signs don't count. Items of fewer
-    than Q characters match as whole words. Null texts hold nothing; rows with one doc_id give one row an item; an empty
+    one of its windows of WINDOW characters, within RATE edits a character (of fewer than 2 Q characters: none; than 3 Q:
+    one). Case and signs don't count. Items of fewer than Q characters match as whole words. Null texts hold nothing; rows with one doc_id give one row an item; an empty
     table on either side gives no rows; further columns are not read. Texts stay where they are: only matches move."""
     spark = docs.sparkSession
     prepare(spark)

@@ -452,3 +452,41 @@ def test_links_among_match_all_pairs():
         want = dict(forest((i, j) for i in range(len(sets)) for j in range(i) if lines.similar(sets[i], sets[j])))
         got = lines.links_among(list(range(len(some))), some)
         assert dict(forest(got)) == want and len(got) == len(want)
+
+
+def test_matches_are_those_of_each_text_alone():
+    item = "quick brown fox"
+    assert sorted(decontam.Patterns([(1, item)]).matches([item] * 3)) == [(t, 1, 1, 0) for t in range(3)]
+    long = prose(40, 900)
+    patterns = decontam.Patterns([(1, long), (2, item), (3, prose(9, 901)), (4, "ab cd"), (5, prose(4, 902))])
+    half = len(long) // 2
+    assert all(t not in (0, 1) for t, *_ in patterns.matches([long[: half // 2], long[half // 2 : half // 2 + 70], "x"]))
+    rng = random.Random(4)
+    texts = []
+    for k in range(300):
+        x = list(rng.choice([long, item, prose(9, 901), "ab cd", prose(4, 902), prose(5, k)]))
+        for _ in range(rng.randrange(3)):
+            x[rng.randrange(len(x))] = rng.choice("xyz ")
+        x = "".join(x)
+        texts.append(rng.choice([x, x[: rng.randrange(len(x))], prose(rng.randrange(1, 8), k) + " " + x, ""]))
+    alone = {t: sorted(m[1:] for m in patterns.matches([t])) for t in texts}
+    for size in (2, 7, 300):
+        rng.shuffle(texts)
+        for k in range(0, len(texts), size):
+            got = collections.defaultdict(list)
+            for t, *m in patterns.matches(texts[k : k + size]):
+                got[t].append(tuple(m))
+            assert [sorted(got[i]) for i in range(len(texts[k : k + size]))] == [alone[t] for t in texts[k : k + size]]
+
+
+def test_short_items_within_their_edits_are_found():
+    rng = random.Random(6)
+    for size in range(10, 60):
+        item = "a" + prose(30, size)[:size].strip() + "b"
+        patterns = decontam.Patterns([(1, item)])
+        edits = int(patterns.edits[0])
+        for _ in range(5):
+            c = list("".join(map(chr, decontam.normalised(item))))
+            for p in rng.sample(range(len(c)), edits):
+                c[p] = "q"
+            assert [m[:2] for m in patterns.matches([prose(6, 7000 + size), prose(5, 1) + "".join(c) + prose(5, 2)])] == [(1, 1)]
