@@ -1,163 +1,132 @@
-"""Subtitle lines from timed words: greedy groups, short ends and flashes repaired, at most two balanced lines."""
+"""Captions from timed words: the segmentation of least cost over all places to break, and lines of even length."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-from dataclasses import dataclass
-from typing import NamedTuple
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import turns
-
-
-@dataclass(frozen=True)
-class Rules:
-    line: int = 32
-    lines: int = 2
-    pause_us: int = 500_000
-    longest_us: int = 6_000_000
-    linger_us: int = 150_000
-    shortest_us: int = 800_000
-    flash_us: int = 300_000
-    orphan: int = 10
-
-
-class Word(NamedTuple):
-    start: int
-    end: int
-    text: str
-
-
-# Signs that hold on to the word before or after them, and those that end a sentence or a part of one.
-HOLDS_BEFORE = re.compile(r"[-‐-―%°'’.,;:!?)\]]")
-HOLDS_AFTER = re.compile(r"[-‐-―$#(\[€£]$")
-ENDS = re.compile(r"""[.?!]["')\]]?$""")
-HALF_ENDS = re.compile("[,;:]$")
-
-
-def together(a: str, b: str) -> bool:
-    """No line ends between a and b."""
-    return bool(HOLDS_BEFORE.match(b) or HOLDS_AFTER.search(a))
-
-
-def text_of(words: Sequence[Word]) -> str:
-    return " ".join(w.text for w in words)
-
-
-def lines_of(words: Sequence[Word], rules: Rules) -> list[str] | None:
-    """One line, or the two that differ least in length, an end of a part being worth six characters; None without room."""
-    whole = text_of(words)
-    if len(whole) <= rules.line:
-        return [whole]
-    if len(words) == 1:
-        return [whole] if len(whole) <= rules.line * rules.lines else None
-    if rules.lines < 2:
-        return None
-    splits = []
-    for k in range(1, len(words)):
-        a, b = text_of(words[:k]), text_of(words[k:])
-        if max(len(a), len(b)) <= rules.line and not together(words[k - 1].text, words[k].text):
-            splits.append((abs(len(a) - len(b)) - 6 * (a[-1] in ",;:.?!"), k, [a, b]))
-    return min(splits, key=lambda s: s[:2])[2] if splits else None
-
-
-def grouped(words: Sequence[Word], rules: Rules) -> list[list[Word]]:
-    """Words taken while they have room, don't follow a pause and don't last too long; a sentence's end ends a group."""
-    out: list[list[Word]] = []
-    open_ = False
-    for k, w in enumerate(words):
-        if open_:
-            own = out[-1]
-            apart = w.start - own[-1].end >= rules.pause_us or w.end - own[0].start > rules.longest_us
-            open_ = lines_of([*own, w], rules) is not None and (not apart or together(own[-1].text, w.text))
-        if open_:
-            out[-1].append(w)
-        else:
-            out.append([w])
-        held = k + 1 < len(words) and together(w.text, words[k + 1].text)
-        half = HALF_ENDS.search(w.text) and len(text_of(out[-1])) > rules.line * rules.lines / 2
-        open_ = held or not (ENDS.search(w.text) or half)
-    return out
-
-
-def shared(a: list[Word], b: list[Word], rules: Rules) -> list[list[Word]] | None:
-    """Two groups as one, or parted anew so that the second isn't short."""
-    both = a + b
-    if both[-1].end - both[0].start <= rules.longest_us and lines_of(both, rules):
-        return [both]
-    best = None
-    for k in range(1, len(both)):
-        left, right = both[:k], both[k:]
-        if together(left[-1].text, right[0].text) or len(text_of(right)) <= rules.orphan or not lines_of(left, rules) or not lines_of(right, rules):
-            continue
-        score = abs(len(text_of(left)) - len(text_of(right))) - 12 * bool(HALF_ENDS.search(left[-1].text))
-        if best is None or score < best[0]:
-            best = score, [left, right]
-    return best and best[1]
-
-
-def repaired(groups: list[list[Word]], rules: Rules) -> list[list[Word]]:
-    """Short last groups of a sentence shared with the one before; groups that would flash by joined to a neighbour."""
-    out: list[list[Word]] = []
-    for g in groups:
-        before = out[-1] if out else None
-        short = len(text_of(g)) <= rules.orphan
-        if before and short and g[0].start - before[-1].end < rules.pause_us and not ENDS.search(before[-1].text) and (new := shared(before, g, rules)):
-            out[-1:] = new
-        else:
-            out.append(g)
-    k = 0
-    while k + 1 < len(out):
-        if out[k + 1][0].start - out[k][0].start >= rules.flash_us:
-            k += 1
-        elif lines_of(out[k] + out[k + 1], rules):
-            out[k : k + 2] = [out[k] + out[k + 1]]
-        elif k and lines_of(out[k - 1] + out[k], rules):
-            out[k - 1 : k + 1] = [out[k - 1] + out[k]]
-            k -= 1
-        else:
-            k += 1
-    return out
-
-
-def cues(words: Sequence[Word], limit: int, rules: Rules = Rules()) -> list[tuple[int, int, str]]:
-    """(start, end, text) of the lines of one span, which don't run into each other or beyond the limit."""
-    groups = repaired(grouped([w for w in words if w.text], rules), rules)
-    out = []
-    for k, g in enumerate(groups):
-        most = groups[k + 1][0].start if k + 1 < len(groups) else limit
-        wanted = max(g[-1].end + rules.linger_us, g[0].start + rules.shortest_us)
-        out.append((g[0].start, max(min(most, wanted), min(g[-1].end, most)), "\n".join(lines_of(g, rules) or [text_of(g)])))
-    return out
+from ..sources.tables import table, turns
+
+# Characters of a line, a pause that parts captions, the longest time of one, how long it stays after
+# its last word, the least time it should be seen, and what an end of a part is worth in characters.
+LINE, PAUSE_US, LONGEST_US, LINGER_US, SHORTEST_US, PART_END = 32, 500_000, 6_000_000, 150_000, 800_000, 6
+ENDS, HALF_ENDS = ".?!", ",;:"
+#: What breaks cost: each caption, room left unused, an end within a sentence or after a part of one, a caption that is
+#: seen for less than SHORTEST_US, and a sentence that ends inside.
+EACH, UNUSED, TORN, HALF, BRIEF, INSIDE = 1.0, 1.0, 1.0, 0.25, 1.5, 0.5
+
+
+def two_lines(words: Column, line: int = LINE) -> Column:
+    """The words as one line, or as the two that differ least in length (an end of a part before the break is worth
+    PART_END), the earlier break of equals; null where there is no room. Functions of Spark only."""
+    whole = F.array_join(words, " ")
+    left = lambda k: F.array_join(F.slice(words, F.lit(1), k), " ")
+    right = lambda k: F.array_join(F.slice(words, k + 1, F.size(words)), " ")
+    breaks = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 1)), lambda k: (k < F.size(words)) & (F.char_length(left(k)) <= line) & (F.char_length(right(k)) <= line))
+    bonus = lambda a: F.when(F.right(a, F.lit(1)).isin(*ENDS, *HALF_ENDS), PART_END).otherwise(0)
+    scored = F.transform(breaks, lambda k: F.struct((F.abs(F.char_length(left(k)) - F.char_length(right(k))) - bonus(left(k))).alias("score"), k.alias("k")))
+    k = F.array_min(scored)["k"]
+    return F.when(F.char_length(whole) <= line, whole).when(k.isNotNull(), F.concat(left(k), F.lit("\n"), right(k)))
+
+
+def roomy(lengths: list[int], line: int = LINE) -> bool:
+    """Words of these lengths fit in two lines."""
+    left, rows = line, 1
+    for n in lengths:
+        if n > left and left < line:
+            left, rows = line, rows + 1
+        if n > left or rows > 2:
+            return False
+        left -= n + 1
+    return True
+
+
+def cost_of(words: list[tuple[int, int, str]], last: bool) -> float:
+    """What a caption of these words (start, end, text) costs; infinite if it has no room, a pause inside or lasts too
+    long. A single word is always allowed."""
+    lengths = [len(w) for *_, w in words]
+    if len(words) > 1:
+        apart = any(b[0] - a[1] >= PAUSE_US for a, b in zip(words, words[1:]))
+        if apart or words[-1][1] - words[0][0] > LONGEST_US or not roomy(lengths):
+            return float("inf")
+    sign = words[-1][2][-1:]
+    torn = 0.0 if last or sign in ENDS else HALF if sign in HALF_ENDS else TORN
+    room = 1 - (sum(lengths) + len(words) - 1) / (2 * LINE)
+    inside = sum(w[-1:] in ENDS for *_, w in words[:-1])
+    return EACH + UNUSED * max(0.0, room) ** 2 + torn + BRIEF * (words[-1][1] - words[0][0] < SHORTEST_US) + INSIDE * inside
+
+
+def segmentation(words: list[tuple[int, int, str]]) -> list[int]:
+    """Ends of the captions (words before each break) of least total cost; of equals the one with the later last breaks.
+    The best way to break the words before each place is found once, from the places before it that are in reach."""
+    best, back = [0.0], [0]
+    for j in range(1, len(words) + 1):
+        least, at = float("inf"), j - 1
+        for i in range(j - 1, -1, -1):
+            c = cost_of(words[i:j], j == len(words))
+            if c == float("inf"):
+                break
+            if best[i] + c < least - 1e-12:
+                least, at = best[i] + c, i
+        best.append(least)
+        back.append(at)
+    out, j = [], len(words)
+    while j:
+        out.append(j)
+        j = back[j]
+    return out[::-1]
 
 
 def segmented(words: DataFrame, by: list[str], segment: str, end_us: str) -> DataFrame:
-    """by, segment, n, start_us, end_us, text: lines of each segment of words (start_us, stop_us, word). A segment is one
-    fold; the next segment's first word, or the group's end_us, limits its last line, by a window over the segments."""
-    first = words.groupBy(*by, segment).agg(F.min("start_us").alias("_first"), F.max(end_us).alias("_end"))
-    nxt = F.least(F.coalesce(F.lead("_first").over(Window.partitionBy(*by).orderBy("_first", segment)), "_end"), "_end")
-    limits = first.select(*by, segment, nxt.alias("_limit"))
-    kinds = {f.name: f.dataType.simpleString() for f in words.schema}
-    keys = [*by, segment]
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["start_us", "place"], kind="stable")
-        got = cues([Word(int(a), int(z), t) for a, z, t in zip(g.start_us, g.stop_us, g.word, strict=True)], int(g._limit.iloc[0]))
-        return pd.DataFrame({k: [g[k].iloc[0]] * len(got) for k in keys} | {"n": range(len(got)), "start_us": [c[0] for c in got], "end_us": [c[1] for c in got], "text": [c[2] for c in got]})
-
-    return words.join(limits, keys).groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n int, start_us long, end_us long, text string")
-
-
-@query("s16_s17_subtitle_lines")
+    """by, segment, n, start_us, end_us, text: captions of each segment of words (place, start_us, stop_us, word). A caption
+    stays LINGER_US after its last word, or until it was seen for SHORTEST_US, but not into the next one, the next
+    segment or beyond the group's end_us. The words of one segment meet in one row; segments are independent."""
+    first = words.groupBy(*by, segment).agg(F.min("start_us").alias("_first"), F.max(end_us).alias("_end"), F.array_sort(F.collect_list(F.struct("start_us", "place", "stop_us", "word"))).alias("_words"))
+    rows = first.select(*by, segment, F.least(F.coalesce(F.lead("_first").over(Window.partitionBy(*by).orderBy("_first", segment)), "_end"), "_end").alias("_limit"), "_words")
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by, segment).schema)
+
+    def broken(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            row, n, low, high, own = [], [], [], [], []
+            for r, (ws, limit) in enumerate(zip(b.column("_words").to_pylist(), b.column("_limit").to_pylist(), strict=True)):
+                timed = [(w["start_us"], w["stop_us"], w["word"]) for w in ws]
+                ends = segmentation(timed)
+                for k, (i, j) in enumerate(zip([0, *ends], ends, strict=False)):
+                    nxt = timed[j][0] if j < len(timed) else limit
+                    row.append(r)
+                    n.append(k)
+                    low.append(timed[i][0])
+                    high.append(min(nxt, max(timed[j - 1][1] + LINGER_US, timed[i][0] + SHORTEST_US)))
+                    own.append([w for *_, w in timed[i:j]])
+            own_keys = [b.column(c).take(pa.array(row, pa.int64())) for c in (*by, segment)]
+            yield pa.RecordBatch.from_arrays([*own_keys, pa.array(n, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(own, pa.list_(pa.string()))], names=[*by, segment, "n", "start_us", "end_us", "words"])
+
+    got = rows.mapInArrow(broken, f"{keys}, n int, start_us long, end_us long, words array<string>")
+    return got.select(*by, segment, "n", "start_us", "end_us", F.coalesce(two_lines(F.col("words")), F.array_join("words", " ")).alias("text"))
+
+
+@query("s16_caption_segmentation")
 def s16(spark: SparkSession, d: str) -> DataFrame:
-    """Turns as segments of words that last a fifth of a second for each character."""
+    """Turns as segments of words that last 60 ms for each character."""
     words = turns(spark, d).select("conv_id", "pos", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("place", "word"))
     size = F.char_length("word").cast("long") * 60_000
     before = F.coalesce(F.sum(size).over(Window.partitionBy("conv_id").orderBy("pos", "place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     timed = words.withColumn("start_us", before).withColumn("stop_us", before + size)
     return segmented(timed.withColumn("end", F.max("stop_us").over(Window.partitionBy("conv_id"))), ["conv_id"], "pos", "end")
+
+
+_LINES = """w AS (SELECT item_id, string_split(text, ' ') AS ws, length(text) AS n FROM benchmark WHERE text IS NOT NULL),
+k AS (SELECT item_id, unnest(range(1, len(ws))) AS k, ws FROM w),
+s AS (SELECT item_id, k, array_to_string(ws[1:k], ' ') AS a, array_to_string(ws[k + 1:], ' ') AS b FROM k),
+f AS (SELECT item_id, a, b, k, abs(length(a) - length(b)) - CASE WHEN right(a, 1) IN ('.', '?', '!', ',', ';', ':') THEN 6 ELSE 0 END AS score FROM s WHERE length(a) <= 160 AND length(b) <= 160)"""
+
+
+@query("s17_two_lines", "SELECT w.item_id, CASE WHEN n <= 160 THEN array_to_string(ws, ' ') ELSE g.text END AS text FROM w LEFT JOIN (SELECT item_id, min_by(a || chr(10) || b, (score, k)) AS text FROM f GROUP BY 1) g ON w.item_id = g.item_id", (_LINES,))
+def s17(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items in at most two lines of 160 characters; null where there is no room."""
+    items = table(spark, d, "benchmark").where("text IS NOT NULL")
+    return items.select("item_id", two_lines(F.split("text", " "), 160).alias("text"))

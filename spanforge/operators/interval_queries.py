@@ -289,7 +289,10 @@ def i34(spark: SparkSession, d: str) -> DataFrame:
 def i35(spark: SparkSession, d: str) -> DataFrame:
     """Length of the views whose middle is in some click."""
     a, b = ranges(spark, d, "view").withColumn("mid", F.floor((F.col("start_us") + F.col("end_us")) / 2).cast("long")), ranges(spark, d, "click", "b_")
-    inside = a.join(b, (a.user_id == b.user_id) & (a.mid >= b.b_start_us) & (a.mid < b.b_end_us), "left_semi").groupBy("user_id").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("covered_us"))
+    size = F.col("end_us") - F.col("start_us")
+    spans = b.select("user_id", F.col("b_start_us").alias("start_us"), F.col("b_end_us").alias("end_us"))
+    held = I.locate(a.select("user_id", "id", "mid", size.alias("size")), spans, ["user_id"], "mid").select("user_id", "id", "size").distinct()
+    inside = held.groupBy("user_id").agg(F.sum("size").alias("covered_us"))
     return a.groupBy("user_id").agg(F.count("*").alias("words")).join(inside, "user_id", "left").select("user_id", "words", F.coalesce("covered_us", F.lit(0).cast("long")).alias("covered_us"))
 
 

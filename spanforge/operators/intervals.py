@@ -1,6 +1,7 @@
 """Half-open ranges [start_us, end_us): layout, joins, subtraction, coalescing. Microseconds are integers.
 
-All joins have an equality on the group columns `by` beside the range condition, so they are hash or sort-merge joins.
+Ranges meet by an equality on the group columns `by` and on bins of time, so joins are hash or sort-merge joins and
+don't pair all rows of a group.
 """
 
 from __future__ import annotations
@@ -9,6 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
+#: Width of the bins of time by which ranges meet: about the length of a range is best.
+BIN_US = 24 * 3_600_000_000
+
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Two half-open ranges share a point."""
@@ -22,15 +28,27 @@ def layout(items: DataFrame, by: list[str], order: str, duration: str = "dur") -
     return items.withColumn("start_us", start).withColumn("end_us", F.col("start_us") + F.col(duration))
 
 
-def locate(points: DataFrame, ranges: DataFrame, by: list[str], at: str = "p") -> DataFrame:
-    """Each point with the ranges of its group that hold it, and its offset in them."""
-    return points.join(ranges, by).where((F.col(at) >= F.col("start_us")) & (F.col(at) < F.col("end_us"))).withColumn("offset", F.col(at) - F.col("start_us"))
+def binned(ranges: DataFrame, start: str, end: str, bin_us: int) -> DataFrame:
+    """ranges once for each bin of time that they reach into, with _bin. An empty range is in the bin of its start."""
+    at = lambda c: F.floor(c / bin_us).cast("long")
+    return ranges.withColumn("_bin", F.explode(F.sequence(at(F.col(start)), at(F.greatest(F.col(start), F.col(end) - 1)))))
+
+
+def locate(points: DataFrame, ranges: DataFrame, by: list[str], at: str = "p", bin_us: int = BIN_US) -> DataFrame:
+    """Each point with the ranges of its group that hold it, and its offset in them. A point meets the ranges of its bin."""
+    own = points.withColumn("_bin", F.floor(F.col(at) / bin_us).cast("long"))
+    hit = own.join(binned(ranges, "start_us", "end_us", bin_us), [*by, "_bin"]).where((F.col(at) >= F.col("start_us")) & (F.col(at) < F.col("end_us")))
+    return hit.drop("_bin").withColumn("offset", F.col(at) - F.col("start_us"))
 
 
-def intersect(left: DataFrame, right: DataFrame, by: list[str], prefix: str = "b_") -> DataFrame:
-    """Pairs of overlapping ranges of a group, with from_us and to_us of what they share. The columns of right begin with prefix."""
+def intersect(left: DataFrame, right: DataFrame, by: list[str], prefix: str = "b_", bin_us: int = BIN_US) -> DataFrame:
+    """Pairs of overlapping ranges of a group, with from_us and to_us of what they share. The columns of right begin with
+    prefix. Ranges meet by group and bin of time, and a pair counts in the bin where its overlap begins, so a group with
+    very many ranges is spread, and rows that are far apart never meet."""
     hit = overlap(F.col("start_us"), F.col("end_us"), F.col(f"{prefix}start_us"), F.col(f"{prefix}end_us"))
-    return left.join(right, by).where(hit).withColumns({"from_us": F.greatest("start_us", f"{prefix}start_us"), "to_us": F.least("end_us", f"{prefix}end_us")})
+    begins = F.floor(F.greatest("start_us", f"{prefix}start_us") / bin_us).cast("long") == F.col("_bin")
+    met = binned(left, "start_us", "end_us", bin_us).join(binned(right, f"{prefix}start_us", f"{prefix}end_us", bin_us), [*by, "_bin"]).where(begins & hit).drop("_bin")
+    return met.withColumns({"from_us": F.greatest("start_us", f"{prefix}start_us"), "to_us": F.least("end_us", f"{prefix}end_us")})
 
 
 def occurrence(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -73,18 +91,14 @@ def as_of(probes: DataFrame, rows: DataFrame, by: list[str], at: str, time: str,
 def first_overlapping(ranges: DataFrame, by: list[str]) -> DataFrame:
     """Each range with the id of the first other range of its group that overlaps it, by start and then id; null if none."""
     other = ranges.select(*by, F.col("id").alias("b_id"), F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"))
-    hit = (F.col("id") != F.col("b_id")) & overlap(F.col("start_us"), F.col("end_us"), F.col("b_start_us"), F.col("b_end_us"))
-    found = ranges.join(other, by).where(hit).groupBy(*by, "id").agg(F.min_by("b_id", F.struct("b_start_us", "b_id")).alias("other"))
+    found = intersect(ranges.select(*by, "id", "start_us", "end_us"), other, by).where("id <> b_id").groupBy(*by, "id").agg(F.min_by("b_id", F.struct("b_start_us", "b_id")).alias("other"))
     return ranges.join(found, [*by, "id"], "left")
 
 
 def without_overlap(rows: DataFrame, blockers: DataFrame, by: list[str], prefix: str = "b_") -> DataFrame:
-    """Rows that overlap no blocker of their group."""
-    hit = overlap(rows.start_us, rows.end_us, blockers[f"{prefix}start_us"], blockers[f"{prefix}end_us"])
-    on = hit
-    for c in by:
-        on = on & (rows[c] == blockers[c])
-    return rows.join(blockers, on, "left_anti")
+    """Rows (by, id, start_us, end_us, ...) that overlap no blocker of their group."""
+    hit = intersect(rows.select(*by, "id", "start_us", "end_us"), blockers, by, prefix).select(*by, "id").distinct()
+    return rows.join(hit, [*by, "id"], "left_anti")
 
 
 def snapped(us: Column, num: int, den: int, how: str = "round") -> Column:
@@ -96,26 +110,18 @@ def snapped(us: Column, num: int, den: int, how: str = "round") -> Column:
 
 def accepted_in_order(rows: DataFrame, by: list[str], most: int, least_us: int) -> DataFrame:
     """Admission in order of start and id: by, id, verdict. A row is refused as too_short, overlapping the last accepted
-    row, or over the limit of rows; each accepted row blocks later ones. The state is the last accepted row, so a group
-    goes through one fold; groups are independent."""
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["start_us", "id"], kind="stable")
-        end, n, out = None, 0, []
-        for s, e in zip(g.start_us, g.end_us, strict=True):
-            if e - s < least_us:
-                out.append("too_short")
-            elif end is not None and s < end:
-                out.append("overlap")
-            elif n >= most:
-                out.append("limit")
-            else:
-                out.append("accepted")
-                end, n = e, n + 1
-        return g[[*by, "id"]].assign(verdict=out)
-
-    return rows.groupBy(*by).applyInPandas(fold, ", ".join(f"{c} {fields[c]}" for c in [*by, "id"]) + ", verdict string")
+    row, or over the limit of rows; each accepted row blocks later ones. The state is the last accepted row's end and
+    the number accepted."""
+
+    def step(state: tuple, row: tuple) -> tuple:
+        (end, n), (s, e) = state, row
+        if e - s < least_us:
+            return state, "too_short"
+        if end is not None and s < end:
+            return state, "overlap"
+        return (state, "limit") if n >= most else ((e, n + 1), "accepted")
+
+    return folded(rows.select(*by, "id", "start_us", "end_us"), by, ["start_us", "id"], lambda: (None, 0), step, ["start_us", "end_us"], "verdict", "string").select(*by, "id", "verdict")
 
 
 def pieces_left(start: int, end: int, removals: list[tuple[int, int]], least: int) -> int:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cost_micro
 from ..registry import query
 from ..sources.tables import INVITES, JOBS, POINTS, invites, jobs, points, table
+from .folds import folded
 
 OPEN = ("reserved", "running")
 PRICE = 210_000
 HOUR_MS = 3_600_000
 NOW_MS = 900_000_000_000
+# The longest job, and the age at which a reservation is released.
+LONGEST_JOB_S, STALE_MS = 4500, 1_800_000
 _OPEN = "state IN ('reserved', 'running')"
 _COST = f"CAST((reserved_s * {PRICE} + 3599) // 3600 AS BIGINT)"
 _RATE = f"rate AS (SELECT user_id, us // {HOUR_MS * 1000} AS win, count(*) AS n, max(us) // 1000 AS last_ms FROM pts GROUP BY ALL)"
@@ -33,29 +35,45 @@ def early_delete_seconds(reserved_s: Column, size: Column, slack: int = 60) -> C
 def admitted(attempts: DataFrame, limits: DataFrame, by: str, price: int, cap_micro: int) -> DataFrame:
     """Replays attempts (by, id, at, seconds) of each invite in order against its quota: by, id, verdict.
 
-    A check depends on what was accepted before, so each invite's log is one fold; invites don't depend on each other
-    but for the common cap, which is applied to each invite's own spending here."""
-
-    def fold(log: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        log = log.sort_values(["at", "id"], kind="stable")
-        quota = None if own.empty or bool(own.revoked.iloc[0]) else int(own.quota_s.iloc[0] - own.used_s.iloc[0])
-        used, out = 0, []
-        for s in log.seconds:
-            cost = -(-(used + int(s)) * price // 3600)
-            if quota is None:
-                out.append("invite_invalid")
-            elif s > 4500:
-                out.append("too_long")
-            elif used + s > quota:
-                out.append("invite_minutes_used_up")
-            elif cost > cap_micro:
-                out.append("monthly_cap_reached")
-            else:
-                out.append("accepted")
-                used += int(s)
-        return log[[by, "id"]].assign(verdict=out)
-
-    return attempts.groupBy(by).cogroup(limits.groupBy(by)).applyInPandas(fold, f"{by} long, id long, verdict string")
+    A check depends on what was accepted before, so an invite's log is a fold whose state is the seconds used; the cap is
+    one of each invite's own spending (see decided for the whole chain with the common one)."""
+    own = limits.select(by, F.when(~F.coalesce("revoked", F.lit(True)), F.col("quota_s") - F.col("used_s")).alias("_quota")).dropDuplicates([by])
+
+    def step(used: int, row: tuple) -> tuple:
+        s, quota = row
+        cost = -(-(used + int(s)) * price // 3600)
+        refusal = "invite_invalid" if quota is None else "too_long" if s > LONGEST_JOB_S else "invite_minutes_used_up" if used + s > quota else "invite_cap_reached" if cost > cap_micro else None
+        return (used, refusal) if refusal else (used + int(s), "accepted")
+
+    return folded(attempts.join(own, by, "left"), [by], ["at", "id"], int, step, ["seconds", "_quota"], "verdict", "string").select(by, "id", "verdict")
+
+
+def decided(attempts: DataFrame, ledger: DataFrame, limits: DataFrame, tries: DataFrame, enabled: bool, price: int, cap_micro: int, per_hour: int, now_ms: int) -> DataFrame:
+    """id, verdict of attempts (id, invite, month, seconds; each by itself, against the ledger as it is), by the first rule
+    that refuses: too many tries of the invite in its hour (tries: invite, n), service off, invite unknown or revoked,
+    a job in progress (reservations older than half an hour are released first), too long, minutes of the invite used
+    up, monthly cap reached by all invites together, id taken. Facts are aggregated by invite and month before they
+    are joined, so nothing is multiplied."""
+    live = ledger.withColumn("state", F.when((F.col("state") == "reserved") & (F.col("created_ms") < now_ms - STALE_MS), "failed").otherwise(F.col("state")))
+    held = live.where(F.col("state").isin(*OPEN))
+    by_invite = held.groupBy("invite").agg(F.count("*").alias("active"), F.sum("reserved_s").alias("held_s"))
+    spent = F.when(F.col("state").isin(*OPEN), cost_micro(F.col("reserved_s"), price)).when(F.col("state") == "completed", cost_micro(F.greatest("actual_s", F.lit(0)), price)).otherwise(0)
+    by_month = live.groupBy("month").agg(F.sum(spent).alias("spent"))
+    known = limits.select("invite", "quota_s", "used_s", "revoked")
+    x = attempts.join(tries.select("invite", F.col("n").alias("tries")), "invite", "left").join(known, "invite", "left").join(by_invite, "invite", "left").join(by_month, "month", "left")
+    x = x.join(ledger.select("id", F.lit(True).alias("taken")).distinct(), "id", "left")
+    zero, seconds = F.lit(0).cast("long"), F.ceil("seconds").cast("long")
+    rules = [
+        ("rate_limited", F.coalesce("tries", zero) > per_hour),
+        ("cloud_off", F.lit(not enabled or cap_micro <= 0)),
+        ("invite_invalid", F.coalesce("revoked", F.lit(True))),
+        ("job_in_progress", F.coalesce("active", zero) > 0),
+        ("too_long", seconds > LONGEST_JOB_S),
+        ("invite_minutes_used_up", F.col("used_s") + F.coalesce("held_s", zero) + seconds > F.col("quota_s")),
+        ("monthly_cap_reached", F.coalesce("spent", zero) + cost_micro(seconds, price) > cap_micro),
+        ("job_id_taken", F.coalesce("taken", F.lit(False))),
+    ]
+    return x.select("id", F.coalesce(*(F.when(rule, code) for code, rule in rules), F.lit("accepted")).alias("verdict"))
 
 
 @query("l1_keyed_lookup", "SELECT id, invite, state, reserved_s FROM jobs WHERE id = 77", (JOBS,))
@@ -103,6 +121,25 @@ def l8(spark: SparkSession, d: str) -> DataFrame:
     return admitted(log, invites(spark, d), "invite", PRICE, 5_000_000)
 
 
+_TRIES = "tries AS (SELECT o_custkey AS invite, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1)"
+_CHAIN = f"""live AS (SELECT * REPLACE (CASE WHEN state = 'reserved' AND created_ms < {NOW_MS} - 1800000 THEN 'failed' ELSE state END AS state) FROM jobs),
+held AS (SELECT invite, count(*) AS active, sum(reserved_s) AS held_s FROM live WHERE {_OPEN} GROUP BY 1),
+spent AS (SELECT month, sum(CASE WHEN {_OPEN} THEN {_COST} WHEN state = 'completed' THEN (greatest(actual_s, 0) * {PRICE} + 3599) // 3600 ELSE 0 END) AS spent FROM live GROUP BY 1),
+tried AS (SELECT c_custkey * 7 AS id, c_custkey + c_custkey % 20 // 19 * 10000000 AS invite, '199' || c_custkey % 9 || '-0' || (1 + c_custkey % 9) AS month, 200 + c_custkey * 37 % 4600 AS seconds FROM customer)"""
+
+
+@query("l8_admission_chain", f"""SELECT t.id, CASE WHEN coalesce(r.n, 0) > 4 THEN 'rate_limited' WHEN coalesce(i.revoked, true) THEN 'invite_invalid' WHEN coalesce(h.active, 0) > 0 THEN 'job_in_progress' WHEN seconds > 4500 THEN 'too_long'
+WHEN i.used_s + coalesce(h.held_s, 0) + seconds > i.quota_s THEN 'invite_minutes_used_up' WHEN coalesce(s.spent, 0) + (seconds * {PRICE} + 3599) // 3600 > 9000000 THEN 'monthly_cap_reached' WHEN EXISTS (SELECT 1 FROM jobs j WHERE j.id = t.id) THEN 'job_id_taken' ELSE 'accepted' END AS verdict
+FROM tried t LEFT JOIN tries r ON t.invite = r.invite LEFT JOIN invites i ON t.invite = i.invite LEFT JOIN held h ON t.invite = h.invite LEFT JOIN spent s ON t.month = s.month""", (JOBS, INVITES, _TRIES, _CHAIN))
+def l8_chain(spark: SparkSession, d: str) -> DataFrame:
+    """One attempt of each customer, some under invites that aren't known."""
+    k = F.col("c_custkey")
+    month = F.concat(F.lit("199"), k % 9, F.lit("-0"), 1 + k % 9)
+    tried = table(spark, d, "customer").select((k * 7).alias("id"), F.expr("c_custkey + (c_custkey % 20) div 19 * 10000000").alias("invite"), month.alias("month"), (200 + k * 37 % 4600).alias("seconds"))
+    tries = jobs(spark, d).where("id % 4 = 0").groupBy("invite").agg(F.count("*").alias("n"))
+    return decided(tried, jobs(spark, d), invites(spark, d), tries, True, PRICE, 9_000_000, 4, NOW_MS)
+
+
 @query("l9_insert_reservation", f"SELECT id, invite, state, reserved_s FROM jobs WHERE {_OPEN} UNION ALL SELECT c_custkey + 1000000, c_custkey, 'reserved', 600 FROM customer", (JOBS,))
 def l9(spark: SparkSession, d: str) -> DataFrame:
     new = table(spark, d, "customer").select((F.col("c_custkey") + 1_000_000).alias("id"), F.col("c_custkey").alias("invite"), F.lit("reserved").alias("state"), F.lit(600).cast("long").alias("reserved_s"))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import decibels
 from ..registry import query
 from ..sources.tables import POINTS, points
+from .folds import folded
 from .segments import rank_percentiles
 
 DAY = 86_400_000_000
 OFFSET = -0.691
+#: Samples of a marker that is looked for.
+MARKER = 100_000
 
 
 def framed(samples: DataFrame, by: list[str], time: str, value: str, step: int, floor: float = -120.0) -> DataFrame:
@@ -95,13 +98,73 @@ def interpolated(grid: DataFrame, knots: DataFrame, by: list[str], at: str = "x"
     return both.where("_grid = 1").select(*by, F.col("_x").alias(at), y.alias("y"))
 
 
-def biquad(x: np.ndarray, b: tuple[float, float, float], a: tuple[float, float]) -> np.ndarray:
-    """A second-order recursive filter, direct form II transposed."""
-    y, s1, s2 = np.empty(len(x)), 0.0, 0.0
-    for i, v in enumerate(x):
-        y[i] = o = b[0] * v + s1
-        s1, s2 = b[1] * v - a[0] * o + s2, b[2] * v - a[1] * o
-    return y
+# Fixed values of ITU-R BS.1770-4, Annex 1, as an analogue prototype: the shelf's frequency, gain in dB, quality and the
+# power of its gain at the band's edge; the high pass's frequency and quality.
+SHELF_HZ, SHELF_DB, SHELF_Q, SHELF_EDGE = 1681.974450955533, 3.999843853973347, 0.7071752369554196, 0.4996667741545416
+PASS_HZ, PASS_Q = 38.13547087602444, 0.5003270373238773
+
+
+def k_filter(rate: float) -> list[tuple[tuple[float, float, float], tuple[float, float]]]:
+    """(feed-forward, feedback) coefficients of the two stages of the K filter at a sample rate, by the bilinear transform."""
+
+    def stage(hz: float, q: float, low: float, band: float, high: float) -> tuple:
+        w = math.tan(math.pi * hz / rate)
+        top, bottom = (high + band * w / q + low * w * w), 1 + w / q + w * w
+        ahead = (top / bottom, 2 * (low * w * w - high) / bottom, (high - band * w / q + low * w * w) / bottom)
+        return ahead, (2 * (w * w - 1) / bottom, (1 - w / q + w * w) / bottom)
+
+    gain = 10 ** (SHELF_DB / 20)
+    shelf, (_, back) = stage(SHELF_HZ, SHELF_Q, 1.0, gain**SHELF_EDGE, gain), stage(PASS_HZ, PASS_Q, 0.0, 0.0, 1.0)
+    return [shelf, ((1.0, -2.0, 1.0), back)]
+
+
+def filtered(samples: DataFrame, by: list[str], order: str, value: str, stages: list) -> DataFrame:
+    """samples with y: their value after recursive filters of second order, one after another. A filter's state is two
+    numbers a stage, so a series goes through in one fold whatever its length; series are independent."""
+
+    def step(state: list, row: tuple) -> tuple:
+        x, after = row[0], []
+        for (b0, b1, b2), (a1, a2), (s, t) in ((b, a, st) for (b, a), st in zip(stages, state, strict=True)):
+            y = b0 * x + s
+            after.append((b1 * x - a1 * y + t, b2 * x - a2 * y))
+            x = y
+        return after, x
+
+    return folded(samples, by, [order], lambda: [(0.0, 0.0)] * len(stages), step, [value], "y", "double")
+
+
+def smoothed(rows: DataFrame, by: list[str], at: str, value: str, reach: int, alike: float, most: float) -> DataFrame:
+    """by, at, steady, smooth: the middle of each value and its two neighbours, and the mean of the steady values around,
+    weighted by the stretch each stands for (half of the way to its neighbours on each side, half a unit at least) and by
+    a bell over time (reach) and over likeness of the values (alike); no further than `most` from the steady value.
+
+    Rows meet by bins of time of three reaches, and only those within that."""
+    order = Window.partitionBy(*by).orderBy(at)
+    a, b, c = F.lag(value).over(order), F.col(value), F.lead(value).over(order)
+    middle = F.when(a.isNotNull() & c.isNotNull(), a + b + c - F.greatest(a, b, c) - F.least(a, b, c)).otherwise(b)
+    span = F.greatest(F.lit(0.5), (F.coalesce(F.lead(at).over(order), F.col(at)) - F.coalesce(F.lag(at).over(order), F.col(at))) / 2)
+    x = rows.select(*by, at, value, middle.alias("steady"), span.alias("span"))
+    bin_of = F.floor(F.col(at) / (3 * reach)).cast("long")
+    left = x.select(*by, at, value, "steady", F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("_bin"))
+    right = x.select(*by, F.col(at).alias("_at"), F.col(value).alias("_v"), F.col("steady").alias("_steady"), "span", bin_of.alias("_bin"))
+    time, look = (F.col("_at") - F.col(at)) / reach, (F.col("_v") - F.col(value)) / alike
+    weight = F.col("span") * F.exp(-0.5 * (time * time + look * look))
+    near = left.join(right, [*by, "_bin"]).where(F.abs(F.col("_at") - F.col(at)) <= 3 * reach)
+    got = near.groupBy(*by, at).agg(F.first("steady").alias("steady"), (F.sum(weight * F.col("_steady")) / F.sum(weight)).alias("mean"))
+    return got.select(*by, at, "steady", F.least(F.col("steady") + most, F.greatest(F.col("steady") - most, F.col("mean"))).alias("smooth"))
+
+
+def best_lag(samples: DataFrame, marker: DataFrame, by: list[str], least: int, most: int) -> DataFrame:
+    """by, lag, correlation: where the marker (k, m) fits a series (by, n, x) best, by normalised cross-correlation over the
+    lags asked for; the first of equals. The marker is a short fixed table, so it is broadcast up to MARKER rows: each
+    sample meets the marker's places that some lag brings to it. Samples beyond the series count as silence."""
+    if marker.count() > MARKER:
+        raise ValueError("the marker is too long to broadcast")
+    own = marker.agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0.0
+    met = samples.join(F.broadcast(marker), F.col("n").between(F.col("k") + least, F.col("k") + most)).withColumn("lag", F.col("n") - F.col("k"))
+    sums = met.groupBy(*by, "lag").agg(F.sum(F.col("m") * F.col("x")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("energy"))
+    scored = sums.withColumn("correlation", F.when(F.col("energy") > 0, F.col("dot") / F.sqrt(F.lit(float(own)) * F.col("energy"))).otherwise(0.0))
+    return scored.groupBy(*by).agg(F.max(F.struct("correlation", (-F.col("lag")).alias("_l"))).alias("b")).select(*by, (-F.col("b._l")).cast("int").alias("lag"), F.col("b.correlation").alias("correlation"))
 
 
 # Two of the four phases of the interpolation filter of ITU-R BS.1770-4, Annex 2; the others mirror them.
@@ -122,12 +185,12 @@ def true_peak(samples: DataFrame, by: list[str], order: str, value: str) -> Data
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
-    """Events in time order as 100 ms energies: series (kind), part, energy."""
-    nth = F.row_number().over(Window.partitionBy("kind").orderBy("us", "event_id")) - 1
-    return points(spark, d).select(F.col("kind").alias("series"), nth.alias("part"), (F.col("v") / 1_000_000.0).alias("energy"))
+    """Events in time order as 100 ms energies: series (user_id), part, energy. A series is a recording of one user."""
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")) - 1
+    return points(spark, d).select(F.col("user_id").alias("series"), nth.alias("part"), (F.col("v") / 1_000_000.0).alias("energy"))
 
 
-PARTS = "parts AS (SELECT kind AS series, row_number() OVER (PARTITION BY kind ORDER BY us, event_id)::INTEGER - 1 AS part, v / 1000000.0::DOUBLE AS energy FROM pts)"
+PARTS = "parts AS (SELECT user_id AS series, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id)::INTEGER - 1 AS part, v / 1000000.0::DOUBLE AS energy FROM pts)"
 _ABS = "power(10, (-70.0 + 0.691) / 10)"
 _BLOCKS = "blocks AS (SELECT series, part, m FROM (SELECT series, part, avg(energy) OVER w AS m, count(*) OVER w AS n FROM parts WINDOW w AS (PARTITION BY series ORDER BY part ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) WHERE n = 4)"
 _SHORT = "short AS (SELECT series, part, m FROM (SELECT series, part, avg(energy) OVER w AS m, count(*) OVER w AS n FROM parts WINDOW w AS (PARTITION BY series ORDER BY part ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)) WHERE n = 30)"
@@ -143,14 +206,9 @@ def d1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d3_weighted_energy")
 def d3(spark: SparkSession, d: str) -> DataFrame:
-    """Energy of each series after a recursive filter: its state runs through the series, so each is one fold."""
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("part")
-        y = biquad(g.energy.to_numpy(), (1.53512485958697, -2.69169618940638, 1.19839281085285), (-1.69065929318241, 0.73248077421585))
-        return pd.DataFrame({"series": [g.series.iloc[0]], "energy": [float(np.round((y * y).sum(), 6))]})
-
-    return parts(spark, d).groupBy("series").applyInPandas(fold, "series string, energy double")
+    """Energy of each series after the K filter, its parts standing for samples at 48 kHz."""
+    y = filtered(parts(spark, d), ["series"], "part", "energy", k_filter(48_000))
+    return y.groupBy("series").agg(F.round(F.sum(F.col("y") * F.col("y")), 9).alias("energy"))
 
 
 @query("d4_integrated_loudness", f"""SELECT series, round(-0.691 + 10 * log10(avg(m)), 6)::DOUBLE AS lufs FROM (SELECT b.series, m, power(10, (-0.691 + 10 * log10(avg(m) OVER (PARTITION BY b.series)) - 10 + 0.691) / 10) AS gate FROM blocks b WHERE m > {_ABS}) WHERE m > gate GROUP BY series""", (POINTS, PARTS, _BLOCKS))
@@ -187,7 +245,7 @@ def d8(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("d9_best_stretch", """SELECT series, coalesce(min_by(part, (e, part)) FILTER (c >= 20), min_by(part, (-e, part))) AS start FROM (
-  SELECT series, part, sum(v) OVER w AS e, sum(CASE WHEN v > 4000 THEN 1 ELSE 0 END) OVER w AS c, count(*) OVER w AS k FROM (SELECT kind AS series, row_number() OVER (PARTITION BY kind ORDER BY us, event_id)::INTEGER - 1 AS part, v FROM pts) WINDOW w AS (PARTITION BY series ORDER BY part ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) WHERE k = 50 GROUP BY series""", (POINTS,))
+  SELECT series, part, sum(v) OVER w AS e, sum(CASE WHEN v > 4000 THEN 1 ELSE 0 END) OVER w AS c, count(*) OVER w AS k FROM (SELECT user_id AS series, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id)::INTEGER - 1 AS part, v FROM pts) WINDOW w AS (PARTITION BY series ORDER BY part ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) WHERE k = 50 GROUP BY series""", (POINTS,))
 def d9(spark: SparkSession, d: str) -> DataFrame:
     p = parts(spark, d).select("series", "part", F.round(F.col("energy") * 1_000_000).cast("long").alias("energy"))
     return best_stretch(p, ["series"], 50, F.col("energy") > 4000)
@@ -243,6 +301,20 @@ def d20(spark: SparkSession, d: str) -> DataFrame:
     return x.select("user_id", "event_id", (F.col("a") + F.col("b") + F.col("c") - F.greatest("a", "b", "c") - F.least("a", "b", "c")).alias("middle"))
 
 
+_SMOOTH = f"""near3 AS (SELECT user_id, us // 3600000000 AS h, max(v)::DOUBLE AS v FROM pts GROUP BY ALL),
+steady AS (SELECT user_id, h, v, CASE WHEN lag(v) OVER w IS NULL OR lead(v) OVER w IS NULL THEN v ELSE lag(v) OVER w + v + lead(v) OVER w - greatest(lag(v) OVER w, v, lead(v) OVER w) - least(lag(v) OVER w, v, lead(v) OVER w) END AS steady,
+  greatest(0.5, (coalesce(lead(h) OVER w, h) - coalesce(lag(h) OVER w, h)) / 2.0::DOUBLE) AS span FROM near3 WINDOW w AS (PARTITION BY user_id ORDER BY h)),
+mean AS (SELECT a.user_id, a.h, a.steady, sum(b.span * exp(-0.5 * (((b.h - a.h) / 24.0::DOUBLE) ** 2 + ((b.v - a.v) / 2000.0::DOUBLE) ** 2)) * b.steady) / sum(b.span * exp(-0.5 * (((b.h - a.h) / 24.0::DOUBLE) ** 2 + ((b.v - a.v) / 2000.0::DOUBLE) ** 2))) AS m
+  FROM steady a JOIN steady b ON a.user_id = b.user_id AND abs(b.h - a.h) <= 72 GROUP BY ALL)"""
+
+
+@query("d20_kernel_average", "SELECT user_id, h, round(steady, 6) AS steady, round(least(steady + 500, greatest(steady - 500, m)), 6) AS smooth FROM mean", (POINTS, _SMOOTH))
+def d20_smooth(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest value of each user's hours, smoothed over a day."""
+    rows = points(spark, d).groupBy("user_id", F.floor(F.col("us") / 3_600_000_000).cast("long").alias("h")).agg(F.max("v").cast("double").alias("v"))
+    return smoothed(rows, ["user_id"], "h", "v", 24, 2000.0, 500.0).select("user_id", "h", F.round("steady", 6).alias("steady"), F.round("smooth", 6).alias("smooth"))
+
+
 @query("d21_interpolated", f"""SELECT g.user_id, g.x, round(CASE WHEN a.x IS NULL THEN b.y WHEN b.x IS NULL OR a.x = b.x THEN a.y ELSE a.y + (b.y - a.y) * ((g.x - a.x)::DOUBLE / (b.x - a.x)) END, 6)::DOUBLE AS y
 FROM (SELECT user_id, unnest(range(lo, hi + 1, {DAY})) AS x FROM (SELECT user_id, min(us) AS lo, max(us) AS hi FROM pts GROUP BY 1)) g
 LEFT JOIN LATERAL (SELECT us AS x, v AS y FROM pts p WHERE p.user_id = g.user_id AND kind = 'view' AND us <= g.x ORDER BY us DESC LIMIT 1) a ON true
@@ -259,3 +331,16 @@ def d23(spark: SparkSession, d: str) -> DataFrame:
     e = points(spark, d).groupBy("user_id").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
     at = e.select("user_id", "hi", F.explode(F.sequence("lo", "hi", F.lit(7 * DAY))).alias("at")).where("at < hi")
     return at.select("user_id", F.col("at").alias("start_us"), F.least(F.col("at") + 7 * DAY, "hi").alias("end_us"))
+
+
+_LAG = """marker AS (SELECT k, ((k * 7) % 5 - 2)::DOUBLE AS m FROM (SELECT unnest(range(12)) AS k)),
+lags AS (SELECT p.series, p.part - m.k AS lag, sum(m * (energy - 0.005)) AS dot, sum((energy - 0.005) * (energy - 0.005)) AS e FROM parts p JOIN marker m ON p.part BETWEEN m.k AND m.k + 20 GROUP BY ALL),
+corr AS (SELECT series, lag, CASE WHEN e > 0 THEN dot / sqrt((SELECT sum(m * m) FROM marker) * e) ELSE 0 END AS c FROM lags)"""
+
+
+@query("d22_best_lag", "SELECT series, max_by(lag, (c, -lag))::INTEGER AS lag, round(max(c), 9) AS correlation FROM corr GROUP BY series", (POINTS, PARTS, _LAG))
+def d22(spark: SparkSession, d: str) -> DataFrame:
+    """Where a marker of twelve parts fits best in the first parts of each series."""
+    marker = spark.range(12).select(F.col("id").cast("int").alias("k"), ((F.col("id") * 7) % 5 - 2).cast("double").alias("m"))
+    rows = parts(spark, d).select("series", F.col("part").alias("n"), (F.col("energy") - 0.005).alias("x"))
+    return best_lag(rows, marker, ["series"], 0, 20).select("series", "lag", F.round("correlation", 9).alias("correlation"))
