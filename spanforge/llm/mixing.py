@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stage
 
-#: Parts of the rank's range whose sizes are summed before the exact cut; only the part with the cut is sorted.
-PARTS = 4096
+#: Parts of each unit of the rank whose sizes are summed before the exact cut; only the part with the cut is sorted.
+PARTS = 64
 
 
 def _rank_inputs(docs: DataFrame, seed: int) -> list:
@@ -22,10 +22,15 @@ def _uniform(seed: int) -> F.Column:
     return (F.shiftrightunsigned(h, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
-def _v(u: F.Column, pi: F.Column) -> F.Column:
-    """q / (1 + q) for q = (u / (1 - u)) / (pi / (1 - pi)): random odds over inclusion odds, mapped to (0, 1)."""
-    up, down = u * (1 - pi), pi * (1 - u)
-    return F.try_divide(up, up + down)
+def _pi() -> F.Column:
+    """Chance of one more copy: in proportion to the size, up to certainty."""
+    return F.least(F.lit(1.0), F.col("c") * F.col("size"))
+
+
+def _rank() -> F.Column:
+    """Logarithm of the random odds u / (1 - u) over the inclusion odds pi / (1 - pi); null where the odds are none."""
+    u, pi = F.col("u"), _pi()
+    return F.when((pi > 0) & (pi < 1), F.ln(u) - F.log1p(-u) - F.ln(pi) + F.log1p(-pi))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -47,35 +52,51 @@ def targets(sized: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     return t.select("source", "source_size", F.least("most", F.coalesce(level * F.col("w"), F.col("most"))).alias("target"))
 
 
+def _shares(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """source, c, certain: the factor by which sizes become chances, so that the expected words of one more copy are the
+    source's rest, and the words of documents whose chance is 1. The largest sizes are certain first: with all above
+    a size certain, the rest is shared by the squares of the others. One row per size of a source goes through windows."""
+    n = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").cast("double").alias("n"))
+    down = Window.partitionBy("source").orderBy(F.col("size").desc())
+    size = F.col("size").cast("double")
+    above = F.coalesce(F.sum(F.col("n") * size).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    squares = F.sum(F.col("n") * size * size).over(down.rowsBetween(0, Window.unboundedFollowing))
+    x = n.withColumn("above", above).withColumn("squares", squares).alias("n").join(plan.alias("p"), F.col("n.source").eqNullSafe(F.col("p.source"))).select("p.source", "size", "above", "squares", "rest")
+    x = x.withColumn("c", (F.col("rest") - F.col("above")) / F.col("squares")).where(F.col("c") * F.col("size") <= 1)
+    return x.groupBy("source").agg(F.max_by(F.struct("c", F.col("above").alias("certain")), "size").alias("x")).select("source", "x.c", "x.certain")
+
+
 def allocation(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(sized, alloc). sized: doc_id, source, size, u of each row of docs; alloc: source, source_size, target, whole
-    (copies that every document of the source gets), pi (chance of one more) and cut (rank up to which it is given).
+    (copies that every document of the source gets), c (see _shares) and cut (rank up to which one more is given).
 
-    The sample is of fixed size in words: documents come in the order of their rank until the source's remaining
-    target is met as nearly as whole documents allow. A source's ranks are summed by PARTS ranges, so a source with
-    a third of all rows is spread over all tasks; only the range with the cut is sorted. Rows that agree in doc_id
-    and text share a rank and fall on the same side of the cut.
+    Beyond the whole copies, documents of a source have unequal chances of one more: in proportion to their size, those
+    of the largest being 1. The sample of the others is of fixed size in words: documents come in the order of their
+    rank until what remains is met as nearly as whole documents allow. A source's ranks are summed by parts of their
+    range, so a source with a third of all rows is spread over all tasks; only the part with the cut is sorted. Rows
+    that agree in doc_id and text share a rank and fall on the same side of the cut.
     """
     sized = stage(docs.select("doc_id", "source", *_rank_inputs(docs, seed)))
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    plan = stage(targets(sized, weights, share, cap).withColumn("whole", F.floor(ratio + 1e-12).cast("long")).withColumn("pi", F.greatest(F.lit(0.0), ratio - F.col("whole"))))
-    ranked = sized.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("p.source", "size", "pi", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"), _v(F.col("u"), F.col("pi")).alias("v")).where("pi > 0")
+    plan = stage(targets(sized, weights, share, cap).withColumn("whole", F.floor(ratio + 1e-12).cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
+    plan = stage(plan.alias("p").join(_shares(sized, plan).alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")), "left").select("p.*", F.greatest(F.lit(0.0), F.coalesce("c", F.lit(0.0))).alias("c"), (F.col("rest") - F.coalesce("certain", F.lit(0.0))).alias("left")))
+    ranked = sized.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("p.source", "size", "left", _rank().alias("v")).where("v IS NOT NULL")
     ranked = ranked.withColumn("part", F.floor(F.col("v") * PARTS).cast("int"))
-    parts = ranked.groupBy("source", "part").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    parts = ranked.groupBy("source", "part").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     run = F.sum("words").over(Window.partitionBy("source").orderBy("part"))
-    edge = parts.withColumn("upto", run).where("upto >= rest").groupBy("source").agg(F.min_by(F.struct("part", (F.col("upto") - F.col("words")).alias("before")), "part").alias("edge")).select("source", "edge.*")
-    inside = ranked.alias("r").join(edge.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.part") == F.col("e.part"))).select("r.source", "r.part", "v", "size", "rest", "before")
-    same = inside.groupBy("source", "part", "v").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    edge = parts.withColumn("upto", run).where("upto >= left").groupBy("source").agg(F.min_by(F.struct("part", (F.col("upto") - F.col("words")).alias("before")), "part").alias("edge")).select("source", "edge.*")
+    inside = ranked.alias("r").join(edge.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.part") == F.col("e.part"))).select("r.source", "r.part", "v", "size", "left", "before")
+    same = inside.groupBy("source", "part", "v").agg(F.sum("size").alias("size"), F.first("left").alias("left"), F.first("before").alias("before"))
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("source", "part").orderBy("v"))
-    near = same.withColumn("upto", upto).where(F.col("upto") - F.col("rest") < F.col("rest") - (F.col("upto") - F.col("size")))
-    cuts = edge.alias("e").join(near.groupBy("source").agg(F.max("v").alias("v")).alias("n"), F.col("e.source").eqNullSafe(F.col("n.source")), "left").select("e.source", F.coalesce("n.v", (F.col("e.part") / PARTS) - 1e-15).alias("cut"))
-    alloc = plan.alias("p").join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.*", F.coalesce("c.cut", F.lit(2.0)).alias("cut"))
+    near = same.withColumn("upto", upto).where(F.col("upto") - F.col("left") < F.col("left") - (F.col("upto") - F.col("size")))
+    cuts = edge.alias("e").join(near.groupBy("source").agg(F.max("v").alias("v")).alias("n"), F.col("e.source").eqNullSafe(F.col("n.source")), "left").select("e.source", F.coalesce("n.v", (F.col("e.part") - 1e-9) / PARTS).alias("cut"))
+    alloc = plan.alias("p").join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.*", F.coalesce("c.cut", F.lit(float("inf"))).alias("cut"))
     return sized, stage(alloc)
 
 
 def _copies() -> F.Column:
-    """Copies of a row that has u and its source's whole, pi and cut."""
-    return F.col("whole") + F.when((F.col("pi") > 0) & (_v(F.col("u"), F.col("pi")) <= F.col("cut")), 1).otherwise(0)
+    """Copies of a row that has size and u, and its source's whole, c and cut."""
+    return F.col("whole") + F.when((_pi() >= 1) | (_rank() <= F.col("cut")), 1).otherwise(0)
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
@@ -91,6 +112,6 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
     """The rows of docs, all columns, each as often as the mixture takes it."""
     _, alloc = allocation(docs, seed=seed, **how)
-    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), _uniform(seed).alias("u"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), *_rank_inputs(docs, seed))
     taken = rows.alias("r").join(alloc.alias("a"), F.col("r.source").eqNullSafe(F.col("a.source"))).withColumn("n", _copies())
     return taken.where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")

@@ -490,3 +490,21 @@ def test_short_items_within_their_edits_are_found():
             for p in rng.sample(range(len(c)), edits):
                 c[p] = "q"
             assert [m[:2] for m in patterns.matches([prose(6, 7000 + size), prose(5, 1) + "".join(c) + prose(5, 2)])] == [(1, 1)]
+
+
+def test_one_more_copy_comes_in_proportion_to_size(spark):
+    rng = random.Random(12)
+    sizes = [rng.randrange(1, 60) for _ in range(6000)] + [400] * 5
+    df = spark.createDataFrame([(k, "w " * n, "a") for k, n in enumerate(sizes)], "doc_id long, text string, source string")
+    got = mixing.mixture(df, share=0.5).collect()
+    total = sum(sizes)
+    c = 0.5 * total / sum(n * n for n in sizes)
+    for _ in range(5):
+        certain = sum(n for n in sizes if c * n >= 1)
+        c = (0.5 * total - certain) / sum(n * n for n in sizes if c * n < 1)
+    assert abs(sum(r.taken for r in got) - 0.5 * total) <= 60
+    assert all(r.taken == r.size for r in got if c * r.size >= 1) and any(c * n >= 1 for n in sizes)
+    for low, high in ((1, 15), (15, 30), (30, 45)):
+        own = [r for r in got if low <= r.size < high]
+        want = sum(min(1.0, c * r.size) for r in own)
+        assert abs(sum(r.taken > 0 for r in own) - want) < 4.5 * want**0.5
