@@ -16,13 +16,13 @@ from .common import prepare, stage, width
 MAX_SAMPLE = 20_000
 MAX_LISTS = 1024
 #: Part of the lists that a query looks into, and the least number of vectors in them.
-PROBED, LEAST = 0.55, 400
+PROBED, LEAST = 0.7, 400
 #: Dimensions of a subspace and codes of its book (4 bits).
 SUB, CODES = 2, 16
 #: Cosine from which errors along a vector are made to matter more than errors across it.
 AIM = 0.3
-#: Vectors and queries of one scan, and candidates of a scan that are scored exactly.
-CHUNK, QUERIES, RERANKED = 8192, 512, 80
+#: Vectors and queries of one scan, and how many of a scan's vectors, best by their codes, are scored exactly.
+CHUNK, QUERIES, RERANKED = 8192, 512, 100
 
 
 @dataclass
@@ -114,16 +114,32 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
-def scan(index: Index, at: int, codes: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Approximate scores of queries to the vectors of list `at`: one table of 16 entries per subspace and query."""
+def scan(index: Index, lists: np.ndarray, codes: np.ndarray, q: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Approximate scores of queries to vectors (their lists and codes), from one table of 16 entries per subspace and
+    query; minus infinity where a query doesn't look into a vector's list (wanted: queries x lists)."""
     unit = _unit(q)
     tables = np.einsum("qmd,mkd->qmk", _split(unit), index.books).astype(np.float32)
-    out = np.repeat((unit @ index.centroids[at])[:, None].astype(np.float32), len(codes), axis=1)
+    out = (unit @ index.centroids.T).astype(np.float32)[:, lists]
     for j in range(codes.shape[1]):
         out += tables[:, j][:, codes[:, j]]
+    out[~wanted[:, lists]] = -np.inf
     return out
 
 
+def blocks_of(counts: np.ndarray, size: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, blocks) of each list: small lists share a block of up to `size` vectors, larger ones are cut into
+    blocks of their own."""
+    first, parts, n, held = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // size)), 0, 0
+    for k, c in enumerate(counts.tolist()):
+        if held and (held + c > size):
+            n, held = n + 1, 0
+        first[k] = n
+        held += c
+        if c > size:
+            n, held = n + int(parts[k]), 0
+    return first, parts
+
+
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """Rows that take part: a vec_id, and a vector without nulls or non-finite components that isn't zero."""
     e = F.col("embedding")
@@ -135,10 +151,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`.
 
     Rows that agree in their vector are one entry of the index, standing for its k + 1 smallest vec_ids: no other of
-    them can be among the k nearest. Equal queries are searched once. Lists are cut into chunks of a bounded size, so
+    them can be among the k nearest. Equal queries are searched once. Lists are cut into blocks of a bounded size, so
     a list with a third of all vectors is scanned by many tasks. Rows of another length than most in the sample take
     no part, like those without a vec_id, null, zero or with null or non-finite components. A vec_id that repeats is
-    one candidate for each different vector; a query never finds its own vec_id. An empty table gives no rows.
+    one candidate for each different vector; a query never finds its own vec_id, but other vectors of that id take places
+    among the k + 1 looked for, so it may find fewer. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -167,43 +184,54 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     counts = np.zeros(lists, np.int64)  # one number per list, of which there are MAX_LISTS at most
     for r in entries.groupBy("list").count().collect():
         counts[r["list"]] = r["count"]
+    first, parts = blocks_of(counts)
 
     asked = rows.where(F.col("vec_id") % every == 0)
     probes = max(1, int(np.ceil(lists * PROBED)))
 
     def probed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block that a query looks into, with the lists it looks into there."""
         for b in it:
-            if b.num_rows:
-                order = np.argsort(-(_unit(_matrix(b.column("embedding"))) @ index.centroids.T), axis=1, kind="stable")
-                enough = np.cumsum(counts[order], axis=1) - counts[order] < LEAST
-                enough[:, :probes] = True
-                row, col = np.nonzero(enough & (counts[order] > 0))
-                yield pa.RecordBatch.from_arrays([pa.array(order[row, col].astype(np.int32)), b.column("query").take(pa.array(row)), b.column("embedding").take(pa.array(row))], names=["list", "query", "embedding"])
+            if not b.num_rows:
+                continue
+            order = np.argsort(-(_unit(_matrix(b.column("embedding"))) @ index.centroids.T), axis=1, kind="stable")
+            enough = np.cumsum(counts[order], axis=1) - counts[order] < LEAST
+            enough[:, :probes] = True
+            row, col = np.nonzero(enough & (counts[order] > 0))
+            own = order[row, col]
+            n = parts[own]
+            row, own, block = np.repeat(row, n), np.repeat(own, n), np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            sort = np.lexsort((own, block, row))
+            row, own, block = row[sort], own[sort], block[sort]
+            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])))
+            looked = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(own.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(block[new].astype(np.int32)), b.column("query").take(pa.array(row[new])), b.column("embedding").take(pa.array(row[new])), looked], names=["block", "query", "embedding", "lists"])
 
     different = stage(asked.groupBy("embedding").agg(F.min("vec_id").alias("query")))
-    wanted = different.mapInArrow(probed, "list int, query long, embedding array<float>")
-    askers = np.zeros(lists, np.int64)
-    wanted = stage(wanted)
-    for r in wanted.groupBy("list").count().collect():
-        askers[r["list"]] = r["count"]
-    chunks = F.array(*[F.lit(int(max(1, -(-c // CHUNK)))) for c in counts])
-    blocks = F.array(*[F.lit(int(max(1, -(-c // QUERIES)))) for c in askers])
+    wanted = different.mapInArrow(probed, "block int, query long, embedding array<float>, lists array<int>")
+    rounds = max(1, -(-different.count() // QUERIES))
+    first_, parts_ = (F.array(*(F.lit(int(x)) for x in xs)) for xs in (first, parts))
     place = F.col("list") + 1
-    left = entries.select("list", F.pmod(F.xxhash64("vec_id"), F.element_at(chunks, place)).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.element_at(blocks, place) - 1)).alias("block"), "vec_id", "codes", "embedding")
-    right = wanted.select("list", F.explode(F.sequence(F.lit(0), F.element_at(chunks, place) - 1)).alias("chunk"), F.pmod(F.xxhash64("query"), F.element_at(blocks, place)).cast("int").alias("block"), "query", "embedding")
+    block = F.element_at(first_, place) + F.pmod(F.xxhash64("vec_id"), F.element_at(parts_, place)).cast("int")
+    left = entries.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), "list", "vec_id", "codes", "embedding")
+    right = wanted.select("block", F.pmod(F.xxhash64("query"), F.lit(rounds)).cast("int").alias("round"), "query", "embedding", "lists")
 
     def search(own: pa.Table, queries: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query": [], "vec_id": [], "score": []}
         if own.num_rows and queries.num_rows:
-            own = own.sort_by("vec_id")
-            ids, x = own.column("vec_id").to_numpy(), _matrix(own.column("embedding").combine_chunks())
+            own = own.sort_by([("list", "ascending"), ("vec_id", "ascending")])
+            ids, x, at = own.column("vec_id").to_numpy(), _matrix(own.column("embedding").combine_chunks()), own.column("list").to_numpy()
             packed = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(ids), -1)[:, : len(index.books)]
-            q = _matrix(queries.column("embedding").combine_chunks())
+            q, looked = _matrix(queries.column("embedding").combine_chunks()), queries.column("lists").to_pylist()
             for k0 in range(0, len(q), 128):
-                part = q[k0 : k0 + 128]
-                near = np.argsort(-scan(index, own.column("list")[0].as_py(), codes, part), axis=1, kind="stable")[:, :RERANKED]
-                for one, query, top in zip(part, queries.column("query")[k0 : k0 + 128].to_pylist(), near, strict=True):
+                part, looks = q[k0 : k0 + 128], np.zeros((len(q[k0 : k0 + 128]), lists), bool)
+                for i, ls in enumerate(looked[k0 : k0 + 128]):
+                    looks[i, ls] = True
+                near = scan(index, at, codes, part, looks)
+                tops = np.argpartition(-near, RERANKED - 1, axis=1)[:, :RERANKED] if len(ids) > RERANKED else np.tile(np.arange(len(ids)), (len(part), 1))
+                for one, query, top, score in zip(part, queries.column("query")[k0 : k0 + 128].to_pylist(), tops, near, strict=True):
+                    top = np.sort(top[score[top] > -np.inf])
                     score = cosines(one, x[top])
                     best = np.lexsort((ids[top], -score))[: k + 1]
                     out["query"] += [query] * len(best)
@@ -211,7 +239,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                     out["score"] += score[best].tolist()
         return pa.table(out, schema=pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    keys = ["list", "chunk", "block"]
+    keys = ["block", "round"]
     n = width(spark)
     found = left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInArrow(search, "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")

@@ -508,3 +508,34 @@ def test_one_more_copy_comes_in_proportion_to_size(spark):
         own = [r for r in got if low <= r.size < high]
         want = sum(min(1.0, c * r.size) for r in own)
         assert abs(sum(r.taken > 0 for r in own) - want) < 4.5 * want**0.5
+
+
+def test_recall_over_a_whole_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    own = sorted(ann.valid_vectors(df).collect(), key=lambda r: r.vec_id)
+    ids, x = np.array([r.vec_id for r in own]), np.array([r.embedding for r in own], float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, every=4).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for i in np.flatnonzero(ids % 4 == 0):
+        s = unit @ unit[i]
+        s[i] = -2
+        hits += len(got[int(ids[i])] & set(ids[np.argsort(-s)[:5]].tolist()))
+    assert hits >= 0.93 * 5 * len(got) and len(got) == (ids % 4 == 0).sum()
+
+
+def test_nearest_with_clashing_columns_and_repeated_ids(spark):
+    x = np.random.default_rng(4).normal(size=(120, 6)).astype(np.float32)
+    data = [(k % 110, [float(v) for v in row], "x", "y", "z") for k, row in enumerate(x)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, block string, query string, list string")
+    got = ann.nearest(df).collect()
+    assert sorted({r.query_id for r in got}) == [0, 50, 100] and all(r.vec_id != r.query_id for r in got)
+    # vec_id 0 stands for two vectors, so it asks twice, and its other vector takes a place among those found
+    assert collections.Counter(r.query_id for r in got)[50] == 5 and 8 <= collections.Counter(r.query_id for r in got)[0] <= 10
+
+
+def test_blocks_of_lists():
+    first, parts = ann.blocks_of(np.array([3, 4, 0, 30, 5, 5, 1]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 4, 5] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1]
