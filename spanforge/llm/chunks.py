@@ -16,18 +16,23 @@ from .spans import identity, lists_of, merged, without
 
 #: A cut has the greatest rolling hash within this many bytes to each side, so chunks have over REACH bytes, about
 #: twice that on average, and cuts depend on the bytes around them alone. Longer stretches without one are cut at MOST.
+#: A repeated passage of 50 words (300 bytes) has to hold some whole chunks, so they can't be much longer.
 REACH, MOST = 32, 1024
-#: The hash shifts by one bit a byte, so it covers this many.
-WINDOW = 32
+#: Bytes of repeated chunks side by side that go at least: half a sentence that comes again in other prose stays.
+LEAST_RUN = 100
+#: Bytes that the hash covers; it shifts by two bits for each.
+WINDOW, SHIFT = 16, 2
+#: Different digests that a task holds before it sends them on.
+HELD = 100_000
 GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
-    """Gear hash after each byte: h = (h << 1) + GEAR[byte] in 32 bits, by doubling the bytes covered."""
+    """Gear hash after each byte: h = (h << SHIFT) + GEAR[byte] in 32 bits, by doubling the bytes covered."""
     h = GEAR[data]
     s = 1
     while s < WINDOW:
-        h[s:] = h[s:] + (h[:-s] << np.uint32(s))
+        h[s:] = h[s:] + (h[:-s] << np.uint32(SHIFT * s))
         s *= 2
     return h
 
@@ -67,10 +72,17 @@ _CHUNK = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64(
 _TYPES = "d1 long, d2 long, doc_id long, t1 long, t2 long, pos int, size int"
 
 
+def _firsts(first: dict[bytes, tuple]) -> Iterator[pa.RecordBatch]:
+    keys, rows = list(first), list(first.values())
+    for k in range(0, len(rows), 50_000):
+        cols, d = np.array(rows[k : k + 50_000], np.int64).T, np.frombuffer(b"".join(keys[k : k + 50_000]), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), *(pa.array(c) for c in cols[:3]), *(pa.array(c.astype(np.int32)) for c in cols[3:])], schema=_CHUNK)
+
+
 def _digested(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first occurrence of each digest in this task, at the end; the others, without digest, as they come.
+    """Of each HELD different digests of this task the first occurrence; the others, without digest, as they come.
 
-    So a chunk that many documents hold leaves a task once, and the memory is that of the task's own input."""
+    So a chunk that many documents hold leaves a task seldom, and the memory is that of HELD chunks and the longest text."""
     digest = xxhash.xxh3_128_digest
     first: dict[bytes, tuple] = {}
     for b in it:
@@ -90,10 +102,10 @@ def _digested(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols = np.array(late, np.int64).T
             none = pa.nulls(len(late), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c) for c in cols[:3]), *(pa.array(c.astype(np.int32)) for c in cols[3:])], schema=_CHUNK)
-    keys, rows = list(first), list(first.values())
-    for k in range(0, len(rows), 50_000):
-        cols, d = np.array(rows[k : k + 50_000], np.int64).T, np.frombuffer(b"".join(keys[k : k + 50_000]), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), *(pa.array(c) for c in cols[:3]), *(pa.array(c.astype(np.int32)) for c in cols[3:])], schema=_CHUNK)
+        if len(first) >= HELD:
+            yield from _firsts(first)
+            first = {}
+    yield from _firsts(first)
 
 
 def _repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,14 +144,18 @@ def chunk_repeats(docs: DataFrame) -> DataFrame:
     return rows.join(by, ["t1", "t2"], "left").select("row", "text", "ranges")
 
 
-def _ranges(packed: np.ndarray) -> np.ndarray:
-    return merged(np.stack([packed >> 24, (packed >> 24) + (packed & 0xFFFFFF)], 1))
+def _ranges(packed: np.ndarray, size: int, least: int) -> np.ndarray:
+    """Runs of repeated chunks of `least` bytes or more, or all of a text of `size` bytes."""
+    runs = merged(np.stack([packed >> 24, (packed >> 24) + (packed & 0xFFFFFF)], 1))
+    n = runs[:, 1] - runs[:, 0]
+    return runs[(n >= least) | (n == size)]
 
 
-def deduplicated_text(docs: DataFrame) -> DataFrame:
+def deduplicated_text(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     """doc_id, text without its repeated chunks, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs: see chunk_repeats.
 
-    A document whose chunks all occurred before keeps an empty text. An empty table gives no rows.
+    Repeated chunks go where they make up `least_run` bytes side by side, or a whole text. A document whose chunks all
+    occurred before keeps an empty text. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
 
@@ -148,7 +164,7 @@ def deduplicated_text(docs: DataFrame) -> DataFrame:
             out = []
             for text, packed in zip(texts_of(b), lists_of(b.column("ranges")), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                runs = _ranges(packed)
+                runs = _ranges(packed, len(data), least_run)
                 kept = without(data, runs)
                 out.append((kept.decode("utf-8", "surrogatepass"), len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*out, strict=True)) if out else [()] * 5

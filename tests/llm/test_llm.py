@@ -196,28 +196,47 @@ def test_interval_expansion():
 
 
 def test_chunk_dedup(docs, clashing, empty):
-    seen, want, done = set(), {}, {}
     by_key = sorted({(i is not None, i or 0, t or "") for i, t, *_ in rows()}, key=lambda x: x[:2])
-    for known, i, t in by_key:
-        b, at, kept = t.encode(), 0, b""
-        for end in chunks.cuts(b):
-            if b[at:end] not in seen:
-                kept += b[at:end]
-                seen.add(b[at:end])
-            at = end
-        assert "".join([kept.decode()]) is not None
-        want[i if known else None, len(b)] = (len(b) - len(kept), hashlib.sha256(kept).hexdigest())
-    got = chunks.deduplicated_text(clashing).collect()
-    assert len(got) == len(rows())
-    for r in got:
-        assert want[r.doc_id, r.n_bytes] == (r.n_removed, r.kept_sha256)
-        assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
-    assert chunks.deduplicated_text(empty).count() == 0 and not done
+    for least in (chunks.LEAST_RUN, 0):
+        seen, want = set(), {}
+        for known, i, t in by_key:
+            b, at, gone = t.encode(), 0, []
+            for end in chunks.cuts(b):
+                if b[at:end] not in seen:
+                    seen.add(b[at:end])
+                elif gone and gone[-1][1] == at:
+                    gone[-1][1] = end
+                else:
+                    gone.append([at, end])
+                at = end
+            gone = [g for g in gone if g[1] - g[0] >= least or g[1] - g[0] == len(b)]
+            kept = b"".join(b[x:y] for x, y in zip([0, *(g[1] for g in gone)], [*(g[0] for g in gone), len(b)], strict=True))
+            want[i if known else None, len(b)] = (len(b) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
+        got = chunks.deduplicated_text(clashing, least).collect()
+        assert len(got) == len(rows())
+        for r in got:
+            assert want[r.doc_id, r.n_bytes] == (r.n_removed, r.n_spans, r.kept_sha256)
+            assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
+    assert chunks.deduplicated_text(empty).count() == 0
     data = prose(3000, 77).encode()
-    a, b = (set(np.diff([0, *chunks.cuts(x)]).tolist()) and {x[p:q] for p, q in zip([0, *chunks.cuts(x)], chunks.cuts(x), strict=False)} for x in (data, data[:500] + b"inserted" + data[500:]))
+    a, b = ({x[p:q] for p, q in zip([0, *chunks.cuts(x)], chunks.cuts(x), strict=False)} for x in (data, data[:500] + b"inserted" + data[500:]))
     assert len(a - b) <= 4
 
 
+def test_passages_of_fifty_words_go_and_shared_half_sentences_stay(spark):
+    rng = random.Random(31)
+    caught, left = 0, 0
+    texts = []
+    for k in range(100):
+        passage, half = prose(51, 5000 + k), prose(8, 6000 + k)
+        for side in range(2):
+            texts.append((k * 2 + side, prose(rng.randrange(40, 90), 7000 + k * 2 + side) + " " + passage + " " + prose(60, 8000 + k * 2 + side)))
+            texts.append((1000 + k * 2 + side, prose(60, 9000 + k * 2 + side) + " " + half + " " + prose(60, 9500 + k * 2 + side)))
+    got = {r.doc_id: r.n_removed for r in chunks.deduplicated_text(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    caught, left = sum(got[k * 2 + 1] > 0 for k in range(100)), sum(got[1000 + k * 2 + 1] == 0 for k in range(100))
+    assert caught >= 93 and left >= 97, (caught, left)
+
+
 def test_line_dedup(spark, clashing, empty, monkeypatch):
     base = [prose(30, k) for k in range(6)]
     near = [base[0] + "x", base[0][:-1] + "yz", "q" + base[1]]
