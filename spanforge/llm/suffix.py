@@ -3,7 +3,7 @@
 No transform of the whole corpus is needed. Each string of LENGTH bytes has a key, the least hash of the GRAM-byte
 strings in it, so equal strings have equal keys; consecutive strings with one key make a segment. Keys with one segment
 only are dropped; the segments of the others meet by key, and one transform is built for some keys together. Keys whose
-segments hold over HEAVY bytes are too much for a transform; their strings are compared in cells, see below.
+segments hold over HEAVY bytes are too much for a transform: they are parted to finer keys first, see below.
 """
 
 from __future__ import annotations
@@ -162,10 +162,12 @@ def _parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # Heavy keys. Every string of LENGTH bytes of such a key holds the key's gram, its anchor. A cell is the strings of a
-# text that begin between `low` and `high` bytes before an anchor; `start` and `stop` are those that matter. Equal
-# strings are in like cells. If all bytes of a cell are those of another one, all its strings repeat. If the bytes that
-# its strings have in common are no other cell's, none does. Else it is parted. So a passage that a third of all
-# documents share costs each of them a few rows a round, and equal cells are counted by partial aggregation.
+# text that begin between `low` and `high` bytes before an anchor; `start` and `stop` are those that matter. All strings
+# of a cell hold its core, the bytes that they have in common, so equal strings are in cells of one core: the core is a
+# finer key. Cells that are the same in all bytes count as one that repeats. Cells of one core that are light enough go
+# to a transform; heavier ones are parted, which makes their cores longer, until there is only one string in a cell and
+# the core is that string. So a passage that a third of all documents share costs each of them a few rows a round, and
+# equal cells are counted by partial aggregation.
 
 _CELL = pa.schema([("key", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("anchor", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.int32()), ("bytes", pa.binary()), ("core", pa.binary()), ("full", pa.binary())])
 _CELL_TYPES = "key long, t1 long, t2 long, anchor int, low int, high int, start int, stop int, base int, bytes binary, core binary, full binary"
@@ -235,13 +237,21 @@ def _heavy_ranges(cells: DataFrame) -> list[DataFrame]:
         # one of the cells that are all the same goes on, to be met by others that have some of its strings
         alone = cells.join(fulls, "full", "left_anti").select(*_CELL.names, F.lit(True).alias("open"))
         rest = alone.unionByName(fulls.select("row.*", F.lit(False).alias("open"))).where("high > low")
-        cores = rest.groupBy("core").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("core")
-        rest = stage(rest.join(cores, "core", "left_semi"))
+        cores = rest.groupBy("core").agg(F.count("*").alias("n"), F.max("open").alias("any"), F.sum(F.col("stop") - F.col("start") + LENGTH).alias("size")).where("n > 1 and any").select("core", (F.col("size") > HEAVY).alias("heavy"))
+        rest = stage(rest.join(cores, "core").select(*_CELL.names, "heavy"))
+        own = F.substring("bytes", F.col("start") - F.col("base") + 1, F.col("stop") - F.col("start") + LENGTH)
+        out.append(_by_transforms(rest.where("NOT heavy").select(F.xxhash64("core").alias("key"), "t1", "t2", F.col("start").alias("first"), own.alias("bytes"))))
+        rest = rest.where("heavy")
         if rest.isEmpty():
             return out
         cells = rest.select(*_CELL.names).mapInArrow(trimmed(_next_cells), _CELL_TYPES)
 
 
+def _by_transforms(parts: DataFrame) -> DataFrame:
+    """t1, t2, range of the strings of parts (key, t1, t2, first, bytes) that repeat within their key."""
+    return parts.repartition(width(parts.sparkSession), "key").sortWithinPartitions("key").mapInArrow(trimmed(_repeated), "t1 long, t2 long, range long")
+
+
 def _runs(t1: np.ndarray, t2: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(starts.astype(np.int64) << 32 | ends.astype(np.int64))], names=["t1", "t2", "range"])
 
@@ -296,7 +306,7 @@ def repeated_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return texts.join(segs, ["t1", "t2"]).select("t1", "t2", "text", "n", "segs")
 
     parts = with_text(met.join(heavy, "key", "left_anti")).mapInArrow(trimmed(_parts), _PART_TYPES)
-    found = parts.repartition(width(spark), "key").sortWithinPartitions("key").mapInArrow(trimmed(_repeated), "t1 long, t2 long, range long")
+    found = _by_transforms(parts)
     if not heavy.isEmpty():
         for more in _heavy_ranges(with_text(met.join(heavy, "key", "left_semi")).mapInArrow(trimmed(_first_cells), _CELL_TYPES)):
             found = found.unionByName(more)
