@@ -13,15 +13,16 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch sent to Python. Texts may hold a hundred kilobytes each, so batches stay short.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch sent to Python. Texts may hold a hundred kilobytes each, so batches stay short.
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 #: Separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches and makes this package importable on executors."""
+    """Bounds Arrow batches, for the whole session, and makes this package importable on executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root in os.environ.get("PYTHONPATH", "").split(":"):
         return
@@ -37,19 +38,32 @@ def prepare(spark: SparkSession) -> None:
     context.addPyFile(to)
 
 
+#: Folders that operators of this process wrote; release() removes them.
+_WRITTEN: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, a local one of our own."""
+    """The folder named by spark.checkpoint.dir. In local mode, as in tests, a folder of our own where that is unset; on a
+    cluster executors couldn't read it, so there it has to be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spanforge-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def new_folder(spark: SparkSession, what: str = "stage") -> str:
+    path = f"{shared_folder(spark)}/spanforge-{what}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
+
+
 def staged(df: DataFrame) -> tuple[DataFrame, str]:
     """Writes df as Parquet to the shared folder and reads it back: this cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/spanforge-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -58,10 +72,17 @@ def stage(df: DataFrame) -> DataFrame:
     return staged(df)[0]
 
 
+def release(spark: SparkSession) -> None:
+    """Removes all that operators wrote to the shared folder, once their results aren't needed any more."""
+    for path in list(_WRITTEN):
+        unstage(spark, path)
+
+
 def unstage(spark: SparkSession, path: str) -> None:
     """Removes what staged() wrote."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.discard(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -148,29 +148,29 @@ def _digest(part: F.Column) -> F.Column:
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, canonical_sha256, document_license, licenses of each doc_id of docs (doc_id, text).
+    """doc_id, canonical_sha256, document_license, licenses of each row of docs (doc_id, text).
 
     document_license: the licence whose known text the whole document is, or null; licenses: ids, comma-separated in
     code point order, of all known texts that the document, a block between empty lines or a line is, and of all
     licences whose whole terms (core_texts) are a run of words of the document, however it is wrapped. Null texts read
-    as empty. Rows that agree in doc_id, or have none, give one row together: all licences found, and the greatest
-    digest. Further columns are not read; an empty table gives no rows. Units of a document are joined one by one and
+    as empty. Each row of docs gives one row, also where its doc_id repeats or is null. Further columns are not read; an
+    empty table gives no rows. Units of a document are joined one by one and
     gathered as bits, so neither a long document nor a frequent licence makes a large group.
     """
     known = known_texts() + whole_texts()
     if len(known) > MAX_KNOWN:
         raise ValueError("too many known texts to broadcast")
     table = docs.sparkSession.createDataFrame(known, "place int, text string").select("place", _digest(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("place").alias("place"))
-    clean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("raw")).withColumn("text", canonical(F.col("raw")))
+    clean = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("of"), F.coalesce("text", F.lit("")).alias("raw")).withColumn("text", canonical(F.col("raw")))
     clean = with_runs(clean, {x: k for k, x in enumerate(NAMES)})
     unit = lambda whole: lambda part: F.struct(F.lit(whole).alias("whole"), _digest(part).alias("digest"), (F.col("hits") if whole else F.lit(0).cast("long")).alias("hits"))
     parts = F.array_distinct(F.concat(F.split(F.col("text"), "\n"), F.split(F.col("text"), "\n *\n")))
-    units = clean.select("doc_id", F.explode(F.concat(F.array(unit(True)(F.col("text"))), F.transform(F.filter(parts, lambda p: F.trim(p) != ""), unit(False)))).alias("u")).select("doc_id", "u.*")
+    units = clean.select("of", F.explode(F.concat(F.array(unit(True)(F.col("text"))), F.transform(F.filter(parts, lambda p: F.trim(p) != ""), unit(False)))).alias("u")).select("of", "u.*")
     found = units.join(F.broadcast(table), "digest", "left")
-    by = found.groupBy("doc_id").agg(F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"), F.max(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.expr("bit_or(coalesce(shiftleft(1L, place), 0L) | hits)").alias("bits"))
+    by = found.groupBy("of").agg(F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"), F.max(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.expr("bit_or(coalesce(shiftleft(1L, place), 0L) | hits)").alias("bits"))
     names = F.array(*map(F.lit, NAMES))
     named = F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, F.lit(n)) for k, n in enumerate(NAMES)])
-    return by.select("doc_id", "canonical_sha256", F.get(names, F.col("whole")).alias("document_license"), F.array_join(F.array_compact(named), ",").alias("licenses"))
+    return by.select("of.doc_id", "canonical_sha256", F.get(names, F.col("whole")).alias("document_license"), F.array_join(F.array_compact(named), ",").alias("licenses"))
 
 
 def _sql_canonical(text: str) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, stage, texts_of, trimmed, width
 from .graph import components, forest
+from .spans import identity
 
 WORDS, SEED, BITS = 4, 42, 4
 #: Places of the three segments of a fingerprint: lowest bit and number of bits.
@@ -188,6 +189,25 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     return edges.unionByName(again.mapInArrow(trimmed(lambda it: _links(it, None)), "a long, b long, key long").select("a", "b"))
 
 
+def _printed(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2 (128 bits that stand for the text), fp of each row of docs."""
+
+    def prints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "t1", "t2")), pa.array(fingerprints_of(texts_of(b)).view(np.int64))], names=["doc_id", "t1", "t2", "fp"])
+
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *identity(), "text")
+    return stage(rows.mapInArrow(trimmed(prints), "doc_id long, t1 long, t2 long, fp long"))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """fp, root of each fingerprint of rows."""
+    prints = stage(rows.select("fp").distinct())
+    roots = components(link_fingerprints(prints))
+    return stage(prints.join(roots, prints.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of each row of docs (doc_id, text).
 
@@ -196,25 +216,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     gives no id; a component of such rows alone has a null id. Repeated rows each keep theirs; further columns are
     not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-
-    def prints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints_of(texts_of(b)).view(np.int64))], names=["doc_id", "fp"])
-
-    rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(prints), "doc_id long, fp long"))
-    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(link_fingerprints(classes.select("fp")))
-    of = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of = stage(of)
-    ids = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    rows = _printed(docs).select("doc_id", "fp")
+    of = _classes(rows)
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = of.join(least, "root").select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component; rows without doc_id go, and of
-    rows that agree in doc_id one stays."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.dropDuplicates(["doc_id"])
-    return first.join(kept, first.doc_id == kept._kept, "left_semi")
+    """One row of docs, all columns, of each component of near_duplicates: that of the smallest doc_id (null last), and of
+    rows with that doc_id the one whose text hash is least. Rows that agree in doc_id and text count as one."""
+    rows = _printed(docs)
+    by_print = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("at"))
+    kept = by_print.join(_classes(rows), "fp").groupBy("root").agg(F.min("at").alias("at")).select("at.doc_id", "at.t1", "at.t2")
+    again = rows.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "t1", "t2", F.lit(True).alias("again"))
+    same = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & (a.t1 == b.t1) & (a.t2 == b.t2)
+    kept = stage(kept.join(again, same(kept, again), "left").select(kept.doc_id.alias("_doc_id"), kept.t1.alias("_t1"), kept.t2.alias("_t2"), "again"))
+    t1, t2 = identity()
+
+    def of(some: DataFrame) -> DataFrame:
+        return docs.join(some, docs.doc_id.cast("long").eqNullSafe(some._doc_id) & (t1 == some._t1) & (t2 == some._t2), "left_semi")
+
+    # rows that repeat are rare; only they need to be told from each other
+    once, several = of(kept.where("again IS NULL")), of(kept.where("again"))
+    return once.unionByName(several.withColumns({"_t1": t1, "_t2": t2}).dropDuplicates(["doc_id", "_t1", "_t2"]).drop("_t1", "_t2"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import prepare, shared_folder, trimmed, width
+from .common import new_folder, prepare, trimmed, width
 
 END_ID = 0
 #: Characters of one shard at least, but for the last one of a partition; bounds the memory of a task.
@@ -214,10 +214,8 @@ def decode_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """Encodes docs, reads the files back: doc_id, start, n_tokens, ids_crc32 of each document (see encode_tokens)."""
-    import uuid
-
     spark = docs.sparkSession
-    path = encode_tokens(docs, f"{shared_folder(spark)}/spanforge-tokens-{uuid.uuid4().hex}")
+    path = encode_tokens(docs, new_folder(spark, "tokens"))
     read = decode_tokens(spark, path).select("doc_id", "part", "seq", "pos", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
     index = _index(spark.read.schema("part int, seq int, n_ids long, shard binary").parquet(path).select("part", "seq", "n_ids"))
     return read.join(index, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("pos")).alias("start"), "n_tokens", "ids_crc32")

@@ -131,7 +131,18 @@ def test_simhash(docs, clashing, empty):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.deduplicated(clashing)
     assert kept.columns == clashing.columns
-    assert {r.doc_id for r in kept.collect()} == {v for v in got.values() if v is not None}
+    own = kept.collect()
+    assert {r.doc_id for r in own if r.doc_id is not None} == {v for v in got.values() if v is not None}
+    assert len(own) == len({up[k] for k in up})  # one row of each component
+
+
+def test_one_row_of_each_component_stays(spark):
+    x, y, z, w = (prose(80, 3000 + k) for k in range(4))
+    rows_ = [(3, x, "a"), (5, x, "b"), (5, y, "c"), (None, z, "d"), (None, z, "e"), (7, w, "f"), (7, w, "f"), (None, w, "g")]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows_)
+        got = simhash.deduplicated(spark.createDataFrame(rows_, "doc_id long, text string, t1 string").repartition(3)).collect()
+        assert sorted(((r.doc_id or 0), r.text) for r in got) == sorted([(3, x), (5, y), (0, z), (7, w)])
 
 
 def test_golay_keys_meet():
@@ -385,20 +396,53 @@ def test_nearest(spark):
 
 
 def test_licences(spark, clashing, empty):
-    texts = [(1, "Copyright (c) 2020 A. Person\n\n" + MIT.upper().replace(",", " ,")), (2, prose(10, 1) + "\nReleased under the MIT Licence\nsome"), (3, None), (4, "licensed under the apache license version 2.0"), (5, "MIT"), (1, "SPDX-License-Identifier: ISC")]
-    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got[1].licenses == "ISC,MIT" and got[2].licenses == "MIT" and got[2].document_license is None
+    texts = [(1, "Copyright (c) 2020 A. Person\n\n" + MIT.upper().replace(",", " ,")), (2, prose(10, 1) + "\nReleased under the MIT Licence\nsome"), (3, None), (4, "licensed under the apache license version 2.0"), (5, "MIT"), (1, "SPDX-License-Identifier: ISC"), (None, "MIT"), (None, "Released under the MIT License")]
+    every = license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(r.licenses for r in every if r.doc_id == 1) == ["ISC", "MIT"] and sorted(r.licenses for r in every if r.doc_id is None) == ["", "MIT"]
+    got = {r.doc_id: r for r in every}
+    assert got[2].licenses == "MIT" and got[2].document_license is None
     assert got[3].licenses == "" and got[4].document_license == "Apache-2.0" and got[5].licenses == ""
-    assert license_scan(clashing).count() == len({i for i, *_ in rows()})
+    assert license_scan(clashing).count() == len(rows())
     assert license_scan(empty).count() == 0
 
 
 def test_pipeline(spark):
+    """Each stage against brute force on what the stage before really kept."""
     import corpus_pipeline
+    from spanforge.llm.common import release, stage
+    from tokenizers import Tokenizer
 
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 100
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "mix", "tokens"]
+    held = [[tuple(r) for r in docs.collect()]]
+    for name, step in corpus_pipeline.STAGES:
+        docs = stage(step(spark, docs, d))
+        held.append([tuple(r) for r in docs.collect()])
+        assert name == "tokens" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    first, fine, single, clean, mix, out = held
+    scores = {r.doc_id: r.predicted for r in quality.quality_scores(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    assert sorted(map(str, fine)) == sorted(str(r) for r in first if scores[r[0]]) and 0 < len(fine) < len(first)
+    prints = [(r[0], brute_print(r[1])) for r in fine]
+    roots = dict(forest((a, b) for a in range(len(prints)) for b in range(a) if (prints[a][1] ^ prints[b][1]).bit_count() <= 4))
+    groups = collections.defaultdict(list)
+    for k, (i, _) in enumerate(prints):
+        groups[roots.get(k, k)].append(i)
+    assert sorted(r[0] for r in single) == sorted(min(g) for g in groups.values())
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    patterns = decontam.Patterns(items)
+    assert sorted(r[0] for r in clean) == sorted(r[0] for r in single if not patterns.matches([r[1] or ""]))
+    whole = ["".join(map(chr, decontam.normalised(t))) for _, t in items if t]
+    assert not [r[0] for r in clean for t in whole if len(t) > 40 and t in "".join(map(chr, decontam.normalised(r[1] or "")))]
+    taken = {r.doc_id: r.taken // r.size if r.size else 0 for r in mixing.mixture(spark.createDataFrame(clean, DOC)).collect()}
+    assert collections.Counter(r[0] for r in mix) == +collections.Counter(taken)
+    tok, start = Tokenizer.from_file(tokens.vocabulary()), 0
+    for (i, at, n, crc), r in zip(sorted(out, key=lambda x: x[1]), sorted(mix, key=lambda r: r[0]), strict=True):
+        ids = [*tok.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        assert (i, at, n, crc) == (r[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, d).collect())) == sorted(out)
+    release(spark)
 
 
 def test_whole_licence_texts(spark):
