@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,43 +19,106 @@ def issues(rows: DataFrame, by: list[str], rules: list[tuple[str, str, Column]])
     return rows.select(*by, F.explode(found).alias("i")).select(*by, "i.code", "i.path")
 
 
-def recipe_rules() -> list[tuple[str, str, Column]]:
-    """Rules of a parsed recipe `r` with its raw text `json`: a null that is written out differs from a field left out."""
-    clips = F.coalesce("r.clips", F.array().cast("array<struct<clipId:string,assetId:string,sourceInUs:bigint,sourceOutUs:bigint>>"))
-    assets = F.coalesce(F.transform("r.assets", lambda a: a["assetId"]), F.array().cast("array<string>"))
-    ids = F.transform(clips, lambda c: c["clipId"])
-    wrong = F.coalesce(F.col("r.schemaVersion") != VERSION, F.lit(True))
-    rest = lambda bad: ~wrong & bad  # noqa: E731  after a wrong version nothing else is looked at
-    return [
-        ("schema_version", "schemaVersion", wrong),
-        ("revision", "revision", rest(F.coalesce(F.col("r.revision") < 0, F.lit(True)))),
-        ("range_reversed", "clips", rest(F.exists(clips, lambda c: c["sourceOutUs"] <= c["sourceInUs"]))),
-        ("asset_unknown", "clips", rest(F.exists(clips, lambda c: ~F.array_contains(assets, c["assetId"])))),
-        ("clip_id_repeated", "clips", rest(F.size(F.array_distinct(ids)) < F.size(ids))),
-        ("too_many_clips", "clips", rest(F.size(clips) > 20)),
-        ("timeline_too_long", "clips", rest(F.aggregate(clips, F.lit(0).cast("bigint"), lambda a, c: a + c["sourceOutUs"] - c["sourceInUs"]) > 3_600_000_000)),
-        ("unknown_field", "", rest(F.size(F.array_except(F.json_object_keys("json"), F.array(*map(F.lit, ("schemaVersion", "revision", "assets", "clips", "music"))))) > 0)),
-        ("music_null", "music", rest(F.array_contains(F.json_object_keys("json"), "music") & F.get_json_object("json", "$.music").isNull())),
+# Fixed values of the limits of a recipe: videos, clips, the shortest clip, gains in decibels, the longest timeline and
+# source, caption tracks and lines, and the shortest line.
+VIDEOS, CLIPS, CLIP_US, GAIN_DB, TIMELINE_US, SOURCE_US = 5, 20, 100_000, (-60.0, 12.0), 3_600_000_000, 3_600_000_000
+TRACKS, LINES, LINE_US, LINE_CHARS = 8, 2000, 100_000, 500
+FIELDS = ["schemaVersion", "projectId", "revision", "assets", "canvas", "clips", "music", "export", "captionTracks", "enhance", "soundFix"]
+NEEDED = ["projectId", "revision", "assets", "clips", "captionTracks"]
+ID = "^[A-Za-z0-9_-]{1,64}$"
+RECIPE = """schemaVersion int, projectId string, revision bigint, assets array<struct<assetId:string,kind:string,durationUs:bigint,displayWidth:int,displayHeight:int>>,
+clips array<struct<clipId:string,assetId:string,sourceInUs:bigint,sourceOutUs:bigint,sourceGainDb:double,view:struct<x:double,y:double,width:double,height:double>>>,
+music struct<assetId:string,sourceInUs:bigint,sourceOutUs:bigint,timelineStartUs:bigint,gainDb:double,fadeInUs:bigint,fadeOutUs:bigint>,
+captionTracks array<struct<trackId:string,cues array<struct<cueId:string,startUs:bigint,endUs:bigint,text:string,speaker:string>>>>""".replace("cues array", "cues:array")
+
+
+def _each(items: Column, path: str, rules: Callable[[Column], list[tuple[str, Column]]]) -> Column:
+    """(code, path with the item's number) of each rule that an item breaks."""
+    def one(x: Column, i: Column) -> Column:
+        at = F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"))
+        return F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(code).alias("code"), at.alias("path"))) for code, bad in rules(x)]))
+
+    return F.flatten(F.transform(items, one))
+
+
+def _repeats(ids: Column) -> Column:
+    return F.size(F.array_distinct(ids)) < F.size(ids)
+
+
+def recipe_issues(json: Column, r: Column) -> Column:
+    """All that is wrong with a recipe (its text, and parsed by RECIPE) as an array of (code, path). A rule that needs what
+    isn't there says nothing; what has to be there is missing_field. After another version nothing else is looked at."""
+    keys = F.json_object_keys(json)
+    assets, clips, tracks = (F.coalesce(r[n], F.expr("array()")) for n in ("assets", "clips", "captionTracks"))
+    kinds = F.map_from_entries(F.transform(F.array_distinct(F.transform(F.filter(assets, lambda a: a["assetId"].isNotNull()), lambda a: a["assetId"])), lambda i: F.struct(i, F.get(F.filter(assets, lambda a: a["assetId"] == i), F.lit(0)))))
+    wrong_id = lambda i: ~F.coalesce(F.rlike(i, F.lit(ID)), F.lit(False))
+    span = lambda x: x["sourceOutUs"] - x["sourceInUs"]
+    of = lambda x: F.try_element_at(kinds, x["assetId"])
+    length = F.aggregate(clips, F.lit(0).cast("bigint"), lambda t, c: t + F.greatest(F.lit(0), F.coalesce(span(c), F.lit(0))))
+    sources = F.aggregate(F.filter(assets, lambda a: a["kind"] == "video"), F.lit(0).cast("bigint"), lambda t, a: t + F.coalesce(a["durationUs"], F.lit(0)))
+    cues = F.flatten(F.transform(tracks, lambda t: F.coalesce(t["cues"], F.expr("array()"))))
+    m = r["music"]
+    whole = [
+        ("revision_invalid", "revision", r["revision"] < 0),
+        ("id_invalid", "projectId", r["projectId"].isNotNull() & wrong_id(r["projectId"])),
+        ("asset_id_duplicate", "assets", _repeats(F.transform(assets, lambda a: a["assetId"]))),
+        ("video_asset_limit_exceeded", "assets", F.size(F.filter(assets, lambda a: a["kind"] == "video")) > VIDEOS),
+        ("source_duration_exceeds_policy", "assets", sources > SOURCE_US),
+        ("clips_empty", "clips", r["clips"].isNotNull() & (F.size(clips) == 0)),
+        ("clip_limit_exceeded", "clips", F.size(clips) > CLIPS),
+        ("id_duplicate", "clips", _repeats(F.transform(clips, lambda c: c["clipId"]))),
+        ("timeline_duration_exceeds_policy", "clips", length > TIMELINE_US),
+        ("caption_track_limit_exceeded", "captionTracks", F.size(tracks) > TRACKS),
+        ("caption_cue_limit_exceeded", "captionTracks", F.size(cues) > LINES),
+        ("caption_id_duplicate", "captionTracks", _repeats(F.transform(cues, lambda c: c["cueId"]))),
+        ("music_null", "music", F.array_contains(keys, "music") & F.get_json_object(json, "$.music").isNull()),
+        ("asset_unknown", "music", m["assetId"].isNotNull() & of(m).isNull()),
+        ("asset_kind_mismatch", "music", of(m)["kind"] != "audio"),
+        ("range_reversed", "music", span(m) <= 0),
+        ("range_out_of_source", "music", m["sourceOutUs"] > of(m)["durationUs"]),
+        ("gain_out_of_range", "music", ~m["gainDb"].between(*GAIN_DB)),
+        ("fade_negative", "music", F.least(m["fadeInUs"], m["fadeOutUs"]) < 0),
+        ("fade_exceeds_selection", "music", F.greatest(m["fadeInUs"], m["fadeOutUs"]) > span(m)),
+        ("music_start_after_output", "music", m["timelineStartUs"] >= length),
     ]
-
-
-RECIPE = "schemaVersion int, revision bigint, assets array<struct<assetId:string,kind:string>>, clips array<struct<clipId:string,assetId:string,sourceInUs:bigint,sourceOutUs:bigint>>"
+    found = [
+        F.transform(F.array_except(keys, F.array(*map(F.lit, FIELDS))), lambda k: F.struct(F.lit("unknown_field").alias("code"), k.alias("path"))),
+        F.transform(F.array_except(F.array(*map(F.lit, NEEDED)), keys), lambda k: F.struct(F.lit("missing_field").alias("code"), k.alias("path"))),
+        F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"))) for code, path, bad in whole])),
+        _each(assets, "assets", lambda a: [("id_invalid", wrong_id(a["assetId"])), ("asset_kind_invalid", ~F.coalesce(a["kind"].isin("video", "audio"), F.lit(False))), ("asset_duration_invalid", F.coalesce(a["durationUs"] <= 0, F.lit(True))), ("asset_dimension_invalid", F.least(a["displayWidth"], a["displayHeight"]) <= 0)]),
+        _each(clips, "clips", lambda c: [("id_invalid", wrong_id(c["clipId"])), ("asset_unknown", of(c).isNull()), ("asset_kind_mismatch", of(c)["kind"] != "video"), ("range_reversed", F.coalesce(span(c) <= 0, F.lit(True))), ("clip_too_short", span(c).between(1, CLIP_US - 1)), ("range_out_of_source", (c["sourceInUs"] < 0) | (c["sourceOutUs"] > of(c)["durationUs"])), ("gain_out_of_range", ~c["sourceGainDb"].between(*GAIN_DB)), ("view_size_invalid", F.least(c["view"]["width"], c["view"]["height"]) <= 0), ("view_out_of_bounds", (F.least(c["view"]["x"], c["view"]["y"]) < 0) | (c["view"]["x"] + c["view"]["width"] > 1) | (c["view"]["y"] + c["view"]["height"] > 1))]),
+        _each(cues, "cues", lambda c: [("id_invalid", wrong_id(c["cueId"])), ("caption_cue_too_short", c["endUs"] - c["startUs"] < LINE_US), ("caption_text_invalid", F.coalesce((F.trim(c["text"]) == "") | (F.char_length(c["text"]) > LINE_CHARS), F.lit(True)))]),
+        F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(tracks) - 1)), lambda k: F.exists(F.coalesce(F.get(tracks, k)["cues"], F.expr("array()")), lambda c: F.exists(F.get(tracks, k)["cues"], lambda o: (o["cueId"] != c["cueId"]) & (o["startUs"] < c["endUs"]) & (c["startUs"] < o["endUs"])))), lambda k: F.struct(F.lit("caption_cue_overlap").alias("code"), F.concat(F.lit("captionTracks["), k.cast("string"), F.lit("]")).alias("path"))),
+    ]
+    alone = F.array(F.struct(F.lit("schema_version_unsupported").alias("code"), F.lit("schemaVersion").alias("path")))
+    return F.when(F.coalesce(r["schemaVersion"] != VERSION, F.lit(True)), alone).otherwise(F.concat(*found))
 
 
 def validated(docs: DataFrame, key: str = "id") -> DataFrame:
-    """key, code, path of the recipes (key, json); text that isn't an object is not_json."""
+    """key, code, path of the recipes (key, json); text that isn't an object is not_an_object."""
     parsed = docs.withColumn("r", F.from_json("json", RECIPE)).withColumn("ok", F.json_object_keys("json").isNotNull())
-    bad = parsed.where("NOT coalesce(ok, false)").select(key, F.lit("not_json").alias("code"), F.lit("").alias("path"))
-    return bad.unionByName(issues(parsed.where("ok"), [key], recipe_rules()))
+    bad = parsed.where("NOT coalesce(ok, false)").select(key, F.lit("not_an_object").alias("code"), F.lit("").alias("path"))
+    return bad.unionByName(parsed.where("ok").select(key, F.explode(recipe_issues(F.col("json"), F.col("r"))).alias("i")).select(key, "i.code", "i.path"))
 
 
 def migrated(docs: DataFrame) -> DataFrame:
-    """Recipes of versions 1 to 5 with version 6, all else as it is, and an empty list of tracks for version 1; others unchanged."""
-    v = F.get_json_object("json", "$.schemaVersion").try_cast("int")
-    up = F.regexp_replace("json", r'"schemaVersion"\s*:\s*[1-5]\b', '"schemaVersion":6')
-    tracks = F.regexp_replace(up, r"\}\s*$", ',"captionTracks":[]}')
-    has = F.get_json_object("json", "$.captionTracks").isNotNull()
-    return docs.withColumn("json", F.when((v == 1) & ~has, tracks).when(v.between(1, 5) & ~((v == 1) & has), up).otherwise(F.col("json")))
+    """Recipes of versions 1 to 5 as version 6; only fields of the document itself are touched, so a number of that name
+    further inside or in a text stays. Version 1 gets an empty list of caption tracks.
+
+    A recipe with a field that its version never had is left as it is: soundFix before 6, a line's speaker before 5,
+    enhance before 4, captionTracks in 1. So is whatever isn't an object with such a version. Fields come out sorted."""
+    fields = F.expr("try_cast(try_parse_json(json) AS map<string, variant>)")
+    has = lambda name: F.array_contains(F.map_keys("_f"), name)
+    v = F.expr("try_variant_get(try_parse_json(json), '$.schemaVersion', 'int')")
+    spoken = F.get_json_object("json", "$.captionTracks[*].cues[*].speaker").isNotNull()
+    odd = has("soundFix") | ((F.col("_v") < 5) & spoken) | ((F.col("_v") < 4) & has("enhance")) | ((F.col("_v") == 1) & has("captionTracks"))
+    rest = F.map_filter("_f", lambda k, _: k != "schemaVersion")
+    number, none = F.parse_json(F.lit(str(VERSION))), F.parse_json(F.lit("[]"))
+    with_number = F.map_concat(rest, F.create_map(F.lit("schemaVersion"), number))
+    up = F.when(F.col("_v") == 1, F.map_concat(with_number, F.create_map(F.lit("captionTracks"), none))).otherwise(with_number)
+    sorted_ = F.map_from_entries(F.transform(F.array_sort(F.map_keys(up)), lambda k: F.struct(k, F.element_at(up, k))))
+    x = docs.withColumn("_f", fields).withColumn("_v", v)
+    return x.withColumn("json", F.when(F.col("_v").between(1, VERSION - 1) & ~odd, F.to_json(sorted_)).otherwise(F.col("json"))).drop("_f", "_v")
 
 
 def newest(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
@@ -98,9 +163,26 @@ def v4(spark: SparkSession, d: str) -> DataFrame:
     return g.where("too_many OR too_long")
 
 
-@query("v5_migration", "SELECT event_id, '{\"schemaVersion\":' || CASE WHEN k % 8 BETWEEN 1 AND 5 THEN 6 ELSE k % 8 END || ',\"revision\":' || k || CASE WHEN k % 8 = 1 THEN ',\"captionTracks\":[]' ELSE '' END || '}' AS json FROM props", (_PROPS,))
+@query("v1_recipe_issues", """SELECT order_id, unnest(list_filter([CASE WHEN reversed THEN {'code': 'range_reversed', 'path': 'clips[0]'} END, CASE WHEN short THEN {'code': 'clip_too_short', 'path': 'clips[0]'} END, CASE WHEN beyond THEN {'code': 'range_out_of_source', 'path': 'clips[0]'} END,
+  CASE WHEN unknown THEN {'code': 'asset_unknown', 'path': 'clips[0]'} END, CASE WHEN negative THEN {'code': 'revision_invalid', 'path': 'revision'} END, CASE WHEN long THEN {'code': 'timeline_duration_exceeds_policy', 'path': 'clips'} END], lambda x: x IS NOT NULL), recursive := true)
+FROM (SELECT o_orderkey AS order_id, o_orderkey % 11 = 0 AS reversed, o_orderkey % 11 <> 0 AND o_totalprice < 1000 AS short, o_orderkey % 11 <> 0 AND o_orderkey % 6 <> 0 AND floor(o_totalprice) * 100 > 20000000 AS beyond, o_orderkey % 6 = 0 AS unknown, o_custkey % 9 = 0 AS negative, o_orderkey % 11 <> 0 AND floor(o_totalprice) * 100 > 3600000000 AS long FROM orders)""")
+def v1_recipes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as recipes of one clip of one video, a hundred microseconds for each unit of their price."""
+    o = table(spark, d, "orders")
+    stop = F.when(F.col("o_orderkey") % 11 == 0, 0).otherwise(F.floor("o_totalprice") * 100)
+    asset = F.when(F.col("o_orderkey") % 6 == 0, "other").otherwise("video1")
+    revision = F.when(F.col("o_custkey") % 9 == 0, -1).otherwise(F.col("o_custkey"))
+    text = F.format_string('{"schemaVersion":6,"projectId":"p%d","revision":%d,"assets":[{"assetId":"video1","kind":"video","durationUs":20000000}],"clips":[{"clipId":"c1","assetId":"%s","sourceInUs":0,"sourceOutUs":%d}],"captionTracks":[]}', F.col("o_orderkey"), revision.cast("long"), asset, stop.cast("long"))
+    return validated(o.select(F.col("o_orderkey").alias("order_id"), text.alias("json")), "order_id")
+
+
+@query("v5_migration", """SELECT event_id, CASE WHEN k % 8 BETWEEN 1 AND 5 AND NOT (k % 8 < 4 AND k % 3 = 0) THEN '{' || CASE WHEN k % 8 = 1 THEN '"captionTracks":[],' ELSE '' END || CASE WHEN k % 3 = 0 THEN '"enhance":{"schemaVersion":1},' ELSE '' END || '"note":"\\"schemaVersion\\":2","revision":' || k || ',"schemaVersion":6}'
+ELSE '{"schemaVersion":' || k % 8 || CASE WHEN k % 3 = 0 THEN ',"enhance":{"schemaVersion":1}' ELSE '' END || ',"revision":' || k || ',"note":"\\"schemaVersion\\":2"}' END AS json FROM props""", (_PROPS,))
 def v5(spark: SparkSession, d: str) -> DataFrame:
-    doc = F.concat(F.lit('{"schemaVersion":'), (F.col("k") % 8).cast("string"), F.lit(',"revision":'), F.col("k").cast("string"), F.lit("}"))
+    """Recipes of eight versions, some with a field of a later one, and with the version's name inside."""
+    k = F.col("k")
+    odd = F.when(k % 3 == 0, ',"enhance":{"schemaVersion":1}').otherwise("")
+    doc = F.concat(F.lit('{"schemaVersion":'), (k % 8).cast("string"), odd, F.lit(',"revision":'), k.cast("string"), F.lit(',"note":"\\"schemaVersion\\":2"}'))
     return migrated(_props(spark, d).select("event_id", doc.alias("json")))
 
 

@@ -221,24 +221,23 @@ def t14(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("problem", problem)
 
 
-@query("t15_wrapped")
-def t15(spark: SparkSession, d: str) -> DataFrame:
-    """Texts in lines of at most 42 characters, a longer word on a line of its own."""
+def wrapped(text: Column, width: int) -> Column:
+    """The words of a text in lines of at most `width` characters, a longer word on a line of its own."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    start = F.struct(F.expr("array()").cast("array<string>").alias("done"), F.lit("").alias("line"))
+
+    def add(state: Column, w: Column) -> Column:
+        line = state["line"]
+        fits = (line != "") & (F.char_length(line) + 1 + F.char_length(w) <= width)
+        done = F.when(fits | (line == ""), state["done"]).otherwise(F.array_append(state["done"], line))
+        return F.struct(done.alias("done"), F.when(fits, F.concat_ws(" ", line, w)).otherwise(w).alias("line"))
 
-    @F.pandas_udf("array<string>")
-    def wrap(text: pd.Series) -> pd.Series:
-        def one(x: str) -> list[str]:
-            out: list[str] = []
-            for w in x.split():
-                if out and len(out[-1]) + 1 + len(w) <= 42:
-                    out[-1] += " " + w
-                else:
-                    out.append(w)
-            return out
+    return F.aggregate(words, start, add, lambda s: F.when(s["line"] == "", s["done"]).otherwise(F.array_append(s["done"], s["line"])))
 
-        return text.map(one)
 
-    return turns(spark, d).select("conv_id", "pos", wrap("text").alias("lines"))
+@query("t15_wrapped")
+def t15(spark: SparkSession, d: str) -> DataFrame:
+    return turns(spark, d).select("conv_id", "pos", wrapped(F.col("text"), 42).alias("lines"))
 
 
 @query("t16_parsed_subtitles", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos)::INTEGER - 1 AS block, pos * 5000 AS start_ms, pos * 5000 + 4000 AS end_ms, role AS cue, CAST(NULL AS VARCHAR) AS problem FROM turns", (TURNS,))
@@ -281,7 +280,7 @@ def t20(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(F.substring(F.trim(clean, F.lit("-")), 1, 40), F.lit("")), F.lit("video")).alias("name"))
 
 
-@query("t21_fingerprints")
+@query("t21_fingerprints", """SELECT event_id, printf('%08x', list_reduce(list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT)) AS fingerprint FROM (SELECT event_id, user_id || '|' || us || '|' || kind AS s FROM pts)""", (POINTS,))
 def t21(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     return p.select("event_id", fnv1a(F.concat_ws("|", "user_id", "us", "kind")).alias("fingerprint"))

@@ -19,23 +19,24 @@ def hourly_attempts(events: DataFrame, who: str = "user_id", time: str = "ts", l
     return w.select(who, F.floor(F.unix_micros("w.start") / 3_600_000_000).cast("long").alias("win"), "n")
 
 
-def gap_sessions(events: DataFrame, gap_us: int) -> DataFrame:
+def gap_sessions(events: DataFrame, gap_us: int, late: str = "0 seconds") -> DataFrame:
     """user_id, kind, start_us, end_us, n of the sessions of a stream (user_id, kind, ts, us, e) in time order per user.
 
-    A session ends where the kind changes or more than gap_us lies between an end and the next start; the open session
-    of a user is the state, and it ends too when the watermark is past its end and the gap. Rows of a micro-batch are
-    put in order first."""
+    A session ends where the kind changes or more than gap_us lies between the end of its last row and the next start,
+    as in batch, however rows fall into micro-batches; the open session of a user, with that end, is the state, and it
+    ends too when the watermark is past its end and the gap. Rows of a micro-batch are put in order first; `late` says
+    for how long rows may come late before they are dropped."""
     fields = "user_id long, kind string, start_us long, end_us long, n long"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            kind, a, z, n = state.get
+            kind, a, z, n, _ = state.get
             state.remove()
             yield pd.DataFrame({"user_id": [key[0]], "kind": [kind], "start_us": [a], "end_us": [z], "n": [n]})
             return
         rows = pd.concat(list(batches)).sort_values(["us", "e"], kind="stable")
-        own, last, out = (state.get if state.exists else None), None, []
-        last = own[2] if own else None
+        *own, last = state.get if state.exists else (None, None)
+        own, out = (tuple(own) if own[0] is not None else None), []
         for kind, a, z in zip(rows.kind, rows.us, rows.e, strict=True):
             if own is None or kind != own[0] or a - last > gap_us:
                 if own:
@@ -44,8 +45,8 @@ def gap_sessions(events: DataFrame, gap_us: int) -> DataFrame:
             else:
                 own = (own[0], own[1], max(own[2], int(z)), own[3] + 1)
             last = int(z)
-        state.update(own)
+        state.update((*own, last))
         state.setTimeoutTimestamp(max(own[2] + gap_us, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
         yield pd.DataFrame(out, columns=["user_id", "kind", "start_us", "end_us", "n"])
 
-    return events.withWatermark("ts", "0 seconds").groupBy("user_id").applyInPandasWithState(step, fields, "kind string, start_us long, end_us long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, fields, "kind string, start_us long, end_us long, n long, last_us long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,5 +1,6 @@
 """Operators against brute force on small random inputs, and rules at their edges."""
 
+import json
 import random
 
 import numpy as np
@@ -11,7 +12,8 @@ from spanforge.operators.documents import migrated, validated
 from spanforge.operators.evaluation import alignment, judged
 from spanforge.operators.segments import gap_sessions, silences, speech_spans, split_at_quietest
 from spanforge.operators.signal import filtered, k_filter, within_rate
-from spanforge.operators.textsearch import aligned_distance, parsed_timestamp, subtitles
+from spanforge.operators import tasksearch as S
+from spanforge.operators.textsearch import aligned_distance, parsed_timestamp, subtitles, wrapped
 from pyspark.sql import functions as F
 
 RANGE = "g int, id long, start_us long, end_us long"
@@ -213,20 +215,44 @@ def test_subtitles(spark):
     assert [x.ms for x in r] == [3723004, 123004, None]
 
 
-def test_validation_and_migration(spark):
-    clip = '{"clipId":"c","assetId":"a","sourceInUs":0,"sourceOutUs":5}'
-    docs = [
-        (1, '{"schemaVersion":6,"revision":1,"assets":[{"assetId":"a","kind":"video"}],"clips":[' + clip + "]}"),
-        (2, '{"schemaVersion":6,"revision":1,"assets":[],"clips":[' + clip + "," + clip.replace(":5}", ":0}") + '],"music":null,"odd":1}'),
-        (3, '{"schemaVersion":5,"revision":1}'),
-        (4, "nonsense"),
+def recipe(**more):
+    base = {"schemaVersion": 6, "projectId": "p", "revision": 1, "assets": [{"assetId": "v", "kind": "video", "durationUs": 10**7}, {"assetId": "s", "kind": "audio", "durationUs": 10**6}], "clips": [{"clipId": "c", "assetId": "v", "sourceInUs": 0, "sourceOutUs": 10**6}], "captionTracks": []}
+    return json.dumps({k: v for k, v in (base | more).items() if v != "gone"})
+
+
+def clip(**more):
+    return {"clipId": "c", "assetId": "v", "sourceInUs": 0, "sourceOutUs": 10**6} | more
+
+
+def test_each_rule_is_found(spark):
+    cue = {"cueId": "q", "startUs": 0, "endUs": 10**6, "text": "x"}
+    music = {"assetId": "s", "sourceInUs": 0, "sourceOutUs": 10**6, "timelineStartUs": 0, "gainDb": 0.0, "fadeInUs": 0, "fadeOutUs": 0}
+    cases = [
+        (recipe(), set()), ("nonsense", {"not_an_object"}), (recipe(schemaVersion=5, revision=-1), {"schema_version_unsupported"}), (recipe(odd=1), {"unknown_field"}), (recipe(projectId="gone"), {"missing_field"}),
+        (recipe(projectId="a b"), {"id_invalid"}), (recipe(revision=-1), {"revision_invalid"}), (recipe(clips=[]), {"clips_empty"}), (recipe(clips=[clip(clipId=f"c{k}") for k in range(21)]), {"clip_limit_exceeded"}),
+        (recipe(clips=[clip(), clip()]), {"id_duplicate"}), (recipe(clips=[clip(sourceInUs=5, sourceOutUs=5)]), {"range_reversed"}), (recipe(clips=[clip(sourceOutUs=99_999)]), {"clip_too_short"}), (recipe(clips=[clip(sourceOutUs=10**7 + 1)]), {"range_out_of_source"}),
+        (recipe(clips=[clip(assetId="z")]), {"asset_unknown"}), (recipe(clips=[clip(assetId="s")]), {"asset_kind_mismatch"}), (recipe(clips=[clip(sourceGainDb=13)]), {"gain_out_of_range"}),
+        (recipe(clips=[clip(view={"x": 0.5, "y": 0, "width": 0.6, "height": 1})]), {"view_out_of_bounds"}), (recipe(clips=[clip(view={"x": 0, "y": 0, "width": 0, "height": 1})]), {"view_size_invalid"}),
+        (recipe(music=None), {"music_null"}), (recipe(music=music), set()), (recipe(music=music | {"assetId": "v"}), {"asset_kind_mismatch"}), (recipe(music=music | {"timelineStartUs": 10**6}), {"music_start_after_output"}), (recipe(music=music | {"fadeInUs": -1}), {"fade_negative"}),
+        (recipe(music=music | {"fadeOutUs": 10**6 + 1}), {"fade_exceeds_selection"}), (recipe(captionTracks=[{"trackId": "t", "cues": [cue]}]), set()), (recipe(captionTracks=[{"trackId": "t", "cues": [cue, cue | {"cueId": "r", "startUs": 10**6 - 1, "endUs": 2 * 10**6}]}]), {"caption_cue_overlap"}),
+        (recipe(captionTracks=[{"trackId": "t", "cues": [cue, cue | {"startUs": 10**6, "endUs": 2 * 10**6}]}]), {"caption_id_duplicate"}), (recipe(captionTracks=[{"trackId": "t", "cues": [cue | {"text": " "}]}]), {"caption_text_invalid"}), (recipe(captionTracks=[{"trackId": "t", "cues": [cue | {"endUs": 5}]}]), {"caption_cue_too_short"}),
+        (recipe(captionTracks=[{"trackId": f"t{k}", "cues": []} for k in range(9)]), {"caption_track_limit_exceeded"}), (recipe(assets=[{"assetId": "v", "kind": "video", "durationUs": 10**7}] * 2), {"asset_id_duplicate"}), (recipe(assets=[{"assetId": "v", "kind": "video", "durationUs": 10**7, "displayWidth": 0, "displayHeight": 4}]), {"asset_dimension_invalid"}),
+        (recipe(assets=[{"assetId": "v", "kind": "video", "durationUs": 4 * 10**9}]), {"source_duration_exceeds_policy"}), (recipe(clips=[clip(sourceOutUs=-5), clip(clipId="d")], odd=1), {"range_reversed", "unknown_field"}),
     ]
-    got = {}
-    df = spark.createDataFrame(docs, "id int, json string")
-    for r in validated(df).collect():
-        got.setdefault(r.id, set()).add(r.code)
-    assert got == {2: {"range_reversed", "asset_unknown", "clip_id_repeated", "music_null", "unknown_field"}, 3: {"schema_version"}, 4: {"not_json"}}
-    assert {r.code for r in validated(migrated(df.where("id = 3"))).collect()} == set()
+    got = {k: set() for k in range(len(cases))}
+    for r in validated(spark.createDataFrame([(k, j) for k, (j, _) in enumerate(cases)], "id int, json string")).collect():
+        got[r.id].add(r.code)
+    assert [got[k] for k in range(len(cases))] == [w for _, w in cases]
+
+
+def test_migration_touches_the_document_itself_only(spark):
+    inner = {"schemaVersion": 2, "revision": 1, "clips": [{"schemaVersion": 3}], "captionTracks": [], "note": 'a "schemaVersion":4'}
+    spoken = {"captionTracks": [{"cues": [{"speaker": "A"}]}]}
+    docs = [inner, {"schemaVersion": 1}, {"schemaVersion": 1, "captionTracks": []}, {"schemaVersion": 5, "soundFix": {}}, {"schemaVersion": 4} | spoken, {"schemaVersion": 5} | spoken, {"schemaVersion": 3, "enhance": {}}, {"schemaVersion": 4, "enhance": {}}, {"schemaVersion": 7}, [1], "text"]
+    want = [inner | {"schemaVersion": 6}, {"schemaVersion": 6, "captionTracks": []}, docs[2], docs[3], docs[4], {"schemaVersion": 6} | spoken, docs[6], {"schemaVersion": 6, "enhance": {}}, *docs[8:]]
+    df = spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(docs)] + [(99, "nonsense")], "id int, json string")
+    got = {r.id: r.json for r in migrated(df).collect()}
+    assert got.pop(99) == "nonsense" and [json.loads(got[k]) for k in range(len(docs))] == want
 
 
 def test_budgets_take_the_exact_id_first(spark):
@@ -273,3 +299,38 @@ def test_ranges_meet_alike_whatever_the_bins(spark):
     want = sorted((x[1], y[1]) for x in ranges(21) for y in ranges(22) if x[0] == y[0] and x[2] < y[3] and y[2] < x[3])
     for bin_us in (1, 5, 1000):
         assert sorted((r.id, r.b_id) for r in I.intersect(a, b, ["g"], bin_us=bin_us).collect()) == want
+
+
+def test_wrapped_lines(spark):
+    rng = random.Random(3)
+    texts = [" ".join("v" * rng.randrange(1, 14) for _ in range(rng.randrange(30))) + rng.choice(["", "  ", "\n"]) for _ in range(40)] + ["", "w" * 50]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string").select("id", wrapped(F.col("text"), 20).alias("lines")).collect()
+    for r in got:
+        out = []
+        for w in texts[r.id].split():
+            if out and len(out[-1]) + 1 + len(w) <= 20:
+                out[-1] += " " + w
+            else:
+                out.append(w)
+        assert r.lines == out
+
+
+def test_task_search(spark):
+    words = [("wipe", True, "gribbel", False), ("wipe", False, "zan", False), ("glue", True, "strando", True), ("glue", True, "moff", False), ("tint", False, "gribbel", True)]
+    tasks = spark.createDataFrame([("wipe", 0, True, True), ("glue", 1, False, True), ("tint", 2, False, True)], "task string, order int, generic boolean, available boolean")
+    asks = {1: "gribbel", 2: "gribebl", 3: "moffs now", 4: "strando gribbel", 5: "zan one two three four", 6: "fold up moff", 7: "quux"}
+    toks = spark.createDataFrame([(k, p, w) for k, t in asks.items() for p, w in enumerate(t.split())], "q int, place int, token string")
+    m = S.word_matches(toks, ["q"], spark.createDataFrame(words, "task string, strong boolean, word string, yielding boolean"))
+    kinds = {(r.q, r.token, r.task): (r.kind, r.tier) for r in m.collect()}
+    assert kinds[1, "gribbel", "wipe"] == ("exact", 4) and kinds[2, "gribebl", "wipe"] == ("typo", 2) and kinds[3, "moffs", "glue"] == ("part", 3)
+    together = S.combined(toks, ["q"], spark.createDataFrame([("tint", "fold up")], "task string, phrase string"), spark.createDataFrame([("glue", "now", "moffs")], "task string, x string, y string"))
+    assert sorted((r.q, r.task, r.score, r.places) for r in together.collect()) == [(3, "glue", 4.0, [0, 1]), (6, "tint", 4.0, [0, 1])]
+    found = S.tallies(m, together, ["q"])
+    score = {(r.q, r.task): r.score for r in found.collect()}
+    assert score[1, "wipe"] == 3.0 and score[2, "wipe"] == 2.0 and score[3, "glue"] == 4.0
+    assert score[4, "glue"] == 1.0 and score[4, "wipe"] == 3.0  # strando yields to the other task's own word
+    out = {}
+    for r in S.answers(found, toks.groupBy("q").agg(F.count("*").alias("words")), ["q"], tasks).orderBy("q", "n").collect():
+        out.setdefault(r.q, []).append((r.task, r.confidence))
+    assert out[1] == [("wipe", "sure")] and out[3] == [("glue", "sure")] and out[6] == [("tint", "sure"), ("glue", "sure")]
+    assert 5 not in out and 7 not in out  # one weak word of a longer request is a guess

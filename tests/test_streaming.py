@@ -1,9 +1,12 @@
 """The streaming job: where its table and its state are kept."""
 
+import random
 from pathlib import Path
 from urllib.parse import urlparse
 
+from pyspark.sql import functions as F
 from spanforge.streaming.queries import hourly
+from spanforge.streaming.windows import gap_sessions
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +20,29 @@ def test_table_is_in_files_with_the_state_beside_it(spark):
     folder = Path(urlparse(files[0]).path).parents[2]
     assert list(folder.glob("state/state/0/*")) and list(folder.glob("state/commits/*"))
     assert sum(r.n for r in got.collect()) == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_sessions_of_a_stream_are_those_of_batch(spark, tmp_path):
+    """Rows of a user in several files, one micro-batch each; the last session of each user stays open."""
+    rng, rows, at = random.Random(9), [], 0
+    for k in range(300):
+        at += rng.choice([1, 5, 40, 400])
+        rows.append((rng.randrange(4), rng.choice("ab"), at, at + rng.choice([0, 3, 30, 60])))
+    schema = "user_id long, kind string, us long, e long"
+    for k in range(6):
+        part = spark.createDataFrame(rows[k * 50 : k * 50 + 50], schema).withColumn("ts", F.timestamp_micros(F.col("us") * 1000))
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema(part.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = gap_sessions(stream, 50, "1 hour")
+    got.writeStream.format("memory").queryName("own_sessions").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    want, open_ = [], {}
+    for u, kind, us, e in rows:
+        s = open_.get(u)
+        if s and s[0] == kind and us - s[4] <= 50:
+            open_[u] = [kind, s[1], max(s[2], e), s[3] + 1, e]
+        else:
+            if s:
+                want.append((u, *s[:4]))
+            open_[u] = [kind, us, e, 1, e]
+    assert sorted(tuple(r) for r in spark.table("own_sessions").collect()) == sorted(want)
+    spark.sql("DROP VIEW IF EXISTS own_sessions")
