@@ -26,6 +26,6 @@ def folded(rows: DataFrame, by: list[str], order: list[str], start: Callable[[],
                     held, state = (key,), start()
                 state, got = step(state, values)
                 out.append(got)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, {"string": pa.string(), "double": pa.float64()}[kind])], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[kind])], names=[*b.schema.names, name])
 
     return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)

@@ -6,7 +6,6 @@ don't pair all rows of a group.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,36 +123,31 @@ def accepted_in_order(rows: DataFrame, by: list[str], most: int, least_us: int)
     return folded(rows.select(*by, "id", "start_us", "end_us"), by, ["start_us", "id"], lambda: (None, 0), step, ["start_us", "end_us"], "verdict", "string").select(*by, "id", "verdict")
 
 
-def pieces_left(start: int, end: int, removals: list[tuple[int, int]], least: int) -> int:
-    """Pieces of at least `least` that removals leave of a range."""
-    at, n = start, 0
-    for a, b in sorted((max(start, a), min(end, b)) for a, b in removals):
-        if b > a:
-            n += a - at >= least and a > at
-            at = max(at, b)
-    return n + (end - at >= least and end > at)
+def cut_out(gaps: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    """What is left of ranges without [a, b)."""
+    return [g for s, e in gaps for g in ((s, min(e, a)), (max(s, b), e)) if g[1] > g[0]] if b > a else gaps
 
 
 def within_limit(clips: DataFrame, removals: DataFrame, by: list[str], most: int, least_us: int) -> DataFrame:
-    """Removals (by, id, b_id, b_start_us, b_end_us) taken longest first, ties by start, as long as the clips of the group
-    keep to `most` pieces: by, id, b_id, taken. Each choice depends on those before, so a group is one fold."""
-    kinds = {f.name: f.dataType.simpleString() for f in clips.schema}
-
-    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = {i: (s, e) for i, s, e in zip(left.id, left.start_us, left.end_us, strict=True)}
-        chosen: dict = {i: [] for i in own}
-        count = {i: 1 for i in own}
-        right = right.assign(size=right.b_end_us - right.b_start_us).sort_values(["size", "b_start_us", "b_id"], ascending=[False, True, True], kind="stable")
-        taken = []
-        for i, a, b in zip(right.id, right.b_start_us, right.b_end_us, strict=True):
-            n = pieces_left(*own[i], [*chosen[i], (a, b)], least_us) if i in own else 0
-            fits = i in own and sum(count.values()) - count[i] + n <= most
-            if fits:
-                chosen[i].append((a, b))
-                count[i] = n
-            taken.append(fits)
-        return right[[*by, "id", "b_id"]].assign(taken=taken)
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, "id"]) + ", b_id long, taken boolean"
+    """Removals (by, id, b_id, b_start_us, b_end_us) taken longest first, ties by start and ids, as long as the clips of the
+    group keep to `most` pieces of least_us or more: by, id, b_id, taken. Each choice depends on those before; the state is
+    the number of pieces and what is left of the clips that were cut so far, so a group's rows stream through."""
+    own = clips.select(*by, "id", F.col("start_us").alias("_s"), F.col("end_us").alias("_e"))
     fresh = removals.select(*(F.col(c).alias(c) for c in [*by, "id", "b_id", "b_start_us", "b_end_us"]))  # removals may come from clips
-    return clips.groupBy(*by).cogroup(fresh.groupBy(*by)).applyInPandas(fold, schema)
+    rows = fresh.join(own, [*by, "id"], "left").join(clips.groupBy(*by).agg(F.count("*").alias("_n")), by, "left").withColumn("_less", F.col("b_start_us") - F.col("b_end_us"))
+
+    def step(state: tuple, row: tuple) -> tuple:
+        (pieces, left), (i, a, b, s, e, n) = state, row
+        if s is None:
+            return state, False
+        pieces = n if pieces is None else pieces
+        before, count = left.get(i, ([(s, e)], 1))
+        after = cut_out(before, a, b)
+        now = sum(y - x >= least_us for x, y in after)
+        if pieces - count + now > most:
+            return (pieces, left), False
+        left[i] = (after, now)
+        return (pieces - count + now, left), True
+
+    got = folded(rows, by, ["_less", "b_start_us", "b_id", "id"], lambda: (None, {}), step, ["id", "b_start_us", "b_end_us", "_s", "_e", "_n"], "taken", "boolean")
+    return got.select(*by, "id", "b_id", "taken")

@@ -60,7 +60,7 @@ def test_ordered_admission_and_limit(spark):
     t = spark.createDataFrame([(0, 1, 0, 10), (0, 2, 5, 12), (0, 3, 11, 20), (0, 4, 20, 21), (0, 5, 30, 40), (0, 6, 50, 60)], RANGE)
     got = {r.id: r.verdict for r in I.accepted_in_order(t, ["g"], 3, 5).collect()}
     assert got == {1: "accepted", 2: "overlap", 3: "accepted", 4: "too_short", 5: "accepted", 6: "limit"}
-    assert I.pieces_left(0, 100, [(10, 20), (15, 30), (90, 120)], 5) == 2
+    assert I.cut_out(I.cut_out([(0, 100)], 10, 20), 15, 120) == [(0, 10)] and I.cut_out([(0, 9)], 5, 5) == [(0, 9)]
     cuts = spark.createDataFrame([(0, 1, 7, 2, 4), (0, 1, 8, 5, 9)], "g int, id long, b_id long, b_start_us long, b_end_us long")
     clips = spark.createDataFrame([(0, 1, 0, 10)], RANGE)
     assert {r.b_id: r.taken for r in I.within_limit(clips, cuts, ["g"], 2, 1).collect()} == {8: True, 7: False}
@@ -334,3 +334,35 @@ def test_task_search(spark):
         out.setdefault(r.q, []).append((r.task, r.confidence))
     assert out[1] == [("wipe", "sure")] and out[3] == [("glue", "sure")] and out[6] == [("tint", "sure"), ("glue", "sure")]
     assert 5 not in out and 7 not in out  # one weak word of a longer request is a guess
+
+
+def test_removals_within_a_limit_against_brute_force(spark):
+    rng = random.Random(14)
+    clips = [(g, i, i * 100, i * 100 + rng.randrange(20, 100)) for g in range(6) for i in range(4)]
+    cuts = [(g, i, 50 * g + k, a, a + rng.randrange(0, 30)) for g in range(6) for k in range(40) for i in [rng.randrange(5)] for a in [i * 100 + rng.randrange(-5, 95)]]
+    want = {}
+    for g in range(6):
+        chosen = {c[1]: [] for c in clips if c[0] == g}
+
+        def pieces():
+            n = 0
+            for _, i, s, e in (c for c in clips if c[0] == g):
+                run = 0
+                for p in range(s, e + 1):
+                    if p < e and not any(a <= p < b for a, b in chosen[i]):
+                        run += 1
+                    else:
+                        n += run >= 4 or not chosen[i]
+                        run = 0
+            return n
+
+        for _, i, k, a, b in sorted((c for c in cuts if c[0] == g), key=lambda c: (c[3] - c[4], c[3], c[2], c[1])):
+            fits = i in chosen
+            if fits:
+                chosen[i].append((a, b))
+                fits = pieces() <= 7
+                if not fits:
+                    chosen[i].pop()
+            want[g, i, k] = fits
+    got = I.within_limit(spark.createDataFrame(clips, RANGE), spark.createDataFrame(cuts, "g int, id long, b_id long, b_start_us long, b_end_us long"), ["g"], 7, 4)
+    assert {(r.g, r.id, r.b_id): r.taken for r in got.collect()} == want and len(set(want.values())) == 2
