@@ -22,17 +22,22 @@ def alignment(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
     ids = {w: k for k, w in enumerate(dict.fromkeys([*ref, *hyp]))}
     h = np.array([ids[w] for w in hyp], np.int64)
     ramp = np.arange(m + 1)
-    d = np.zeros((n + 1, m + 1), np.int32)
-    d[0] = ramp
+    d = ramp.astype(np.int32)
+    # of each place the way back only, a byte: 0 diagonal, 1 deletion, 2 insertion
+    back = np.full((n + 1, m + 1), 2, np.uint8)
+    back[1:, 0] = 1
     for i, w in enumerate(ref, 1):
-        best = np.minimum(d[i - 1, :-1] + (h != ids[w]), d[i - 1, 1:] + 1)
-        d[i] = np.minimum.accumulate(np.concatenate([[i], best]) - ramp) + ramp
+        diagonal, down = d[:-1] + (h != ids[w]), d[1:] + 1
+        d = (np.minimum.accumulate(np.concatenate([[i], np.minimum(diagonal, down)]) - ramp) + ramp).astype(np.int32)
+        back[i, 1:] = np.where(d[1:] == diagonal, 0, np.where(d[1:] == down, 1, 2))
     i, j, sub, dele, ins, hit = n, m, 0, 0, 0, 0
     while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
-            sub, hit = sub + (ref[i - 1] != hyp[j - 1]), hit + (ref[i - 1] == hyp[j - 1])
+        way = back[i, j]
+        if way == 0:
+            same = ref[i - 1] == hyp[j - 1]
+            sub, hit = sub + (not same), hit + same
             i, j = i - 1, j - 1
-        elif i and d[i, j] == d[i - 1, j] + 1:
+        elif way == 1:
             dele, i = dele + 1, i - 1
         else:
             ins, j = ins + 1, j - 1

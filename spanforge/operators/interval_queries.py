@@ -199,6 +199,23 @@ def i22(spark: SparkSession, d: str) -> DataFrame:
     return piece.groupBy("user_id", "id").agg(F.min("at_us").alias("start_us"), F.max(F.col("at_us") + F.col("size")).alias("end_us"), F.count("*").alias("n"))
 
 
+_NOTES = """cl AS (SELECT conv_id, start_us, end_us, end_us - start_us + 0 AS size, coalesce(sum(dur) OVER (PARTITION BY conv_id, pos // 2 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + pos // 2 * 100000 AS src FROM lay WHERE dur > 0),
+notes AS (SELECT conv_id, k AS id, k * 300 AS s, k * 300 + 450 AS e FROM (SELECT conv_id, unnest(range(sum(dur)::BIGINT // 300 + 1)) AS k FROM turns GROUP BY conv_id)),
+cut AS (SELECT n.conv_id, n.id, greatest(s, start_us) AS f, least(e, end_us) AS t, src + greatest(s, start_us) - start_us AS a, src + least(e, end_us) - start_us AS z FROM notes n JOIN cl c ON n.conv_id = c.conv_id AND s < end_us AND start_us < e),
+isl AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, id ORDER BY f ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS piece FROM (SELECT *, CASE WHEN lag(t) OVER w = f AND lag(z) OVER w = a THEN 0 ELSE 1 END AS new FROM cut WINDOW w AS (PARTITION BY conv_id, id ORDER BY f)))"""
+
+
+@query("i22_split_and_rejoin", "SELECT conv_id, id, piece, min(a) AS start_us, max(z) AS end_us FROM isl GROUP BY conv_id, id, piece", (TURNS, _LAID, _NOTES))
+def i22_rejoin(spark: SparkSession, d: str) -> DataFrame:
+    """Notes of 450 units, one every 300, over turns of which two at a time stand together in the source."""
+    pair = F.floor(F.col("pos") / 2).cast("long")
+    before = F.coalesce(F.sum("dur").over(Window.partitionBy("conv_id", pair).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    clips = _laid(spark, d).where("dur > 0").select("conv_id", F.col("start_us").alias("c_start_us"), F.col("end_us").alias("c_end_us"), (before + pair * 100_000).alias("c_source_us"))
+    total = turns(spark, d).groupBy("conv_id").agg(F.sum("dur").alias("total"))
+    notes = total.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("total") / 300).cast("long"))).alias("id")).select("conv_id", "id", (F.col("id") * 300).alias("start_us"), (F.col("id") * 300 + 450).alias("end_us"))
+    return I.reanchored(notes, clips, ["conv_id"], 1000)
+
+
 @query("i23_piece_ids", "SELECT user_id, CASE WHEN k = 1 THEN CAST(id AS VARCHAR) ELSE id || '-' || k END AS piece_id, start_us FROM (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY start_us) AS k FROM pieces)", (POINTS, _A, _B, _SUB))
 def i23(spark: SparkSession, d: str) -> DataFrame:
     """The first piece of a range keeps its id, the others get the id and their number."""

@@ -87,6 +87,19 @@ def as_of(probes: DataFrame, rows: DataFrame, by: list[str], at: str, time: str,
     return both.withColumn("_row", last).where("_kind = 1").select(*by, "_probe.*", *[F.col(f"_row.{v}").alias(v) for v in [time, *value]])
 
 
+def reanchored(notes: DataFrame, clips: DataFrame, by: list[str], bin_us: int = BIN_US) -> DataFrame:
+    """by, id, piece, start_us, end_us: notes (by, id, start_us, end_us) on an output's clock as ranges of its source. clips
+    (by, c_start_us, c_end_us, c_source_us): where each clip stands in the output, and where its source begins. A note
+    is split where clips meet, and pieces that follow each other in the output and in the source become one again."""
+    met = intersect(notes.select(*by, "id", "start_us", "end_us"), clips, by, "c_", bin_us)
+    source = F.col("c_source_us") + F.col("from_us") - F.col("c_start_us")
+    cut = met.select(*by, "id", "from_us", "to_us", source.alias("_a"), (source + F.col("to_us") - F.col("from_us")).alias("_z"))
+    order = Window.partitionBy(*by, "id").orderBy("from_us", "_a")
+    goes_on = (F.lag("to_us").over(order) == F.col("from_us")) & (F.lag("_z").over(order) == F.col("_a"))
+    island = cut.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("piece", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    return island.groupBy(*by, "id", "piece").agg(F.min("_a").alias("start_us"), F.max("_z").alias("end_us"))
+
+
 def first_overlapping(ranges: DataFrame, by: list[str]) -> DataFrame:
     """Each range with the id of the first other range of its group that overlaps it, by start and then id; null if none."""
     other = ranges.select(*by, F.col("id").alias("b_id"), F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"))

@@ -20,8 +20,11 @@ def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spanforge-")
+    """A new folder under spark.checkpoint.dir; in local mode, as in tests, a local one where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    named = named or "file://" + tempfile.mkdtemp(prefix="spanforge-")
     return f"{named.rstrip('/')}/spanforge-stream-{uuid.uuid4().hex}"
 
 

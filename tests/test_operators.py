@@ -13,6 +13,7 @@ from spanforge.operators.evaluation import alignment, judged
 from spanforge.operators.segments import gap_sessions, silences, speech_spans, split_at_quietest
 from spanforge.operators.signal import filtered, k_filter, within_rate
 from spanforge.operators import tasksearch as S
+from spanforge.plans.compilers import container_bytes, corrected, longest_seconds
 from spanforge.operators.textsearch import aligned_distance, parsed_timestamp, subtitles, wrapped
 from pyspark.sql import functions as F
 
@@ -366,3 +367,41 @@ def test_removals_within_a_limit_against_brute_force(spark):
             want[g, i, k] = fits
     got = I.within_limit(spark.createDataFrame(clips, RANGE), spark.createDataFrame(cuts, "g int, id long, b_id long, b_start_us long, b_end_us long"), ["g"], 7, 4)
     assert {(r.g, r.id, r.b_id): r.taken for r in got.collect()} == want and len(set(want.values())) == 2
+
+
+def test_file_sizes_by_hand(spark):
+    one = spark.range(1)
+    r = one.select(container_bytes(F.lit(60.0), 30, 48_000).alias("a"), container_bytes(F.lit(60.0), 30, None).alias("b"), container_bytes(F.lit(0.0), 30, 48_000).alias("c"), longest_seconds(F.lit(10_000_000), 564_000.0, 30, 48_000).alias("d"), longest_seconds(F.lit(50_000), 564_000.0, 30, 48_000).alias("e")).first()
+    # 1800 frames of 5 bytes; 2813 + 3 packets of 4
+    assert (r.a, r.b, r.c) == (1500 + 9000 + 11264, 1500 + 9000, 1500 + 12)
+    size = lambda t: -(-t * 564_000 // 8) + 1500 + t * 30 * 5 + (-(-t * 48_000 // 1024) + 3) * 4
+    assert size(r.d) <= 9_900_000 < size(r.d + 1) and r.e is None
+
+
+def test_retries_by_hand(spark):
+    rungs = spark.createDataFrame([(1080, 2_000_000, 900_000, 9_000_000), (720, 1_000_000, 500_000, 5_000_000), (360, 200_000, 200_000, 2_000_000)], "edge int, pixels int, least int, normal int")
+    rows = [
+        (1, 1080, 2_000_000, 1, 10.0, 3_000_000, 2_900_000, 2_500_000),  # it fits
+        (2, 1080, 2_000_000, 1, 10.0, 2_500_000, 2_800_000, 2_600_000),  # slightly over: 2,225,000 of 2,600,000 bytes
+        (3, 1080, 1_000_000, 1, 10.0, 1_000_000, 1_300_000, 1_250_000),  # the rate would be below the size's least
+        (4, 1080, 1_000_000, 1, 10.0, 1_000_000, 2_100_000, 2_000_000),  # saturated: by pixels only the smallest fits
+        (5, 360, 300_000, 2, 10.0, 300_000, 500_000, 480_000),  # the smallest, slightly over: under its least rate
+        (6, 360, 300_000, 2, 10.0, 300_000, 900_000, 880_000),  # the smallest, saturated: nothing left
+        (7, 1080, 2_000_000, 3, 10.0, 2_500_000, 2_800_000, 2_600_000),  # all attempts used
+    ]
+    made = spark.createDataFrame(rows, "id int, edge int, rate int, attempt int, seconds double, target int, file_bytes int, video_bytes int")
+    got = {r.id: (r.edge, r.rate, r.attempt) for r in corrected(made, rungs, ["id"]).collect()}
+    assert got[2] == (1080, int(2_225_000 * 0.8 / 1.04), 2)
+    assert got[3] == (720, int(920_000 * 0.8 / 1.1), 2)
+    assert got[4] == (360, int(870_000 * 0.8 / 1.3), 2)
+    assert got[5] == (360, int(262_000 * 0.8 / 1.28), 3)
+    assert set(got) == {2, 3, 4, 5}
+
+
+def test_notes_are_split_where_clips_meet_and_rejoined(spark):
+    # two clips that follow each other in the source as well, then one from elsewhere
+    clips = spark.createDataFrame([(0, 0, 10, 100), (0, 10, 20, 110), (0, 20, 30, 500)], "g int, c_start_us long, c_end_us long, c_source_us long")
+    notes = spark.createDataFrame([(0, 1, 5, 15), (0, 2, 8, 25), (0, 3, 40, 50), (0, 4, 20, 30)], "g int, id long, start_us long, end_us long")
+    for bin_us in (3, 1000):
+        got = sorted((r.id, r.piece, r.start_us, r.end_us) for r in I.reanchored(notes, clips, ["g"], bin_us).collect())
+        assert got == [(1, 0, 105, 115), (2, 0, 108, 120), (2, 1, 500, 505), (4, 0, 500, 510)]
