@@ -18,7 +18,7 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(FIRST):
         key = key << np.uint64(9) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # the order of equal ones doesn't matter: intervals only count
     k = key[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
     at = np.flatnonzero(new)
@@ -33,7 +33,7 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
         after = own + h
         nxt = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         key = rank[own].astype(np.uint64) << np.uint64(32) | nxt.astype(np.uint64)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         own, key = own[by], key[by]
         order[slots] = own
         new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -58,7 +58,7 @@ def long_prefixes(s: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(s)
     order = suffix_order(s, least)
     last = s[order - 1].astype(np.int64)  # the transform; before the first place stands the last, a 0
-    by = np.argsort(last, kind="stable")
+    by = np.argsort(last.astype(np.uint16), kind="stable")
     to = np.empty(n, np.int64)
     to[by] = np.arange(n)
     same = last[by][1:] == last[by][:-1]
