@@ -1,3 +1,3 @@
 """Operators as DataFrame transforms; importing this package registers their queries."""
 
-from . import cues, documents, evaluation, interval_queries, ledger, segments, signal, tasksearch, textsearch  # noqa: F401
+from . import cues, documents, evaluation, interval_queries, ledger, lookup, segments, signal, textsearch  # noqa: F401

@@ -12,7 +12,7 @@ from spanforge.operators.documents import migrated, validated
 from spanforge.operators.evaluation import alignment, judged
 from spanforge.operators.segments import gap_sessions, silences, speech_spans, split_at_quietest
 from spanforge.operators.signal import filtered, k_filter, within_rate
-from spanforge.operators import tasksearch as S
+from spanforge.operators import lookup as S
 from spanforge.plans.compilers import container_bytes, corrected, longest_seconds
 from spanforge.operators.textsearch import aligned_distance, parsed_timestamp, subtitles, wrapped
 from pyspark.sql import functions as F
