@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses
+from . import lexical, licenses
 from .ann import nearest
 from .chunks import deduplicated_text
 from .common import table
 from .decontam import leaks
+from .lexical import ranked
 from .licenses import license_scan
 from .lines import line_report
 from .mixing import mixture
@@ -60,6 +61,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_leaks": op1_benchmark_leaks,
     "op2_fuzzy_line_dedup": op2_fuzzy_line_dedup,
@@ -71,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_nearest_vectors": op9_nearest_vectors,
     "op10_license_scan": op10_license_scan,
+    "op13_ranked_search": op13_ranked_search,
 }
-ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql(), "op13_ranked_search": lexical.oracle_sql()}
