@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexical, licenses
+from . import divergence, lexical, licenses
 from .ann import nearest
 from .chunks import deduplicated_text
 from .common import table
@@ -61,6 +61,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_nearest_vectors": op9_nearest_vectors,
     "op10_license_scan": op10_license_scan,
+    "op12_source_divergence": op12_source_divergence,
     "op13_ranked_search": op13_ranked_search,
 }
-ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql(), "op13_ranked_search": lexical.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql(), "op12_source_divergence": divergence.oracle_sql(), "op13_ranked_search": lexical.oracle_sql()}
