@@ -15,6 +15,7 @@ from .lexical import ranked
 from .licenses import license_scan
 from .lines import line_report
 from .mixing import mixture
+from .parity import similar_sets
 from .quality import quality_scores
 from .simhash import near_duplicates
 from .suffix import without_repeats
@@ -61,6 +62,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_nearest_vectors": op9_nearest_vectors,
     "op10_license_scan": op10_license_scan,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_source_divergence": op12_source_divergence,
     "op13_ranked_search": op13_ranked_search,
 }
