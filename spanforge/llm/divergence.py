@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from itertools import groupby
+import itertools
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,140 +18,164 @@ from .terms import LOWER, UPPER, table_of, terms_of
 
 #: A term is kept in a language that has it in so many documents. Best terms of a group that are told.
 LEAST_DOCS, BEST = 30, 50
-#: Entries (language, source, term) that a task counts before it sends its tries.
-HELD = 400_000
+#: Different terms of a language, and entries (document, term), that a task counts before it sends its tries.
+TERMS, HELD = 400_000, 3_000_000
 #: Bytes of a prefix whose terms travel and merge together. A prefix with more leaves is cut at twice the length.
-PREFIX, LEAVES = 5, 200_000
+PREFIX, LEAVES = 3, 400_000
 #: Terms that are compared at a time; sources of a language that are compared with each other at a time.
 SLICE, BLOCK = 2000, 256
 _TABLE = table_of(LOWER)
 _PIECE = "lang string, prefix binary, leaves long, sources array<string>, blob binary"
 
 
+@dataclass
 class Trie:
-    """A radix trie of byte strings. A node is [children by first byte: [label, node], counters of the term that ends
-    there: {source: [occurrences, documents]}]."""
+    """A radix trie of byte strings, laid flat in the order of their bytes, which is that of UTF-8: a leaf is a term, and
+    counters of its sources stand side by side. The path to a leaf is what it shares with the leaf before, and its tail.
 
-    def __init__(self) -> None:
-        self.root: list = [{}, None]
-
-    def add(self, term: bytes, counters: dict) -> None:
-        """Adds counters to those of a term; the dict is taken over where the term is new."""
-        node, at = self.root, 0
-        while at < len(term):
-            edge = node[0].get(term[at])
-            if edge is None:
-                node[0][term[at]] = [term[at:], [{}, counters]]
-                return
-            label = edge[0]
-            if not term.startswith(label, at):
-                n = 1
-                while n < len(label) and at + n < len(term) and label[n] == term[at + n]:
-                    n += 1
-                edge[0], edge[1] = label[:n], [{label[n]: [label[n:], edge[1]]}, None]
-                label = edge[0]
-            node, at = edge[1], at + len(label)
-        if node[1] is None:
-            node[1] = counters
-            return
-        for source, (n, d) in counters.items():
-            held = node[1].setdefault(source, [0, 0])
-            held[0] += n
-            held[1] += d
-
-    def __iter__(self) -> Iterator[tuple[bytes, dict]]:
-        """Terms with their counters in the order of their bytes, which is that of UTF-8."""
-        todo = [(b"", self.root)]
-        while todo:
-            term, node = todo.pop()
-            if node[1] is not None:
-                yield term, node[1]
-            todo += [(term + node[0][b][0], node[0][b][1]) for b in sorted(node[0], reverse=True)]
-
-
-def packed(leaves: list[tuple[bytes, dict]]) -> tuple[list[str], bytes]:
-    """Leaves in order, as the sources named and, in bytes, what each term shares with the one before, its tail, counters."""
-    number: dict[str, int] = {}
-    shared, tails, sizes, flat, before = [], [], [], [], b""
-    for term, counters in leaves:
-        n, most = 0, min(len(term), len(before))
-        while n < most and term[n] == before[n]:
-            n += 1
-        shared.append(n)
-        tails.append(term[n:])
-        sizes.append(len(counters))
-        for source, (count, docs) in counters.items():
-            flat += (number.setdefault(source, len(number)), count, docs)
-        before = term
-    ints = np.array([len(shared), *shared, *map(len, tails), *sizes, *flat], np.int64)
-    small = ints.astype("<u4") if ints.max() < 1 << 32 else ints.astype("<u8")
-    return list(number), bytes([small.itemsize]) + np.uint64(len(ints)).tobytes() + small.tobytes() + b"".join(tails)
-
-
-def unpacked(sources: list[str], blob: bytes) -> Iterator[tuple[bytes, dict]]:
-    size = int(np.frombuffer(blob, np.uint64, 1, 1)[0])
-    ints = np.frombuffer(blob, f"<u{blob[0]}", size, 9).tolist()
-    n, at, term, k = ints[0], 9 + size * blob[0], b"", 1 + 3 * ints[0]
-    for shared, tail, counters in zip(ints[1 : n + 1], ints[n + 1 : 2 * n + 1], ints[2 * n + 1 : k], strict=True):
-        term = term[:shared] + blob[at : at + tail]
-        at += tail
-        yield term, {sources[ints[k + 3 * i]]: [ints[k + 3 * i + 1], ints[k + 3 * i + 2]] for i in range(counters)}
-        k += 3 * counters
-
-
-def _pieces(lang: str, trie: Trie, depth: int) -> Iterator[dict]:
-    """The trie cut into those of its terms that share their first depth bytes."""
-    for prefix, leaves in groupby(trie, lambda leaf: leaf[0][:depth]):
-        own = list(leaves)
-        sources, blob = packed(own)
-        yield {"lang": lang, "prefix": prefix, "leaves": len(own), "sources": sources, "blob": blob}
+    terms[i] has the counters begin[i] to begin[i + 1]: source (a place in sources), occurrences, documents.
+    """
+
+    sources: list[str]
+    terms: list[bytes]
+    begin: np.ndarray
+    source: np.ndarray
+    count: np.ndarray
+    docs: np.ndarray
+
+    @classmethod
+    def of(cls, sources: list[str], terms: list[bytes], entries: np.ndarray, least: int = 1) -> Trie:
+        """From entries (place in terms, place in sources, occurrences, documents) in any order, each as often as it comes;
+        terms of fewer than `least` documents are left out."""
+        key = entries[0] * len(sources) + entries[1]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        sums = [np.add.reduceat(x[order], first) if len(first) else x for x in entries[2:]]
+        term, source = key[first] // max(1, len(sources)), key[first] % max(1, len(sources))
+        whole = np.zeros(len(terms), np.int64)
+        np.add.at(whole, term, sums[1])
+        place = np.full(len(terms), -1)
+        kept = sorted(np.flatnonzero(whole >= least).tolist(), key=terms.__getitem__)
+        place[kept] = np.arange(len(kept))
+        own = np.flatnonzero(place[term] >= 0)
+        own = own[np.argsort(place[term[own]], kind="stable")]
+        begin = np.append(0, np.cumsum(np.bincount(place[term[own]], minlength=len(kept)))).astype(np.int64)
+        return cls(sources, [terms[k] for k in kept], begin, source[own], sums[0][own], sums[1][own])
+
+    @classmethod
+    def merged(cls, tries: Iterable[Trie], least: int = 1) -> Trie:
+        """One trie of all; counters of one term and source add up."""
+        terms: defaultdict = defaultdict(itertools.count().__next__)
+        sources: defaultdict = defaultdict(itertools.count().__next__)
+        parts = []
+        for t in tries:
+            at = np.array([terms[x] for x in t.terms], np.int64)
+            of = np.array([sources[x] for x in t.sources], np.int64)
+            parts.append(np.stack([np.repeat(at, np.diff(t.begin)), of[t.source], t.count, t.docs]))
+        return cls.of(list(sources), list(terms), np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64), least)
+
+    def cut(self, depth: int) -> Iterator[tuple[bytes, Trie]]:
+        """Tries of the terms that share their first depth bytes."""
+        heads = [t[:depth] for t in self.terms]
+        edges = [0, *(k for k in range(1, len(heads)) if heads[k] != heads[k - 1]), len(heads)] if heads else [0]
+        for a, b in itertools.pairwise(edges):
+            i, j = self.begin[a], self.begin[b]
+            named, source = np.unique(self.source[i:j], return_inverse=True)
+            yield heads[a], Trie([self.sources[k] for k in named], self.terms[a:b], self.begin[a : b + 1] - i, source, self.count[i:j], self.docs[i:j])
+
+    def packed(self) -> bytes:
+        shared = [0]
+        for a, b in itertools.pairwise(self.terms):
+            n = 0
+            for x, y in zip(a, b, strict=False):
+                if x != y:
+                    break
+                n += 1
+            shared.append(n)
+        tails = [t[n:] for t, n in zip(self.terms, shared, strict=False)]
+        ints = np.concatenate([[len(self.terms), len(self.source)], shared[: len(tails)], list(map(len, tails)), np.diff(self.begin), self.source, self.count, self.docs]).astype(np.int64)
+        small = ints.astype("<u4") if ints.max() < 1 << 32 else ints.astype("<u8")
+        return bytes([small.itemsize]) + small.tobytes() + b"".join(tails)
+
+    @classmethod
+    def unpacked(cls, sources: list[str], blob: bytes) -> Trie:
+        n, m = (int(x) for x in np.frombuffer(blob, f"<u{blob[0]}", 2, 1))
+        size = 2 + 3 * n + 3 * m
+        ints = np.frombuffer(blob, f"<u{blob[0]}", size, 1).astype(np.int64)
+        shared, tail, sizes, source, count, docs = np.split(ints[2:], np.cumsum([n, n, n, m, m]))
+        terms, term, at = [], b"", 1 + size * blob[0]
+        for k, t in zip(shared.tolist(), tail.tolist(), strict=True):
+            term = term[:k] + blob[at : at + t]
+            at += t
+            terms.append(term)
+        return cls(sources, terms, np.append(0, np.cumsum(sizes)), source, count, docs)
 
 
 _ARROW = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("leaves", pa.int64()), ("sources", pa.list_(pa.string())), ("blob", pa.binary())])
 
 
-def _batched(pieces: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+def _sent(tries: Iterable[tuple[str, Trie]], depth: int) -> Iterator[pa.RecordBatch]:
+    """Rows of pieces of tries, cut by prefixes of depth bytes."""
     held, size = [], 0
-    for p in pieces:
-        held.append(p)
-        size += len(p["blob"])
-        if len(held) >= 2000 or size > 4 << 20:
-            yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
-            held, size = [], 0
+    for lang, trie in tries:
+        for prefix, piece in trie.cut(depth):
+            blob = piece.packed()
+            held.append({"lang": lang, "prefix": prefix, "leaves": len(piece.terms), "sources": piece.sources, "blob": blob})
+            size += len(blob)
+            if len(held) == 500 or size > 4 << 20:
+                yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+                held, size = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
 
 
+class _Counts:
+    """Counts of the documents of one language in a task."""
+
+    def __init__(self) -> None:
+        self.terms: defaultdict = defaultdict(itertools.count().__next__)
+        self.sources: defaultdict = defaultdict(itertools.count().__next__)
+        self.at, self.of, self.n, self.held = [], [], [], 0
+
+    def add(self, words: list[bytes], source: str) -> None:
+        at, n = np.unique(np.fromiter(map(self.terms.__getitem__, words), np.int64, len(words)), return_counts=True)
+        self.at.append(at)
+        self.n.append(n)
+        self.of.append((self.sources[source], len(at)))
+        self.held += len(at)
+
+    def trie(self) -> Trie:
+        of, sizes = np.array(self.of, np.int64).T
+        at = np.concatenate(self.at)
+        return Trie.of(list(self.sources), list(self.terms), np.stack([at, np.repeat(of, sizes), np.concatenate(self.n), np.ones(len(at), np.int64)]))
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """Pieces of the tries that tasks count over their documents."""
 
-    def send(counts: dict) -> Iterator[dict]:
-        for lang, own in groupby(sorted(counts), lambda k: k[0]):
-            trie = Trie()
-            for key in own:
-                n, d = counts[key]
-                for term, count in n.items():
-                    trie.add(term, {key[1]: [count, d[term]]})
-            yield from _pieces(lang, trie, PREFIX)
-
-    def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size = 0
+    def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, _Counts] = {}
+        held = 0
+
+        def over() -> Iterator[pa.RecordBatch]:
+            yield from _sent(((lang, c.trie()) for lang, c in counts.items()), PREFIX)
+            counts.clear()
+
         for b in it:
             for text, lang, source in zip(*(b.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True):
                 words = terms_of(text, _TABLE)
                 if words:
-                    n, d = counts.setdefault((lang, source), (Counter(), Counter()))
-                    size -= len(n)
-                    n.update(words)
-                    d.update(set(words))
-                    size += len(n)
-                    if size > HELD:
-                        yield from send(counts)
-                        counts, size = {}, 0
-        yield from send(counts)
+                    c = counts.setdefault(lang, _Counts())
+                    held -= c.held
+                    c.add(words, source)
+                    held += c.held
+                    if held > HELD or len(c.terms) > TERMS:
+                        yield from over()
+                        held = 0
+        yield from over()
 
-    return stage(docs.mapInArrow(trimmed(lambda it: _batched(pieces(it))), _PIECE))
+    return stage(docs.mapInArrow(trimmed(pieces), _PIECE))
 
 
 def _cut(pieces: DataFrame) -> DataFrame:
@@ -163,16 +188,12 @@ def _cut(pieces: DataFrame) -> DataFrame:
             return pieces
         depth *= 2
 
-        def again(it: Iterator[pa.RecordBatch], depth=depth) -> Iterator[dict]:
+        def again(it: Iterator[pa.RecordBatch], depth=depth) -> Iterator[pa.RecordBatch]:
             for b in it:
-                for p in b.to_pylist():
-                    for prefix, leaves in groupby(unpacked(p["sources"], p["blob"]), lambda leaf: leaf[0][:depth]):
-                        own = list(leaves)
-                        sources, blob = packed(own)
-                        yield {"lang": p["lang"], "prefix": prefix, "leaves": len(own), "sources": sources, "blob": blob}
+                yield from _sent(((p["lang"], Trie.unpacked(p["sources"], p["blob"])) for p in b.to_pylist()), depth)
 
         on = ["lang", "prefix"]
-        pieces = stage(pieces.join(full, on, "left_anti").unionByName(pieces.join(full, on, "left_semi").mapInArrow(trimmed(lambda it, f=again: _batched(f(it))), _PIECE)))
+        pieces = stage(pieces.join(full, on, "left_anti").unionByName(pieces.join(full, on, "left_semi").mapInArrow(trimmed(again), _PIECE)))
 
 
 def _kept(pieces: DataFrame) -> DataFrame:
@@ -181,24 +202,20 @@ def _kept(pieces: DataFrame) -> DataFrame:
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (p for b in it for p in b.to_pylist())
-        out, slice_, n = [], TaskContext.get().partitionId() << 32, 0
-        before = None
-        for (lang, _), own in groupby(rows, lambda p: (p["lang"], p["prefix"])):
-            trie = Trie()
-            for p in own:
-                for term, counters in unpacked(p["sources"], p["blob"]):
-                    trie.add(term, counters)
+        out, slice_, n, before = [], TaskContext.get().partitionId() << 32, 0, None
+        for (lang, _), own in itertools.groupby(rows, lambda p: (p["lang"], p["prefix"])):
+            trie = Trie.merged((Trie.unpacked(p["sources"], p["blob"]) for p in own), LEAST_DOCS)
             if lang != before:
                 before, slice_, n = lang, slice_ + 1, 0
-            for term, counters in trie:
-                if sum(d for _, d in counters.values()) >= LEAST_DOCS:
-                    if n == SLICE:
-                        slice_, n = slice_ + 1, 0
-                    n += 1
-                    out.append({"lang": lang, "term": term.decode("utf-8", "replace"), "slice": slice_, "sources": list(counters), "counts": [c for c, _ in counters.values()]})
-                    if len(out) == 1000:
-                        yield pa.RecordBatch.from_pylist(out, schema=schema)
-                        out = []
+            for k, term in enumerate(trie.terms):
+                if n == SLICE:
+                    slice_, n = slice_ + 1, 0
+                n += 1
+                i, j = trie.begin[k], trie.begin[k + 1]
+                out.append({"lang": lang, "term": term.decode("utf-8", "replace"), "slice": slice_, "sources": [trie.sources[s] for s in trie.source[i:j]], "counts": trie.count[i:j].tolist()})
+                if len(out) == 1000:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out = []
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -232,7 +249,7 @@ def _compared(kept: DataFrame, groups: DataFrame) -> DataFrame:
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in it for r in b.to_pylist())
-        for (lang, a, b, _), own in groupby(rows, lambda r: (r["lang"], r["a"], r["b"], r["slice"])):
+        for (lang, a, b, _), own in itertools.groupby(rows, lambda r: (r["lang"], r["a"], r["b"], r["slice"])):
             heads, terms, at = [], [], []
             place: dict[str, int] = {}
             for r in own:
@@ -283,13 +300,14 @@ def divergence(docs: DataFrame) -> DataFrame:
     of_group = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     groups = stage(docs.select("lang", "source").distinct().join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").na.fill(0, ["n", "v", "n_lang"]).withColumn("k", place))
-    found = _compared(kept, groups)
+    found = stage(_compared(kept, groups))
     one = groups.where("v = 0")
-    bare = one.select("lang", "source").join(one.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
-    rows = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    rows = rows.unionByName(bare.select("lang", "source", F.lit("pair").alias("part"), "item", F.lit(0).cast("long").alias("value")))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), "item")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where((F.col("part") == "pair") | (F.col("rank") <= BEST))
+    bare = one.select("lang", "source").join(one.select("lang", F.col("source").alias("item")), "lang").where("source <> item").withColumn("value", F.lit(0).cast("long"))
+    pairs = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).unionByName(bare)
+    order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
+    place = F.row_number().over(order)
+    terms = found.where("part = 'term'").withColumn("rank", place).where(F.col("rank") <= BEST)  # tasks keep BEST before rows move
+    ranked = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", place.alias("rank")).unionByName(terms.select("lang", "source", "part", "item", "value", "rank"))
     return ranked.select("lang", "source", "part", "item", "value", "rank")
 
 

@@ -53,7 +53,7 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("settings", [{}, {"PREFIX": 1, "LEAVES": 20, "SLICE": 7, "BLOCK": 2, "HELD": 50, "BEST": 4}])
+@pytest.mark.parametrize("settings", [{}, {"PREFIX": 1, "LEAVES": 20, "SLICE": 7, "BLOCK": 2, "HELD": 50, "TERMS": 40, "BEST": 4}])
 def test_divergence(spark, monkeypatch, settings):
     for name, value in {"LEAST_DOCS": 5, **settings}.items():
         monkeypatch.setattr(divergence, name, value)
@@ -71,23 +71,34 @@ def test_nothing_kept_and_empty(spark):
     assert divergence.divergence(frame.limit(0)).count() == 0
 
 
-def test_trie_round_trip():
+def listed(trie):
+    return [(t, {trie.sources[trie.source[i]]: (int(trie.count[i]), int(trie.docs[i])) for i in range(trie.begin[k], trie.begin[k + 1])}) for k, t in enumerate(trie.terms)]
+
+
+def test_tries():
     rng = random.Random(4)
     want: dict = {}
-    tries = [divergence.Trie() for _ in range(3)]
-    for _ in range(2000):
-        term, source = bytes(rng.choice(b"ab\xc3\xff") for _ in range(rng.randrange(0, 8))), rng.choice("xyz")
-        held = want.setdefault(term, {}).setdefault(source, [0, 0])
-        held[0] += 2
-        held[1] += 1
-        rng.choice(tries).add(term, {source: [2, 1]})
-    merged = divergence.Trie()
-    for t in tries:
-        for term, counters in divergence.unpacked(*divergence.packed(list(t))):
-            merged.add(term, counters)
-    assert list(merged) == sorted(want.items())
-    big = [(b"a", {"s": [1 << 40, 3]}), (b"ab", {"s": [1, 1], "t": [2, 2]})]
-    assert list(divergence.unpacked(*divergence.packed(big))) == big
+    pieces = []
+    for _ in range(3):
+        terms = sorted({bytes(rng.choice(b"ab\xc3\xff") for _ in range(rng.randrange(1, 8))) for _ in range(400)}, key=lambda t: rng.random())
+        entries = []
+        for _ in range(2000):
+            k, s, n = rng.randrange(len(terms)), rng.randrange(3), rng.randrange(1, 5)
+            entries.append((k, s, n, 1))
+            held = want.setdefault(terms[k], {}).setdefault("xyz"[s], [0, 0])
+            held[0] += n
+            held[1] += 1
+        trie = divergence.Trie.of(list("xyz"), terms, np.array(entries, np.int64).T)
+        assert listed(divergence.Trie.unpacked(trie.sources, trie.packed())) == listed(trie)
+        cut = list(trie.cut(2))
+        assert all(t.startswith(prefix) for prefix, p in cut for t in p.terms) and [x for _, p in cut for x in listed(p)] == listed(trie)
+        pieces += [divergence.Trie.unpacked(p.sources, p.packed()) for _, p in cut]
+    want = sorted((t, {s: tuple(c) for s, c in w.items()}) for t, w in want.items())
+    assert listed(divergence.Trie.merged(pieces)) == want
+    assert listed(divergence.Trie.merged(pieces, 12)) == [(t, w) for t, w in want if sum(d for _, d in w.values()) >= 12]
+    assert listed(divergence.Trie.merged([])) == []
+    big = divergence.Trie.of(["s", "t"], [b"ab", b"a"], np.array([[0, 0, 1 << 40, 3], [0, 1, 2, 2], [1, 0, 1, 1]]).T)
+    assert listed(divergence.Trie.unpacked(big.sources, big.packed())) == [(b"a", {"s": (1, 1)}), (b"ab", {"s": (1 << 40, 3), "t": (2, 2)})]
 
 
 def test_shares_are_exact():
