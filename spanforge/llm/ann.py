@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, stage, width
+from .common import prepare, stage, trimmed, width
 
 #: Vectors that centroids and codebooks are fitted on at most; every vector is indexed.
 MAX_SAMPLE = 20_000
@@ -22,7 +23,7 @@ SUB, CODES = 2, 16
 #: Cosine from which errors along a vector are made to matter more than errors across it.
 AIM = 0.3
 #: Vectors and queries of one scan, and how many of a scan's vectors, best by their codes, are scored exactly.
-CHUNK, QUERIES, RERANKED = 8192, 512, 100
+CHUNK, RERANKED = 8192, 100
 
 
 @dataclass
@@ -152,7 +153,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
     Rows that agree in their vector are one entry of the index, standing for its k + 1 smallest vec_ids: no other of
     them can be among the k nearest. Equal queries are searched once. Lists are cut into blocks of a bounded size, so
-    a list with a third of all vectors is scanned by many tasks. Rows of another length than most in the sample take
+    a list with a third of all vectors is scanned by many tasks; a vector goes to its block once, and the queries that look
+    into a block stream past it. Components may be of any numeric type. Rows of another length than most in the sample take
     no part, like those without a vec_id, null, zero or with null or non-finite components. A vec_id that repeats is
     one candidate for each different vector; a query never finds its own vec_id, but other vectors of that id take places
     among the k + 1 looked for, so it may find fewer. An empty table gives no rows.
@@ -160,6 +162,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     spark = vectors.sparkSession
     prepare(spark)
     rows = valid_vectors(vectors)
+    kind = rows.schema["embedding"].dataType.simpleString()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MAX_SAMPLE).select("embedding").toPandas()["embedding"]
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -180,7 +183,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 packed = [c.tobytes() for c in codes[:, ::2] | np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))[:, 1::2] << 4]
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column("vec_id"), pa.array(packed, pa.binary()), b.column("embedding")], names=["list", "vec_id", "codes", "embedding"])
 
-    entries = stage(few.mapInArrow(coded, "list int, vec_id long, codes binary, embedding array<float>"))
+    entries = stage(few.mapInArrow(coded, f"list int, vec_id long, codes binary, embedding {kind}"))
     counts = np.zeros(lists, np.int64)  # one number per list, of which there are MAX_LISTS at most
     for r in entries.groupBy("list").count().collect():
         counts[r["list"]] = r["count"]
@@ -208,40 +211,54 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(block[new].astype(np.int32)), b.column("query").take(pa.array(row[new])), b.column("embedding").take(pa.array(row[new])), looked], names=["block", "query", "embedding", "lists"])
 
     different = stage(asked.groupBy("embedding").agg(F.min("vec_id").alias("query")))
-    wanted = different.mapInArrow(probed, "block int, query long, embedding array<float>, lists array<int>")
-    rounds = max(1, -(-different.count() // QUERIES))
+    wanted = different.mapInArrow(probed, f"block int, query long, embedding {kind}, lists array<int>")
     first_, parts_ = (F.array(*(F.lit(int(x)) for x in xs)) for xs in (first, parts))
     place = F.col("list") + 1
     block = F.element_at(first_, place) + F.pmod(F.xxhash64("vec_id"), F.element_at(parts_, place)).cast("int")
-    left = entries.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), "list", "vec_id", "codes", "embedding")
-    right = wanted.select("block", F.pmod(F.xxhash64("query"), F.lit(rounds)).cast("int").alias("round"), "query", "embedding", "lists")
+    left = entries.select(block.alias("block"), F.lit(0).alias("role"), "list", "vec_id", "codes", "embedding", F.lit(None).cast("array<int>").alias("lists"))
+    right = wanted.select("block", F.lit(1).alias("role"), F.lit(None).cast("int").alias("list"), F.col("query").alias("vec_id"), F.lit(None).cast("binary").alias("codes"), "embedding", "lists")
 
-    def search(own: pa.Table, queries: pa.Table) -> pa.Table:
+    def searched(block: tuple, queries: pa.RecordBatch) -> pa.RecordBatch:
+        ids, x, at, codes = block
         out: dict[str, list] = {"query": [], "vec_id": [], "score": []}
-        if own.num_rows and queries.num_rows:
-            own = own.sort_by([("list", "ascending"), ("vec_id", "ascending")])
-            ids, x, at = own.column("vec_id").to_numpy(), _matrix(own.column("embedding").combine_chunks()), own.column("list").to_numpy()
-            packed = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-            codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(ids), -1)[:, : len(index.books)]
-            q, looked = _matrix(queries.column("embedding").combine_chunks()), queries.column("lists").to_pylist()
-            for k0 in range(0, len(q), 128):
-                part, looks = q[k0 : k0 + 128], np.zeros((len(q[k0 : k0 + 128]), lists), bool)
-                for i, ls in enumerate(looked[k0 : k0 + 128]):
-                    looks[i, ls] = True
-                near = scan(index, at, codes, part, looks)
-                tops = np.argpartition(-near, RERANKED - 1, axis=1)[:, :RERANKED] if len(ids) > RERANKED else np.tile(np.arange(len(ids)), (len(part), 1))
-                for one, query, top, score in zip(part, queries.column("query")[k0 : k0 + 128].to_pylist(), tops, near, strict=True):
-                    top = np.sort(top[score[top] > -np.inf])
-                    score = cosines(one, x[top])
-                    best = np.lexsort((ids[top], -score))[: k + 1]
-                    out["query"] += [query] * len(best)
-                    out["vec_id"] += ids[top][best].tolist()
-                    out["score"] += score[best].tolist()
-        return pa.table(out, schema=pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-
-    keys = ["block", "round"]
-    n = width(spark)
-    found = left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInArrow(search, "query long, vec_id long, score double")
+        q, looked = _matrix(queries.column("embedding")), queries.column("lists").to_pylist()
+        for k0 in range(0, len(q), 128):
+            part, looks = q[k0 : k0 + 128], np.zeros((len(q[k0 : k0 + 128]), lists), bool)
+            for i, ls in enumerate(looked[k0 : k0 + 128]):
+                looks[i, ls] = True
+            near = scan(index, at, codes, part, looks)
+            tops = np.argpartition(-near, RERANKED - 1, axis=1)[:, :RERANKED] if len(ids) > RERANKED else np.tile(np.arange(len(ids)), (len(part), 1))
+            for one, query, top, score in zip(part, queries.column("vec_id")[k0 : k0 + 128].to_pylist(), tops, near, strict=True):
+                top = np.sort(top[score[top] > -np.inf])
+                score = cosines(one, x[top])
+                best = np.lexsort((ids[top], -score))[: k + 1]
+                out["query"] += [query] * len(best)
+                out["vec_id"] += ids[top][best].tolist()
+                out["score"] += score[best].tolist()
+        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+
+    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Holds the vectors of a block, which come first, and streams its queries past them."""
+        now, held, ready = None, [], None
+        for b in it:
+            if not b.num_rows:
+                continue
+            side = b.column("block").to_numpy().astype(np.int64) * 2 + b.column("role").to_numpy()
+            for part in (b.slice(i, j - i) for i, j in itertools.pairwise([0, *(np.flatnonzero(np.diff(side)) + 1).tolist(), len(side)])):
+                if part.column("block")[0].as_py() != now:
+                    now, held, ready = part.column("block")[0].as_py(), [], None
+                if part.column("role")[0].as_py() == 0:
+                    held.append(part)
+                elif held:
+                    if ready is None:
+                        own = pa.Table.from_batches(held)
+                        packed = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(own.num_rows, -1)
+                        codes = np.stack([packed & 15, packed >> 4], 2).reshape(own.num_rows, -1)[:, : len(index.books)]
+                        ready = own.column("vec_id").to_numpy(), _matrix(own.column("embedding").combine_chunks()), own.column("list").to_numpy(), codes
+                    yield searched(ready, part)
+
+    met = left.unionByName(right).repartition(width(spark), "block").sortWithinPartitions("block", "role", "list", "vec_id")
+    found = met.mapInArrow(trimmed(search), "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).groupBy("query").agg(F.collect_list(F.struct("n", "vec_id", "score")).alias("top"))
     answers = different.join(top, "query").select("embedding", "top")
