@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: Whole texts by licence id, as published; `CORES` says which part of a text is looked for within documents.
 TEXTS = Path(__file__).parent / "license_texts"
 #: Where the terms of a text begin and what follows them, without title, preamble and appendix.
@@ -154,8 +156,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     code point order, of all known texts that the document, a block between empty lines or a line is, and of all
     licences whose whole terms (core_texts) are a run of words of the document, however it is wrapped. Null texts read
     as empty. Each row of docs gives one row, also where its doc_id repeats or is null. Further columns are not read; an
-    empty table gives no rows. Units of a document are joined one by one and
-    gathered as bits, so neither a long document nor a frequent licence makes a large group.
+    empty table gives no rows. A row keeps those digests of its units that are among the known ones; only they are joined
+    and gathered as bits, so texts don't move, and neither a long document nor a frequent licence makes a large group.
     """
     known = known_texts() + whole_texts()
     if len(known) > MAX_KNOWN:
@@ -163,14 +165,18 @@ def license_scan(docs: DataFrame) -> DataFrame:
     table = docs.sparkSession.createDataFrame(known, "place int, text string").select("place", _digest(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("place").alias("place"))
     clean = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("of"), F.coalesce("text", F.lit("")).alias("raw")).withColumn("text", canonical(F.col("raw")))
     clean = with_runs(clean, {x: k for k, x in enumerate(NAMES)})
-    unit = lambda whole: lambda part: F.struct(F.lit(whole).alias("whole"), _digest(part).alias("digest"), (F.col("hits") if whole else F.lit(0).cast("long")).alias("hits"))
+    known_digests = [r.digest for r in table.collect()]
     parts = F.array_distinct(F.concat(F.split(F.col("text"), "\n"), F.split(F.col("text"), "\n *\n")))
-    units = clean.select("of", F.explode(F.concat(F.array(unit(True)(F.col("text"))), F.transform(F.filter(parts, lambda p: F.trim(p) != ""), unit(False)))).alias("u")).select("of", "u.*")
-    found = units.join(F.broadcast(table), "digest", "left")
-    by = found.groupBy("of").agg(F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"), F.max(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.expr("bit_or(coalesce(shiftleft(1L, place), 0L) | hits)").alias("bits"))
+    met = F.array_intersect(F.transform(F.filter(parts, lambda p: F.trim(p) != ""), _digest), F.array(*map(F.lit, known_digests)))
+    rows = stage(clean.select("of.row", "of.doc_id", _digest(F.col("text")).alias("canonical_sha256"), "hits", met.alias("met")))
+    units = rows.select("row", F.explode("met").alias("digest")).join(F.broadcast(table), "digest")
+    bits = units.groupBy("row").agg(F.expr("bit_or(shiftleft(1L, place))").alias("units"))
+    whole = table.select(F.col("digest").alias("canonical_sha256"), F.col("place").alias("whole"))
+    by = rows.join(F.broadcast(whole), "canonical_sha256", "left").join(bits, "row", "left")
+    by = by.withColumn("bits", F.expr("hits | coalesce(units, 0L) | coalesce(shiftleft(1L, whole), 0L)"))
     names = F.array(*map(F.lit, NAMES))
     named = F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, F.lit(n)) for k, n in enumerate(NAMES)])
-    return by.select("of.doc_id", "canonical_sha256", F.get(names, F.col("whole")).alias("document_license"), F.array_join(F.array_compact(named), ",").alias("licenses"))
+    return by.select("doc_id", "canonical_sha256", F.get(names, F.col("whole")).alias("document_license"), F.array_join(F.array_compact(named), ",").alias("licenses"))
 
 
 def _sql_canonical(text: str) -> str:
