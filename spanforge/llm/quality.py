@@ -85,13 +85,14 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, trees: in
     """A rule ensemble for labels (doc_id, quality 0 or 1) on the texts of docs (doc_id, text).
 
     Of the labels whose crc32(doc_id) mod 5 isn't 0, the `bound` rows that a hash of their doc_id puts first are used;
-    null labels and doc_ids don't count. Without any, the score is 0.5 everywhere, and with one class that class's.
+    null labels and doc_ids don't count. Without any, the score is 0.5 everywhere, and with one class that class's. An
+    empty table counts as no labels; rows of docs that repeat a labelled doc_id each count; further columns are not read.
     """
     stats = statistics()
     known = labels.where("quality in (0, 1) and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     some = known.select("doc_id", F.col("quality").cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(bound)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", *(c.alias(n) for n, c in stats.items()))
-    rows = stage(rows.select("label", array_to_vector(F.array(*stats)).alias("stats"), *stats).coalesce(8))
+    rows = stage(rows.select("label", array_to_vector(F.array(*stats)).alias("stats"), *stats)).coalesce(8)  # of `bound` rows at most
     seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(seen) < 2:
         return RuleEnsemble({1.0: 4.0, 0.0: -4.0}[next(iter(seen))] if seen else 0.0, ())
@@ -112,7 +113,9 @@ def scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs; null and empty texts are scored like any other."""
+    """doc_id, held_out, score, predicted of each row of docs. Null and empty texts are scored like any other, null as empty;
+    a null doc_id isn't held out; repeated rows each keep theirs, with one score; further columns are not read, whatever
+    their names; an empty table gives no rows."""
     got = scored(docs.select("doc_id", "text"), fit(docs, labels, **how))
     out = F.crc32(F.col("row.doc_id").cast("string")) % 5 == 0
     return got.select("row.doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

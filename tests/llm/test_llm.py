@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -366,6 +367,40 @@ def test_quality(spark, clashing, empty):
     assert quality.quality_scores(empty, labels).count() == 0
 
 
+def plain_statistics(text):
+    """The twelve statistics, word by word and sign by sign."""
+    text = text or ""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    chars, n = max(1, len(text)), max(1, len(words))
+    of = lambda signs: sum(c in signs for c in text) / chars
+    power = np.log(len(set(words))) / np.log(len(words)) if len(words) > 1 else 1.0
+    out = [len(words), len(text) / n, len(set(words)) / n, power, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n]
+    out += [of("*$%&#@^~=<>{}\\_"), of("|"), of("!"), sum(unicodedata.category(c) == "Lu" for c in text) / chars, of("0123456789"), of(".,;:?"), of("\n")]
+    return dict(zip(quality.statistics(), map(float, out), strict=True))
+
+
+def test_quality_statistics_and_rule_sum(spark):
+    texts = [None, "", " \t\n ", "one", "one one", "ONE Two! | {x}_y\n1234 | a.b,c;d:e?f", "Ünï ÇÉ ßẞ 日本 𝐀", "word " * 5000, "a" * 20000, "x\r\nx\x0bx\x0cx", "#$%^&*@~=<>\\", "\u00a0nbsp\u2003em"]
+    texts += [prose(k, k) + "!" * (k % 3) + "\n" * (k % 5) for k in range(1, 40)]
+    names = list(quality.statistics())
+    clash = {c: F.lit("x") for c in (*names, "row", "score", "stats", "label", "rules", "quality", "predicted", "held_out")}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns(clash)
+    got = {r.doc_id: r for r in df.select("doc_id", "text").select("doc_id", *(c.alias(n) for n, c in quality.statistics().items())).collect()}
+    for k, t in enumerate(texts):
+        for n, v in plain_statistics(t).items():
+            assert abs(got[k][n] - v) <= 1e-12 * max(1, abs(v)), (k, n)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(len(texts))], "doc_id long, quality int, toxic int")
+    model = quality.fit(df, labels)
+    assert model.weights
+    scores = quality.quality_scores(df.unionByName(df.where("doc_id < 3")), labels).collect()
+    assert sorted(r.doc_id for r in scores) == sorted([*range(len(texts)), 0, 1, 2]) and all(r.predicted == int(r.score >= 0.3) for r in scores)
+    again = {r.row.doc_id: r.score for r in quality.scored(df, model).collect()}
+    for k, t in enumerate(texts):
+        s = plain_statistics(t)
+        z = model.intercept + sum(w for rule, w in model.weights if all(s[n] <= at if sign == "<=" else s[n] > at for n, sign, at in rule.conditions))
+        assert abs(again[k] - 1 / (1 + np.exp(-z))) < 1e-9, k
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 10))
@@ -594,6 +629,8 @@ def test_nearest_with_clashing_columns_and_repeated_ids(spark):
     data = [(k % 110, [float(v) for v in row], "x", "y", "z") for k, row in enumerate(x)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, block string, query string, list string")
     got = ann.nearest(df).collect()
+    doubles = ann.nearest(df.withColumn("embedding", F.col("embedding").cast("array<double>"))).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(doubles)] == [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got)]
     assert sorted({r.query_id for r in got}) == [0, 50, 100] and all(r.vec_id != r.query_id for r in got)
     # vec_id 0 stands for two vectors, so it asks twice, and its other vector takes a place among those found
     assert collections.Counter(r.query_id for r in got)[50] == 5 and 8 <= collections.Counter(r.query_id for r in got)[0] <= 10
