@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.numeric import cost_micro
 from ..registry import query
 from ..sources.tables import INVITES, JOBS, POINTS, invites, jobs, points, table
-from .folds import folded
 
 OPEN = ("reserved", "running")
 PRICE = 210_000
@@ -32,22 +31,6 @@ def early_delete_seconds(reserved_s: Column, size: Column, slack: int = 60) -> C
     return F.greatest(reserved_s, F.least(F.ceil(size / 750).cast("long"), reserved_s + slack))
 
 
-def admitted(attempts: DataFrame, limits: DataFrame, by: str, price: int, cap_micro: int) -> DataFrame:
-    """Replays attempts (by, id, at, seconds) of each invite in order against its quota: by, id, verdict.
-
-    A check depends on what was accepted before, so an invite's log is a fold whose state is the seconds used; the cap is
-    one of each invite's own spending (see decided for the whole chain with the common one)."""
-    own = limits.select(by, F.when(~F.coalesce("revoked", F.lit(True)), F.col("quota_s") - F.col("used_s")).alias("_quota")).dropDuplicates([by])
-
-    def step(used: int, row: tuple) -> tuple:
-        s, quota = row
-        cost = -(-(used + int(s)) * price // 3600)
-        refusal = "invite_invalid" if quota is None else "too_long" if s > LONGEST_JOB_S else "invite_minutes_used_up" if used + s > quota else "invite_cap_reached" if cost > cap_micro else None
-        return (used, refusal) if refusal else (used + int(s), "accepted")
-
-    return folded(attempts.join(own, by, "left"), [by], ["at", "id"], int, step, ["seconds", "_quota"], "verdict", "string").select(by, "id", "verdict")
-
-
 def decided(attempts: DataFrame, ledger: DataFrame, limits: DataFrame, tries: DataFrame, enabled: bool, price: int, cap_micro: int, per_hour: int, now_ms: int) -> DataFrame:
     """id, verdict of attempts (id, invite, month, seconds; each by itself, against the ledger as it is), by the first rule
     that refuses: too many tries of the invite in its hour (tries: invite, n), service off, invite unknown or revoked,
@@ -115,12 +98,6 @@ def l7(spark: SparkSession, d: str) -> DataFrame:
     return rate_windows(points(spark, d), "user_id", "us").select("user_id", "win", over.alias("limited"), F.when(over, retry).alias("retry_s"))
 
 
-@query("l8_admission_replay")
-def l8(spark: SparkSession, d: str) -> DataFrame:
-    log = jobs(spark, d).select("invite", "id", F.col("created_ms").alias("at"), F.col("reserved_s").alias("seconds"))
-    return admitted(log, invites(spark, d), "invite", PRICE, 5_000_000)
-
-
 _TRIES = "tries AS (SELECT o_custkey AS invite, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1)"
 _CHAIN = f"""live AS (SELECT * REPLACE (CASE WHEN state = 'reserved' AND created_ms < {NOW_MS} - 1800000 THEN 'failed' ELSE state END AS state) FROM jobs),
 held AS (SELECT invite, count(*) AS active, sum(reserved_s) AS held_s FROM live WHERE {_OPEN} GROUP BY 1),

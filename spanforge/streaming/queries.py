@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.staging import new_folder
 from ..sources.tables import POINTS, table
 from . import windows
 
@@ -19,20 +17,11 @@ def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; in local mode, as in tests, a local one where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    named = named or "file://" + tempfile.mkdtemp(prefix="spanforge-")
-    return f"{named.rstrip('/')}/spanforge-stream-{uuid.uuid4().hex}"
-
-
 @query("l6_hourly_attempts_stream", "SELECT user_id, us // 3600000000 AS win, count(*) AS n FROM pts GROUP BY ALL", (POINTS,))
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly counter as a streaming job over all that is there: its complete state, as batch gives it. Executors
     write the state and each batch's table under spark.checkpoint.dir; a batch that runs again overwrites its own."""
-    folder = _folder(spark)
+    folder = new_folder(spark, "stream")
     counts, last = windows.hourly_attempts(_replayed(spark, sf_dir)), []
 
     def write(rows: DataFrame, batch: int) -> None:
