@@ -134,12 +134,6 @@ def _props(spark: SparkSession, d: str) -> DataFrame:
 _PROPS = "props AS (SELECT event_id, user_id, event_type AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"
 
 
-@query("v1_issues", """SELECT event_id, 'k_high' AS code, 'k' AS path FROM props WHERE k > 90 UNION ALL SELECT event_id, 'k_low', 'k' FROM props WHERE k < 5
-UNION ALL SELECT event_id, 'kind_k', 'kind' FROM props WHERE kind = 'error' AND k % 7 = 0""", (_PROPS,))
-def v1(spark: SparkSession, d: str) -> DataFrame:
-    return issues(_props(spark, d), ["event_id"], [("k_high", "k", F.col("k") > 90), ("k_low", "k", F.col("k") < 5), ("kind_k", "kind", (F.col("kind") == "error") & (F.col("k") % 7 == 0))])
-
-
 @query("v2_references", """SELECT l_orderkey AS key, 'orphan' AS code, count(*) AS n FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'P') GROUP BY 1
 UNION ALL SELECT l_orderkey, 'repeated', count(*) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def v2(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Folding, tokens, edit distance, ranked search over a lexicon, captions, times and fingerprints."""
+"""Folding, tokens, edit distance, captions, times and fingerprints."""
 
 from __future__ import annotations
 
@@ -14,12 +14,9 @@ from ..functions.numeric import fnv1a
 from ..registry import query
 from ..sources.tables import POINTS, TURNS, points, table, turns
 
-# Letters with marks and what they fold to, stop words, and a small lexicon of jobs.
+# Letters with marks and what they fold to, stop words.
 MARKED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõúùûüıßğş", "aaaaaaceeeeiiiinooooouuuuisgs"
 STOP = ["the", "of", "and", "de", "la", "le", "der", "die"]
-LEXICON = [("cut", "strong", "on"), ("cut", "weak", "ti"), ("join", "strong", "que"), ("join", "weak", "re"), ("mute", "strong", "er"), ("mute", "weak", "en"), ("crop", "strong", "is"), ("crop", "weak", "el")]
-PAIRS = [("join", "on", "that"), ("cut", "is", "to"), ("mute", "en", "un")]
-TASKS = ["cut", "join", "mute", "crop"]
 
 
 def fold(text: Column) -> Column:
@@ -64,28 +61,6 @@ def unescaped(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
-def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEXICON, "task string, kind string, word string")
-
-
-def matched(words: DataFrame, by: list[str], lex: DataFrame) -> DataFrame:
-    """Token matches, whole words (tier 2) or beginnings (tier 1): per token the best tier and then the longest word,
-    all ties kept. The lexicon is joined on its first two letters, so the join is an equality."""
-    keyed = lex.withColumn("head", F.substring("word", 1, 2))
-    hit = words.withColumn("head", F.substring("token", 1, 2)).join(F.broadcast(keyed), "head").where(F.expr("startswith(token, word)"))
-    tier = F.when(F.col("token") == F.col("word"), 2).otherwise(1)
-    best = Window.partitionBy(*by, "place").orderBy(F.col("tier").desc(), F.length("word").desc())
-    return hit.withColumn("tier", tier).withColumn("_r", F.rank().over(best)).where("_r = 1").drop("_r", "head")
-
-
-def ranked(found: DataFrame, by: list[str]) -> DataFrame:
-    """Scores by task (3 or 2 for a strong word, 1 or 0.75 for a weak one) and the three best that keep to 0.4 of the best."""
-    score = F.when(F.col("kind") == "strong", F.when(F.col("tier") == 2, 3.0).otherwise(2.0)).otherwise(F.when(F.col("tier") == 2, 1.0).otherwise(0.75))
-    by_task = found.groupBy(*by, "task").agg(F.sum(score).alias("score"))
-    w = Window.partitionBy(*by)
-    return by_task.withColumn("n", F.row_number().over(w.orderBy(F.col("score").desc(), "task"))).where(F.col("n") <= 3).withColumn("best", F.max("score").over(w)).where("score >= 0.4 * best").drop("best")
-
-
 def caption_text(text: Column) -> Column:
     """Line feeds only, no other control characters, single spaces, trimmed lines, no empty ones."""
     clean = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[\x00-\x08\x0B-\x1F\x7F]", "")
@@ -122,11 +97,6 @@ def subtitles(files: DataFrame, by: list[str], text: str = "text") -> DataFrame:
 _FOLD = f"trim(regexp_replace(translate(lower(text), '{MARKED}', '{PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
 _STOP = ", ".join(f"'{w}'" for w in STOP)
 _TOKENS = f"tok AS (SELECT conv_id, pos, (k - 1)::INTEGER AS place, w AS token FROM (SELECT conv_id, pos, unnest(string_split({_FOLD}, ' ')) AS w, unnest(range(1, len(string_split({_FOLD}, ' ')) + 1)) AS k FROM turns) WHERE length(w) > 1 AND w NOT IN ({_STOP}))"
-_LEX = "lex AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in LEXICON) + ") AS v(task, kind, word))"
-_HIT = "hit AS (SELECT * FROM (SELECT t.*, l.task, l.kind, l.word, CASE WHEN token = word THEN 2 ELSE 1 END AS tier, rank() OVER (PARTITION BY conv_id, pos, place ORDER BY CASE WHEN token = word THEN 2 ELSE 1 END DESC, length(word) DESC) AS r FROM tok t JOIN lex l ON substr(token, 1, 2) = substr(word, 1, 2) AND starts_with(token, word)) WHERE r = 1)"
-_SCORES = "scores AS (SELECT conv_id, pos, task, sum(CASE WHEN kind = 'strong' THEN CASE tier WHEN 2 THEN 3.0 ELSE 2.0 END ELSE CASE tier WHEN 2 THEN 1.0 ELSE 0.75 END END)::DOUBLE AS score FROM hit GROUP BY ALL)"
-_RANKED = "ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, pos ORDER BY score DESC, task)::INTEGER AS n, max(score) OVER (PARTITION BY conv_id, pos) AS best FROM scores) WHERE n <= 3 AND score >= 0.4 * best)"
-_V = (TURNS, _TOKENS, _LEX, _HIT, _SCORES, _RANKED)
 KEYS = ["conv_id", "pos"]
 
 
@@ -134,10 +104,6 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens(turns(spark, d), KEYS)
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return matched(_tokens(spark, d), KEYS, lexicon(spark))
-
-
 @query("t1_folded", f"SELECT conv_id, pos, {_FOLD} AS folded FROM turns", (TURNS,))
 def t1(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d).select("conv_id", "pos", fold(F.col("text")).alias("folded"))
@@ -155,56 +121,6 @@ def t3(spark: SparkSession, d: str) -> DataFrame:
     return _tokens(spark, d).select(*KEYS, "place", "token", after.alias("other")).where("other is not null").withColumn("distance", distance("token", "other"))
 
 
-@query("t4_typos")
-def t4(spark: SparkSession, d: str) -> DataFrame:
-    """Different words of five letters or more of one conversation that begin alike and are one slip apart."""
-    w = _tokens(spark, d).where(F.length("token") >= 5).select("conv_id", "token").distinct().withColumn("head", F.substring("token", 1, 1)).withColumn("size", F.length("token"))
-    o = w.select("conv_id", F.col("token").alias("other"), "head", F.col("size").alias("size_b"))
-    pairs = w.join(o, ["conv_id", "head"]).where("token < other AND abs(size - size_b) <= 1").withColumn("distance", distance("token", "other"))
-    swap = F.levenshtein("token", "other") == 2
-    return pairs.where((F.col("distance") == 1) & ((F.col("size") != F.col("size_b")) | (F.col("size") > 5) | swap)).select("conv_id", "token", "other")
-
-
-@query("t6_t7_token_matches", "SELECT conv_id, pos, place, token, task, kind, word, tier FROM hit", _V)
-def t6(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d).select(*KEYS, "place", "token", "task", "kind", "word", "tier")
-
-
-@query("t8_phrases", "SELECT a.conv_id, a.pos, a.place FROM tok a JOIN tok b ON a.conv_id = b.conv_id AND a.pos = b.pos AND b.place = a.place + 1 WHERE a.token = 'que' AND b.token = 'el' OR a.token = 'is' AND b.token = 'on'", (TURNS, _TOKENS))
-def t8(spark: SparkSession, d: str) -> DataFrame:
-    """Places of two phrases of two words."""
-    t = _tokens(spark, d)
-    nxt = t.select(*KEYS, (F.col("place") - 1).alias("place"), F.col("token").alias("after"))
-    return t.join(nxt, [*KEYS, "place"]).where("token = 'que' AND after = 'el' OR token = 'is' AND after = 'on'").select(*KEYS, "place")
-
-
-@query("t9_pairs", "SELECT DISTINCT a.conv_id, a.pos, p.task FROM tok a JOIN tok b ON a.conv_id = b.conv_id AND a.pos = b.pos AND abs(a.place - b.place) <= 4 JOIN (VALUES " + ", ".join(f"('{t}', '{a}', '{b}')" for t, a, b in PAIRS) + ") AS p(task, x, y) ON a.token = p.x AND b.token = p.y", (TURNS, _TOKENS))
-def t9(spark: SparkSession, d: str) -> DataFrame:
-    """Tasks named by two words within four places, in either order."""
-    t, p = _tokens(spark, d), spark.createDataFrame(PAIRS, "task string, x string, y string")
-    a = t.join(F.broadcast(p), t.token == p.x).select(*KEYS, "place", "task", "y")
-    b = t.select(*KEYS, F.col("place").alias("other"), F.col("token").alias("y"))
-    return a.join(b, [*KEYS, "y"]).where("abs(place - other) <= 4").select(*KEYS, "task").distinct()
-
-
-@query("t10_scores", "SELECT conv_id, pos, task, score FROM scores", _V)
-def t10(spark: SparkSession, d: str) -> DataFrame:
-    score = F.when(F.col("kind") == "strong", F.when(F.col("tier") == 2, 3.0).otherwise(2.0)).otherwise(F.when(F.col("tier") == 2, 1.0).otherwise(0.75))
-    return _hits(spark, d).groupBy(*KEYS, "task").agg(F.sum(score).alias("score"))
-
-
-@query("t11_ranked", "SELECT conv_id, pos, task, score, n FROM ranked", _V)
-def t11(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(_hits(spark, d), KEYS).select(*KEYS, "task", "score", "n")
-
-
-@query("t12_confidence", "SELECT conv_id, pos, CASE WHEN max(score) >= 3 AND (count(*) = 1 OR max(score) FILTER (n = 2) <= 0.5 * max(score)) THEN 'sure' ELSE 'ask' END AS confidence FROM ranked GROUP BY ALL", _V)
-def t12(spark: SparkSession, d: str) -> DataFrame:
-    second = F.max(F.when(F.col("n") == 2, F.col("score")))
-    sure = (F.max("score") >= 3) & ((F.count("*") == 1) | F.coalesce(second <= 0.5 * F.max("score"), F.lit(False)))
-    return ranked(_hits(spark, d), KEYS).groupBy(*KEYS).agg(F.when(sure, "sure").otherwise("ask").alias("confidence"))
-
-
 @query("t13_accent_search", "SELECT conv_id, pos, coalesce(lead(pos) OVER (PARTITION BY conv_id ORDER BY pos), min(pos) OVER (PARTITION BY conv_id)) AS next FROM turns WHERE contains(strip_accents(lower(text)), 'etre')", (TURNS,))
 def t13(spark: SparkSession, d: str) -> DataFrame:
     """Turns that hold `etre` whatever the marks, and the next such turn of the conversation, after the last the first."""

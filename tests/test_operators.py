@@ -12,7 +12,6 @@ from spanforge.operators.documents import migrated, validated
 from spanforge.operators.evaluation import alignment, judged
 from spanforge.operators.segments import gap_sessions, silences, speech_spans, split_at_quietest
 from spanforge.operators.signal import filtered, k_filter, within_rate
-from spanforge.operators import lookup as S
 from spanforge.plans.compilers import container_bytes, corrected, longest_seconds
 from spanforge.operators.textsearch import aligned_distance, parsed_timestamp, subtitles, wrapped
 from pyspark.sql import functions as F
@@ -316,27 +315,6 @@ def test_wrapped_lines(spark):
         assert r.lines == out
 
 
-def test_task_search(spark):
-    words = [("wipe", True, "gribbel", False), ("wipe", False, "zan", False), ("glue", True, "strando", True), ("glue", True, "moff", False), ("tint", False, "gribbel", True)]
-    tasks = spark.createDataFrame([("wipe", 0, True, True), ("glue", 1, False, True), ("tint", 2, False, True)], "task string, order int, generic boolean, available boolean")
-    asks = {1: "gribbel", 2: "gribebl", 3: "moffs now", 4: "strando gribbel", 5: "zan one two three four", 6: "fold up moff", 7: "quux"}
-    toks = spark.createDataFrame([(k, p, w) for k, t in asks.items() for p, w in enumerate(t.split())], "q int, place int, token string")
-    m = S.word_matches(toks, ["q"], spark.createDataFrame(words, "task string, strong boolean, word string, yielding boolean"))
-    kinds = {(r.q, r.token, r.task): (r.kind, r.tier) for r in m.collect()}
-    assert kinds[1, "gribbel", "wipe"] == ("exact", 4) and kinds[2, "gribebl", "wipe"] == ("typo", 2) and kinds[3, "moffs", "glue"] == ("part", 3)
-    together = S.combined(toks, ["q"], spark.createDataFrame([("tint", "fold up")], "task string, phrase string"), spark.createDataFrame([("glue", "now", "moffs")], "task string, x string, y string"))
-    assert sorted((r.q, r.task, r.score, r.places) for r in together.collect()) == [(3, "glue", 4.0, [0, 1]), (6, "tint", 4.0, [0, 1])]
-    found = S.tallies(m, together, ["q"])
-    score = {(r.q, r.task): r.score for r in found.collect()}
-    assert score[1, "wipe"] == 3.0 and score[2, "wipe"] == 2.0 and score[3, "glue"] == 4.0
-    assert score[4, "glue"] == 1.0 and score[4, "wipe"] == 3.0  # strando yields to the other task's own word
-    out = {}
-    for r in S.answers(found, toks.groupBy("q").agg(F.count("*").alias("words")), ["q"], tasks).orderBy("q", "n").collect():
-        out.setdefault(r.q, []).append((r.task, r.confidence))
-    assert out[1] == [("wipe", "sure")] and out[3] == [("glue", "sure")] and out[6] == [("tint", "sure"), ("glue", "sure")]
-    assert 5 not in out and 7 not in out  # one weak word of a longer request is a guess
-
-
 def test_removals_within_a_limit_against_brute_force(spark):
     rng = random.Random(14)
     clips = [(g, i, i * 100, i * 100 + rng.randrange(20, 100)) for g in range(6) for i in range(4)]
