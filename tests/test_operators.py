@@ -1,5 +1,6 @@
 """Operators against brute force on small random inputs, and rules at their edges."""
 
+import itertools
 import json
 import random
 
@@ -12,7 +13,7 @@ from spanforge.operators.documents import migrated, validated
 from spanforge.operators.evaluation import alignment, judged
 from spanforge.operators.segments import gap_sessions, silences, speech_spans, split_at_quietest
 from spanforge.operators.signal import filtered, k_filter, within_rate
-from spanforge.plans.compilers import container_bytes, corrected, longest_seconds
+from spanforge.plans.compilers import container_bytes, longest_seconds, retried
 from spanforge.operators.textsearch import aligned_distance, parsed_timestamp, subtitles, wrapped
 from pyspark.sql import functions as F
 
@@ -82,35 +83,24 @@ def test_silences(spark):
     assert got == {"pause": [("ok", 65, 105)], "flat": [("low_contrast", None, None)], "short": [("too_short", None, None)], "edge": [("ok", 0, 35)]}
 
 
-def spans_by_state(p, on, off, speech, silence, pad):
-    """The same with a state that walks over the frames; all lengths in frames."""
-    raw, start, low = [], None, None
-    for i, x in enumerate(p):
-        if start is None:
-            if x >= on:
-                start, low = i, None
-        elif x >= on:
-            low = None
-        elif x < off:
-            low = i if low is None else low
-            if i + 1 - low >= silence:
-                raw.append((start, low))
-                start = low = None
-    if start is not None:
-        raw.append((start, len(p) if low is None else low))
-    raw = [r for r in raw if r[1] - r[0] >= speech]
-    out = []
-    for k, (a, z) in enumerate(raw):
-        a2 = max(a - pad, (raw[k - 1][1] + a) / 2 if k else 0)
-        z2 = min(z + pad, (z + raw[k + 1][0]) / 2 if k + 1 < len(raw) else len(p))
-        if out and a2 - out[-1][1] < 1e-6:
-            out[-1] = (out[-1][0], z2)
-        else:
-            out.append((a2, z2))
-    return out
-
-
-def test_speech_spans_match_a_walking_state(spark):
+def spans_by_definition(p, on, off, speech, silence, pad):
+    """Frames that are on belong to one span unless quiet frames between two neighbours of them reach over `silence`; a span
+    lasts to the first quiet frame behind it. What is within pad of a span that is long enough is speech."""
+    loud = [k for k, x in enumerate(p) if x >= on]
+    quiet = lambda i, j: [k for k in range(i + 1, j) if p[k] < off]
+    parted = {(i, j) for i, j in itertools.pairwise(loud) for q in [quiet(i, j)] if q and q[-1] - q[0] + 1 >= silence}
+    may = {(i, j) for i in loud for j in loud if i <= j and not any(i <= a and b <= j for a, b in parted)}
+    maximal = [(i, j) for i, j in may if not any((a, b) != (i, j) and a <= i and j <= b for a, b in may)]
+    ends = {(i, j): min([k for k in quiet(j, len(p))], default=len(p)) for i, j in maximal}
+    half = set()  # halves of frames that are speech
+    for (i, _), z in ends.items():
+        if z - i >= speech:
+            half |= set(range(max(0, 2 * (i - pad)), min(2 * len(p), 2 * (z + pad))))
+    edges = sorted(h for h in half if h - 1 not in half), sorted(h + 1 for h in half if h + 1 not in half)
+    return [(a / 2, z / 2) for a, z in zip(*edges, strict=True)]
+
+
+def test_speech_spans_match_their_definition(spark):
     rng, rows, want = random.Random(5), [], {}
     for g in range(60):
         p, x = [], rng.random()
@@ -118,7 +108,7 @@ def test_speech_spans_match_a_walking_state(spark):
             x = min(1.0, max(0.0, x + rng.choice([-0.3, -0.1, 0.1, 0.3])))
             p.append(x)
         rows += [(g, k, x) for k, x in enumerate(p)]
-        want[g] = spans_by_state(p, 0.5, 0.35, 3, 2, 1)
+        want[g] = spans_by_definition(p, 0.5, 0.35, 3, 2, 1)
     got = {g: [] for g in want}
     for r in speech_spans(spark.createDataFrame(rows, "g int, frame int, p double"), "g", 1.0, speech_s=3, silence_s=2, pad_s=1).orderBy("g", "start_s").collect():
         got[r.g].append((r.start_s, r.end_s))
@@ -357,23 +347,30 @@ def test_file_sizes_by_hand(spark):
 
 
 def test_retries_by_hand(spark):
-    rungs = spark.createDataFrame([(1080, 2_000_000, 900_000, 9_000_000), (720, 1_000_000, 500_000, 5_000_000), (360, 200_000, 200_000, 2_000_000)], "edge int, pixels int, least int, normal int")
+    rungs = spark.createDataFrame([(1080, 2_000_000, "hardware", 900_000, 9_000_000), (720, 1_000_000, "hardware", 500_000, 5_000_000), (540, 500_000, "software", 300_000, 3_000_000), (360, 200_000, "software", 200_000, 150_000)], "edge int, pixels int, kind string, least int, normal int")
     rows = [
         (1, 1080, 2_000_000, 1, 10.0, 3_000_000, 2_900_000, 2_500_000),  # it fits
         (2, 1080, 2_000_000, 1, 10.0, 2_500_000, 2_800_000, 2_600_000),  # slightly over: 2,225,000 of 2,600,000 bytes
         (3, 1080, 1_000_000, 1, 10.0, 1_000_000, 1_300_000, 1_250_000),  # the rate would be below the size's least
-        (4, 1080, 1_000_000, 1, 10.0, 1_000_000, 2_100_000, 2_000_000),  # saturated: by pixels only the smallest fits
-        (5, 360, 300_000, 2, 10.0, 300_000, 500_000, 480_000),  # the smallest, slightly over: under its least rate
-        (6, 360, 300_000, 2, 10.0, 300_000, 900_000, 880_000),  # the smallest, saturated: nothing left
+        (4, 1080, 1_000_000, 1, 10.0, 1_000_000, 2_100_000, 2_000_000),  # saturated: by pixels 540 fits, 720 doesn't
+        (5, 360, 300_000, 2, 10.0, 200_000, 500_000, 480_000),  # the smallest, saturated: nothing left
+        (6, 360, 150_000, 2, 10.0, 190_000, 210_000, 200_000),  # the smallest, slightly over: under its least rate
         (7, 1080, 2_000_000, 3, 10.0, 2_500_000, 2_800_000, 2_600_000),  # all attempts used
+        (8, 1080, 1_000_000, 1, 10.0, 300_000, 2_700_000, 2_600_000),  # saturated, and no size fits: the smallest
+        (9, 1080, 1_000_000, 1, 10.0, 1_000, 2_700_000, 2_600_000),  # nothing left for the picture
+        (10, 720, 600_000, 1, 10.0, 600_000, 760_000, 750_000),  # the next size is made in software
+        (11, 1080, 0, 1, 10.0, 2_500_000, 2_800_000, 2_600_000),  # nothing was asked: its ratio says nothing
     ]
     made = spark.createDataFrame(rows, "id int, edge int, rate int, attempt int, seconds double, target int, file_bytes int, video_bytes int")
-    got = {r.id: (r.edge, r.rate, r.attempt) for r in corrected(made, rungs, ["id"]).collect()}
-    assert got[2] == (1080, int(2_225_000 * 0.8 / 1.04), 2)
-    assert got[3] == (720, int(920_000 * 0.8 / 1.1), 2)
-    assert got[4] == (360, int(870_000 * 0.8 / 1.3), 2)
-    assert got[5] == (360, int(262_000 * 0.8 / 1.28), 3)
-    assert set(got) == {2, 3, 4, 5}
+    got = {r.id: (r.edge, r.kind, r.rate, r.planned_bytes, r.attempt) for r in retried(made, rungs, ["id"]).collect()}
+    assert got[2] == (1080, "hardware", int(2_225_000 * 0.8 / 1.04), 2_425_000, 2)
+    assert got[3] == (720, "hardware", int(920_000 * 0.8 / 1.1), 886_363, 2)
+    assert got[4] == (540, "software", int(870_000 * 0.8 / 1.3), 769_230, 2)
+    assert got[6] == (360, "software", int((190_000 * 0.94 - 10_000) * 0.8 / (200_000 / 187_500)), 190_000, 3)
+    assert got[8] == (360, "software", int((300_000 * 0.97 - 100_000) * 0.8 / 1.3), 246_923, 2)
+    assert got[10] == (540, "software", int(572_000 * 0.8 / 1.02), 570_784, 2)
+    assert got[11][:2] == (720, "hardware")
+    assert set(got) == {2, 3, 4, 6, 8, 10, 11}
 
 
 def test_notes_are_split_where_clips_meet_and_rejoined(spark):
