@@ -353,7 +353,7 @@ def test_retries_by_hand(spark):
         (2, 1080, 2_000_000, 1, 10.0, 2_500_000, 2_800_000, 2_600_000),  # slightly over: 2,225,000 of 2,600,000 bytes
         (3, 1080, 1_000_000, 1, 10.0, 1_000_000, 1_300_000, 1_250_000),  # the rate would be below the size's least
         (4, 1080, 1_000_000, 1, 10.0, 1_000_000, 2_100_000, 2_000_000),  # saturated: by pixels 540 fits, 720 doesn't
-        (5, 360, 300_000, 2, 10.0, 200_000, 500_000, 480_000),  # the smallest, saturated: nothing left
+        (5, 360, 300_000, 2, 10.0, 200_000, 520_000, 500_000),  # the smallest, saturated: nothing left
         (6, 360, 150_000, 2, 10.0, 190_000, 210_000, 200_000),  # the smallest, slightly over: under its least rate
         (7, 1080, 2_000_000, 3, 10.0, 2_500_000, 2_800_000, 2_600_000),  # all attempts used
         (8, 1080, 1_000_000, 1, 10.0, 300_000, 2_700_000, 2_600_000),  # saturated, and no size fits: the smallest
