@@ -5,12 +5,13 @@ The watermark is an addition: it bounds the state by event time and drops what c
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def hourly_attempts(events: DataFrame, who: str = "user_id", time: str = "ts", late: str = "2 hours") -> DataFrame:
@@ -19,34 +20,65 @@ def hourly_attempts(events: DataFrame, who: str = "user_id", time: str = "ts", l
     return w.select(who, F.floor(F.unix_micros("w.start") / 3_600_000_000).cast("long").alias("win"), "n")
 
 
-def gap_sessions(events: DataFrame, gap_us: int, late: str = "0 seconds") -> DataFrame:
-    """user_id, kind, start_us, end_us, n of the sessions of a stream (user_id, kind, ts, us, e) in time order per user.
+class _Sessions(StatefulProcessor):
+    """The open session of a key is its state: kind, start, end, rows, and the end of its last row. A timer closes it once the
+    watermark is past that end and the gap."""
 
-    A session ends where the kind changes or more than gap_us lies between the end of its last row and the next start,
-    as in batch, however rows fall into micro-batches; the open session of a user, with that end, is the state, and it
-    ends too when the watermark is past its end and the gap. Rows of a micro-batch are put in order first; `late` says
-    for how long rows may come late before they are dropped."""
-    fields = "user_id long, kind string, start_us long, end_us long, n long"
+    def __init__(self, gap_us: int):
+        self.gap_us = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "kind string, start_us long, end_us long, n long, last_us long")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            kind, a, z, n, _ = state.get
-            state.remove()
-            yield pd.DataFrame({"user_id": [key[0]], "kind": [kind], "start_us": [a], "end_us": [z], "n": [n]})
-            return
-        rows = pd.concat(list(batches)).sort_values(["us", "e"], kind="stable")
-        *own, last = state.get if state.exists else (None, None)
-        own, out = (tuple(own) if own[0] is not None else None), []
-        for kind, a, z in zip(rows.kind, rows.us, rows.e, strict=True):
-            if own is None or kind != own[0] or a - last > gap_us:
-                if own:
-                    out.append((key[0], *own))
-                own = (kind, int(a), int(z), 1)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        x = pd.concat(list(rows)).sort_values(["us", "e"], kind="stable")
+        held = self.open.get() if self.open.exists() else None
+        # rows of a session are numbered by how many breaks lie before them
+        kind, last = x.kind.shift(), x.e.shift()
+        if held is not None:
+            kind.iloc[0], last.iloc[0] = held[0], held[4]
+        breaks = (x.kind != kind) | (x.us - last > self.gap_us)
+        found = x.groupby(breaks.cumsum().to_numpy()).agg(kind=("kind", "first"), start_us=("us", "min"), end_us=("e", "max"), n=("us", "size"))
+        if held is not None:
+            if not breaks.iloc[0]:
+                found.loc[0, ["start_us", "end_us", "n"]] = [held[1], max(held[2], found.end_us[0]), held[3] + found.n[0]]
             else:
-                own = (own[0], own[1], max(own[2], int(z)), own[3] + 1)
-            last = int(z)
-        state.update((*own, last))
-        state.setTimeoutTimestamp(max(own[2] + gap_us, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
-        yield pd.DataFrame(out, columns=["user_id", "kind", "start_us", "end_us", "n"])
+                found = pd.concat([pd.DataFrame([held[:4]], columns=found.columns), found])
+        self.open.update((found.kind.iloc[-1], *(int(v) for v in found.iloc[-1][["start_us", "end_us", "n"]]), int(x.e.iloc[-1])))
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max((int(x.e.iloc[-1]) + self.gap_us) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield found.iloc[:-1].assign(user_id=key[0])[["user_id", "kind", "start_us", "end_us", "n"]]
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists():
+            yield pd.DataFrame([(key[0], *self.open.get()[:4])], columns=["user_id", "kind", "start_us", "end_us", "n"])
+            self.open.clear()
+
+    def close(self) -> None:
+        pass
+
 
-    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, fields, "kind string, start_us long, end_us long, n long, last_us long", "append", GroupStateTimeout.EventTimeTimeout)
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in here keep state in a store that can hold timers and more than fits in memory."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def gap_sessions(events: DataFrame, gap_us: int, late: str = "0 seconds") -> DataFrame:
+    """user_id, kind, start_us, end_us, n of the sessions of a stream (user_id, kind, ts, us, e) in time order per user; the
+    stream has to start within keyed_state.
+
+    A session ends where the kind changes or more than gap_us lies between the end of its last row and the next start,
+    as in batch, however rows fall into micro-batches. Only a user's open session is held, and given out when the watermark
+    is past it. Rows of a micro-batch are put in order first; `late` says for how long rows may come late before they
+    are dropped."""
+    fields = "user_id long, kind string, start_us long, end_us long, n long"
+    return events.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(statefulProcessor=_Sessions(gap_us), outputStructType=fields, outputMode="append", timeMode="EventTime")

@@ -6,7 +6,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 from spanforge.streaming.queries import hourly
-from spanforge.streaming.windows import gap_sessions
+from spanforge.streaming.windows import gap_sessions, keyed_state
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,8 +33,9 @@ def test_sessions_of_a_stream_are_those_of_batch(spark, tmp_path):
         part = spark.createDataFrame(rows[k * 50 : k * 50 + 50], schema).withColumn("ts", F.timestamp_micros(F.col("us") * 1000))
         part.coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
     stream = spark.readStream.schema(part.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = gap_sessions(stream, 50, "1 hour")
-    got.writeStream.format("memory").queryName("own_sessions").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    with keyed_state(spark):
+        got = gap_sessions(stream, 50, "1 hour")
+        got.writeStream.format("memory").queryName("own_sessions").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     want, open_ = [], {}
     for u, kind, us, e in rows:
         s = open_.get(u)
