@@ -82,27 +82,27 @@ def lists(log: DataFrame, by: list[str]) -> DataFrame:
     return last.select(*by, place.alias("place"), "clip", "r.a", "r.b")
 
 
-def _step(state: tuple, row: tuple) -> tuple[tuple, float]:
-    """One step of a history. The state: how deep it is now, the deepest that a redo reaches, the least that an undo reaches."""
-    (op,), (depth, top, base) = row, state
-    if op == "commit":
-        depth += 1
-        top, base = depth, max(base, depth - STEPS)
-    elif op == "undo":
-        depth = max(depth - 1, base)
-    elif op == "redo":
-        depth = min(depth + 1, top)
-    return (depth, top, base), float(depth)
-
-
-def histories(log: DataFrame, by: list[str]) -> DataFrame:
+def histories(log: DataFrame, by: list[str], steps: int = STEPS) -> DataFrame:
     """log with depth and present: what a history shows after each step, in order of n.
 
     log: by, n, op (commit, replace, undo, redo), value. A commit goes one step deeper and ends what could be redone, a
-    replace changes what is shown, undo and redo go a step up and down as far as there are steps, STEPS up at most. What is
+    replace changes what is shown, undo and redo go a step up and down as far as there are steps, `steps` up at most. What is
     shown at a depth is what was committed or replaced last there, so no stack is kept: a fold over three numbers gives the
     depth, and a window by depth the value (null: the first one, which isn't in the log)."""
-    x = folded(log, by, ["n"], lambda: (0, 0, 0), _step, ["op"], "depth", "double").withColumn("depth", F.col("depth").cast("int"))
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, float]:
+        """The state: how deep it is now, the deepest that a redo reaches, the least that an undo reaches."""
+        (op,), (depth, top, base) = row, state
+        if op == "commit":
+            depth += 1
+            top, base = depth, max(base, depth - steps)
+        elif op == "undo":
+            depth = max(depth - 1, base)
+        elif op == "redo":
+            depth = min(depth + 1, top)
+        return (depth, top, base), float(depth)
+
+    x = folded(log, by, ["n"], lambda: (0, 0, 0), step, ["op"], "depth", "double").withColumn("depth", F.col("depth").cast("int"))
     here = Window.partitionBy(*by, "depth").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     return x.withColumn("present", F.last(F.when(F.col("op").isin("commit", "replace"), F.col("value")), ignorenulls=True).over(here))
 

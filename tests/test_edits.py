@@ -83,8 +83,7 @@ def test_lists(spark):
     assert E.lists(df.limit(0), ["g"]).count() == 0
 
 
-def test_histories(spark, monkeypatch):
-    monkeypatch.setattr(E, "STEPS", 6)
+def test_histories(spark):
     rng, rows, want = random.Random(8), [], {}
     for g in range(30):
         past, present, future = [], None, []
@@ -103,5 +102,5 @@ def test_histories(spark, monkeypatch):
             rows.append((g, n, op, n))
             want[g, n] = present
     rng.shuffle(rows)
-    got = {(r.g, r.n): r.present for r in E.histories(spark.createDataFrame(rows, "g int, n int, op string, value int").repartition(4), ["g"]).collect()}
+    got = {(r.g, r.n): r.present for r in E.histories(spark.createDataFrame(rows, "g int, n int, op string, value int").repartition(4), ["g"], steps=6).collect()}
     assert got == want
