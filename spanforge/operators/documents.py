@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,13 +24,21 @@ def issues(rows: DataFrame, by: list[str], rules: list[tuple[str, str, Column]])
 # source, caption tracks and lines, and the shortest line.
 VIDEOS, CLIPS, CLIP_US, GAIN_DB, TIMELINE_US, SOURCE_US = 5, 20, 100_000, (-60.0, 12.0), 3_600_000_000, 3_600_000_000
 TRACKS, LINES, LINE_US, LINE_CHARS = 8, 2000, 100_000, 500
+# What a field may be, the greatest safe integer, places of speakers and marked stretches of a track.
+SHAPES, COLOR, FITS = ["9:16", "16:9", "1:1"], "^#[0-9a-fA-F]{6}$", ["cover", "contain"]
+ORIGINS, BASES, LANGUAGE = ["manual", "imported", "transcript"], ["output", "source"], "^[a-z]{2,3}(-[A-Z]{2})?$"
+STYLE = {"preset": ["box", "outline"], "position": ["bottom", "middle", "top"], "size": ["small", "medium", "large"]}
+EXPORT, EXPORT_WHOLE = {"container": ["mp4"], "videoCodec": ["h264"], "audioCodec": ["aac"], "colorMode": ["sdr_rec709"]}, ["shortEdge", "fpsNum", "fpsDen", "audioSampleRate"]
+STRENGTHS, LOUDNESS, SAFE, SPEAKERS = ["light", "auto", "strong"], [-16.0], 9007199254740991, 20
 FIELDS = ["schemaVersion", "projectId", "revision", "assets", "canvas", "clips", "music", "export", "captionTracks", "enhance", "soundFix"]
 NEEDED = ["projectId", "revision", "assets", "clips", "captionTracks"]
 ID = "^[A-Za-z0-9_-]{1,64}$"
 RECIPE = """schemaVersion int, projectId string, revision bigint, assets array<struct<assetId:string,kind:string,durationUs:bigint,displayWidth:int,displayHeight:int>>,
-clips array<struct<clipId:string,assetId:string,sourceInUs:bigint,sourceOutUs:bigint,sourceGainDb:double,view:struct<x:double,y:double,width:double,height:double>>>,
+clips array<struct<clipId:string,assetId:string,sourceInUs:bigint,sourceOutUs:bigint,sourceGainDb:double,view:struct<x:double,y:double,width:double,height:double,fit:string>>>,
 music struct<assetId:string,sourceInUs:bigint,sourceOutUs:bigint,timelineStartUs:bigint,gainDb:double,fadeInUs:bigint,fadeOutUs:bigint>,
-captionTracks array<struct<trackId:string,cues array<struct<cueId:string,startUs:bigint,endUs:bigint,text:string,speaker:string>>>>""".replace("cues array", "cues:array")
+canvas struct<aspect:string,background:string>, enhance struct<strength:string>, soundFix struct<targetLufs:double>,
+export struct<container:string,videoCodec:string,audioCodec:string,colorMode:string,shortEdge:double,fpsNum:double,fpsDen:double,audioSampleRate:double>,
+captionTracks array<struct<trackId:string,origin:string,timeBase:string,assetId:string,language:string,style:struct<preset:string,position:string,size:string>,unclear:array<struct<startUs:bigint,endUs:bigint>>,cues array<struct<cueId:string,startUs:bigint,endUs:bigint,text:string,speaker:string>>>>""".replace("cues array", "cues:array")
 
 
 def _each(items: Column, path: str, rules: Callable[[Column], list[tuple[str, Column]]]) -> Column:
@@ -58,6 +67,9 @@ def recipe_issues(json: Column, r: Column) -> Column:
     sources = F.aggregate(F.filter(assets, lambda a: a["kind"] == "video"), F.lit(0).cast("bigint"), lambda t, a: t + F.coalesce(a["durationUs"], F.lit(0)))
     cues = F.flatten(F.transform(tracks, lambda t: F.coalesce(t["cues"], F.expr("array()"))))
     m = r["music"]
+    wrong = lambda x, allowed: ~F.coalesce(x.isin(allowed), F.lit(False))
+    unsafe = lambda x, *names: reduce(lambda a, b: a | b, (~F.coalesce(x[n].between(0, SAFE), F.lit(False)) for n in names))
+    there = lambda x, rule: x.isNotNull() & rule
     whole = [
         ("revision_invalid", "revision", r["revision"] < 0),
         ("id_invalid", "projectId", r["projectId"].isNotNull() & wrong_id(r["projectId"])),
@@ -80,14 +92,30 @@ def recipe_issues(json: Column, r: Column) -> Column:
         ("fade_negative", "music", F.least(m["fadeInUs"], m["fadeOutUs"]) < 0),
         ("fade_exceeds_selection", "music", F.greatest(m["fadeInUs"], m["fadeOutUs"]) > span(m)),
         ("music_start_after_output", "music", m["timelineStartUs"] >= length),
+        ("time_not_safe_integer", "music", there(m, unsafe(m, "sourceInUs", "sourceOutUs", "timelineStartUs"))),
+        ("aspect_invalid", "canvas.aspect", there(r["canvas"], wrong(r["canvas"]["aspect"], SHAPES))),
+        ("color_invalid", "canvas.background", there(r["canvas"], ~F.coalesce(F.rlike(r["canvas"]["background"], F.lit(COLOR)), F.lit(False)))),
+        *(("export_spec_invalid", f"export.{k}", there(r["export"], wrong(r["export"][k], allowed))) for k, allowed in EXPORT.items()),
+        *(("export_spec_invalid", f"export.{k}", there(r["export"], ~F.coalesce((r["export"][k] > 0) & (r["export"][k] == F.floor(r["export"][k])), F.lit(False)))) for k in EXPORT_WHOLE),
+        ("enhance_invalid", "enhance.strength", there(r["enhance"], wrong(r["enhance"]["strength"], STRENGTHS))),
+        ("sound_fix_invalid", "soundFix.targetLufs", there(r["soundFix"], wrong(r["soundFix"]["targetLufs"], LOUDNESS))),
     ]
     found = [
         F.transform(F.array_except(keys, F.array(*map(F.lit, FIELDS))), lambda k: F.struct(F.lit("unknown_field").alias("code"), k.alias("path"))),
         F.transform(F.array_except(F.array(*map(F.lit, NEEDED)), keys), lambda k: F.struct(F.lit("missing_field").alias("code"), k.alias("path"))),
         F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"))) for code, path, bad in whole])),
         _each(assets, "assets", lambda a: [("id_invalid", wrong_id(a["assetId"])), ("asset_kind_invalid", ~F.coalesce(a["kind"].isin("video", "audio"), F.lit(False))), ("asset_duration_invalid", F.coalesce(a["durationUs"] <= 0, F.lit(True))), ("asset_dimension_invalid", F.least(a["displayWidth"], a["displayHeight"]) <= 0)]),
-        _each(clips, "clips", lambda c: [("id_invalid", wrong_id(c["clipId"])), ("asset_unknown", of(c).isNull()), ("asset_kind_mismatch", of(c)["kind"] != "video"), ("range_reversed", F.coalesce(span(c) <= 0, F.lit(True))), ("clip_too_short", span(c).between(1, CLIP_US - 1)), ("range_out_of_source", (c["sourceInUs"] < 0) | (c["sourceOutUs"] > of(c)["durationUs"])), ("gain_out_of_range", ~c["sourceGainDb"].between(*GAIN_DB)), ("view_size_invalid", F.least(c["view"]["width"], c["view"]["height"]) <= 0), ("view_out_of_bounds", (F.least(c["view"]["x"], c["view"]["y"]) < 0) | (c["view"]["x"] + c["view"]["width"] > 1) | (c["view"]["y"] + c["view"]["height"] > 1))]),
-        _each(cues, "cues", lambda c: [("id_invalid", wrong_id(c["cueId"])), ("caption_cue_too_short", c["endUs"] - c["startUs"] < LINE_US), ("caption_text_invalid", F.coalesce((F.trim(c["text"]) == "") | (F.char_length(c["text"]) > LINE_CHARS), F.lit(True)))]),
+        _each(clips, "clips", lambda c: [("id_invalid", wrong_id(c["clipId"])), ("asset_unknown", of(c).isNull()), ("asset_kind_mismatch", of(c)["kind"] != "video"), ("time_not_safe_integer", unsafe(c, "sourceInUs", "sourceOutUs")), ("range_reversed", ~unsafe(c, "sourceInUs", "sourceOutUs") & (span(c) <= 0)), ("fit_invalid", there(c["view"], wrong(c["view"]["fit"], FITS))), ("clip_too_short", span(c).between(1, CLIP_US - 1)), ("range_out_of_source", c["sourceOutUs"] > of(c)["durationUs"]), ("gain_out_of_range", ~c["sourceGainDb"].between(*GAIN_DB)), ("view_size_invalid", F.least(c["view"]["width"], c["view"]["height"]) <= 0), ("view_out_of_bounds", (F.least(c["view"]["x"], c["view"]["y"]) < 0) | (c["view"]["x"] + c["view"]["width"] > 1) | (c["view"]["y"] + c["view"]["height"] > 1))]),
+        _each(cues, "cues", lambda c: [("id_invalid", wrong_id(c["cueId"])), ("time_not_safe_integer", unsafe(c, "startUs", "endUs")), ("caption_cue_too_short", ~unsafe(c, "startUs", "endUs") & (c["endUs"] - c["startUs"] < LINE_US)), ("caption_text_invalid", F.coalesce((F.trim(c["text"]) == "") | (F.char_length(c["text"]) > LINE_CHARS), F.lit(True)))]),
+        _each(tracks, "captionTracks", lambda t: [
+            ("caption_track_invalid", wrong(t["origin"], ORIGINS) | wrong(t["timeBase"], BASES) | ~F.coalesce(F.rlike(t["language"], F.lit(LANGUAGE)), F.lit(False)) | (t["assetId"].isNotNull() & ~F.coalesce(t["timeBase"] == "source", F.lit(False)))
+             | (t["unclear"].isNotNull() & ~F.coalesce((t["origin"] == "transcript") & (t["timeBase"] == "source"), F.lit(False))) | (~F.coalesce(t["origin"] == "transcript", F.lit(False)) & F.exists(F.coalesce(t["cues"], F.expr("array()")), lambda c: c["speaker"].isNotNull()))),
+            ("caption_style_invalid", t["style"].isNull() | reduce(lambda a, b: a | b, (wrong(t["style"][k], v) for k, v in STYLE.items()))),
+            ("caption_speaker_invalid", (t["origin"] == "transcript") & F.exists(F.coalesce(t["cues"], F.expr("array()")), lambda c: c["speaker"].isNotNull() & ~F.coalesce(F.try_to_number(F.when(F.rlike(c["speaker"], F.lit("^[0-9]{1,4}$")), c["speaker"]), F.lit("9999")).between(1, SPEAKERS), F.lit(False)))),
+            ("asset_unknown", (t["timeBase"] == "source") & of(t).isNull()), ("asset_kind_mismatch", (t["timeBase"] == "source") & (of(t)["kind"] != "video")),
+            ("time_not_safe_integer", F.exists(F.coalesce(t["unclear"], F.expr("array()")), lambda u: unsafe(u, "startUs", "endUs"))), ("range_reversed", F.exists(F.coalesce(t["unclear"], F.expr("array()")), lambda u: ~unsafe(u, "startUs", "endUs") & (u["endUs"] <= u["startUs"]))),
+            ("range_out_of_source", F.exists(F.coalesce(t["unclear"], F.expr("array()")), lambda u: u["endUs"] > of(t)["durationUs"])),
+        ]),
         F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(tracks) - 1)), lambda k: F.exists(F.coalesce(F.get(tracks, k)["cues"], F.expr("array()")), lambda c: F.exists(F.get(tracks, k)["cues"], lambda o: (o["cueId"] != c["cueId"]) & (o["startUs"] < c["endUs"]) & (c["startUs"] < o["endUs"])))), lambda k: F.struct(F.lit("caption_cue_overlap").alias("code"), F.concat(F.lit("captionTracks["), k.cast("string"), F.lit("]")).alias("path"))),
     ]
     alone = F.array(F.struct(F.lit("schema_version_unsupported").alias("code"), F.lit("schemaVersion").alias("path")))

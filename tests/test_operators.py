@@ -216,18 +216,27 @@ def clip(**more):
 
 def test_each_rule_is_found(spark):
     cue = {"cueId": "q", "startUs": 0, "endUs": 10**6, "text": "x"}
+    track = {"trackId": "t", "origin": "manual", "timeBase": "output", "language": "tr", "style": {"preset": "box", "position": "top", "size": "large"}, "cues": [cue]}
+    spoken = track | {"origin": "transcript", "timeBase": "source", "assetId": "v", "language": "en-GB"}
+    export = {"container": "mp4", "videoCodec": "h264", "audioCodec": "aac", "colorMode": "sdr_rec709", "shortEdge": 720, "fpsNum": 30, "fpsDen": 1, "audioSampleRate": 48000}
     music = {"assetId": "s", "sourceInUs": 0, "sourceOutUs": 10**6, "timelineStartUs": 0, "gainDb": 0.0, "fadeInUs": 0, "fadeOutUs": 0}
     cases = [
         (recipe(), set()), ("nonsense", {"not_an_object"}), (recipe(schemaVersion=5, revision=-1), {"schema_version_unsupported"}), (recipe(odd=1), {"unknown_field"}), (recipe(projectId="gone"), {"missing_field"}),
         (recipe(projectId="a b"), {"id_invalid"}), (recipe(revision=-1), {"revision_invalid"}), (recipe(clips=[]), {"clips_empty"}), (recipe(clips=[clip(clipId=f"c{k}") for k in range(21)]), {"clip_limit_exceeded"}),
         (recipe(clips=[clip(), clip()]), {"id_duplicate"}), (recipe(clips=[clip(sourceInUs=5, sourceOutUs=5)]), {"range_reversed"}), (recipe(clips=[clip(sourceOutUs=99_999)]), {"clip_too_short"}), (recipe(clips=[clip(sourceOutUs=10**7 + 1)]), {"range_out_of_source"}),
         (recipe(clips=[clip(assetId="z")]), {"asset_unknown"}), (recipe(clips=[clip(assetId="s")]), {"asset_kind_mismatch"}), (recipe(clips=[clip(sourceGainDb=13)]), {"gain_out_of_range"}),
-        (recipe(clips=[clip(view={"x": 0.5, "y": 0, "width": 0.6, "height": 1})]), {"view_out_of_bounds"}), (recipe(clips=[clip(view={"x": 0, "y": 0, "width": 0, "height": 1})]), {"view_size_invalid"}),
+        (recipe(clips=[clip(view={"x": 0.5, "y": 0, "width": 0.6, "height": 1, "fit": "cover"})]), {"view_out_of_bounds"}), (recipe(clips=[clip(view={"x": 0, "y": 0, "width": 0, "height": 1, "fit": "cover"})]), {"view_size_invalid"}),
         (recipe(music=None), {"music_null"}), (recipe(music=music), set()), (recipe(music=music | {"assetId": "v"}), {"asset_kind_mismatch"}), (recipe(music=music | {"timelineStartUs": 10**6}), {"music_start_after_output"}), (recipe(music=music | {"fadeInUs": -1}), {"fade_negative"}),
-        (recipe(music=music | {"fadeOutUs": 10**6 + 1}), {"fade_exceeds_selection"}), (recipe(captionTracks=[{"trackId": "t", "cues": [cue]}]), set()), (recipe(captionTracks=[{"trackId": "t", "cues": [cue, cue | {"cueId": "r", "startUs": 10**6 - 1, "endUs": 2 * 10**6}]}]), {"caption_cue_overlap"}),
-        (recipe(captionTracks=[{"trackId": "t", "cues": [cue, cue | {"startUs": 10**6, "endUs": 2 * 10**6}]}]), {"caption_id_duplicate"}), (recipe(captionTracks=[{"trackId": "t", "cues": [cue | {"text": " "}]}]), {"caption_text_invalid"}), (recipe(captionTracks=[{"trackId": "t", "cues": [cue | {"endUs": 5}]}]), {"caption_cue_too_short"}),
-        (recipe(captionTracks=[{"trackId": f"t{k}", "cues": []} for k in range(9)]), {"caption_track_limit_exceeded"}), (recipe(assets=[{"assetId": "v", "kind": "video", "durationUs": 10**7}] * 2), {"asset_id_duplicate"}), (recipe(assets=[{"assetId": "v", "kind": "video", "durationUs": 10**7, "displayWidth": 0, "displayHeight": 4}]), {"asset_dimension_invalid"}),
-        (recipe(assets=[{"assetId": "v", "kind": "video", "durationUs": 4 * 10**9}]), {"source_duration_exceeds_policy"}), (recipe(clips=[clip(sourceOutUs=-5), clip(clipId="d")], odd=1), {"range_reversed", "unknown_field"}),
+        (recipe(music=music | {"fadeOutUs": 10**6 + 1}), {"fade_exceeds_selection"}), (recipe(captionTracks=[track | {"cues": [cue]}]), set()), (recipe(captionTracks=[track | {"cues": [cue, cue | {"cueId": "r", "startUs": 10**6 - 1, "endUs": 2 * 10**6}]}]), {"caption_cue_overlap"}),
+        (recipe(captionTracks=[track | {"cues": [cue, cue | {"startUs": 10**6, "endUs": 2 * 10**6}]}]), {"caption_id_duplicate"}), (recipe(captionTracks=[track | {"cues": [cue | {"text": " "}]}]), {"caption_text_invalid"}), (recipe(captionTracks=[track | {"cues": [cue | {"endUs": 5}]}]), {"caption_cue_too_short"}),
+        (recipe(captionTracks=[track | {"trackId": f"t{k}", "cues": []} for k in range(9)]), {"caption_track_limit_exceeded"}), (recipe(assets=[{"assetId": "v", "kind": "video", "durationUs": 10**7}] * 2), {"asset_id_duplicate"}), (recipe(assets=[{"assetId": "v", "kind": "video", "durationUs": 10**7, "displayWidth": 0, "displayHeight": 4}]), {"asset_dimension_invalid"}),
+        (recipe(assets=[{"assetId": "v", "kind": "video", "durationUs": 4 * 10**9}]), {"source_duration_exceeds_policy"}), (recipe(clips=[clip(sourceOutUs=-5), clip(clipId="d")], odd=1), {"time_not_safe_integer", "unknown_field"}),
+        (recipe(canvas={"aspect": "9:16", "background": "#00aAfF"}, export=export, enhance={"strength": "auto"}, soundFix={"targetLufs": -16}, captionTracks=[spoken | {"unclear": [{"startUs": 0, "endUs": 5}], "cues": [cue | {"speaker": 20}]}]), set()),
+        (recipe(canvas={"aspect": "4:3", "background": "#000000"}), {"aspect_invalid"}), (recipe(canvas={"aspect": "1:1", "background": "black"}), {"color_invalid"}), (recipe(export=export | {"container": "webm"}), {"export_spec_invalid"}), (recipe(export=export | {"fpsNum": 29.97}), {"export_spec_invalid"}), (recipe(export=export | {"fpsDen": 0}), {"export_spec_invalid"}),
+        (recipe(enhance={"strength": "max"}), {"enhance_invalid"}), (recipe(soundFix={"targetLufs": -14}), {"sound_fix_invalid"}), (recipe(clips=[clip(view={"x": 0, "y": 0, "width": 1, "height": 1, "fit": "fill"})]), {"fit_invalid"}), (recipe(clips=[clip(sourceInUs=1.5)]), {"time_not_safe_integer"}), (recipe(clips=[clip(sourceOutUs=2**53)]), {"time_not_safe_integer", "range_out_of_source", "timeline_duration_exceeds_policy"}),
+        (recipe(music=music | {"timelineStartUs": -1}), {"time_not_safe_integer"}), (recipe(captionTracks=[track | {"cues": [cue | {"startUs": -1}]}]), {"time_not_safe_integer"}), (recipe(captionTracks=[track | {"origin": "guess"}]), {"caption_track_invalid"}), (recipe(captionTracks=[track | {"language": "Turkish"}]), {"caption_track_invalid"}), (recipe(captionTracks=[track | {"assetId": "v"}]), {"caption_track_invalid"}),
+        (recipe(captionTracks=[track | {"unclear": []}]), {"caption_track_invalid"}), (recipe(captionTracks=[track | {"cues": [cue | {"speaker": 1}]}]), {"caption_track_invalid"}), (recipe(captionTracks=[track | {"style": {"preset": "glow", "position": "top", "size": "large"}}]), {"caption_style_invalid"}), (recipe(captionTracks=[spoken | {"cues": [cue | {"speaker": 21}]}]), {"caption_speaker_invalid"}), (recipe(captionTracks=[spoken | {"cues": [cue | {"speaker": "A"}]}]), {"caption_speaker_invalid"}),
+        (recipe(captionTracks=[spoken | {"assetId": "s"}]), {"asset_kind_mismatch"}), (recipe(captionTracks=[spoken | {"assetId": "z"}]), {"asset_unknown"}), (recipe(captionTracks=[spoken | {"unclear": [{"startUs": 9, "endUs": 5}]}]), {"range_reversed"}), (recipe(captionTracks=[spoken | {"unclear": [{"startUs": 9, "endUs": 10**7 + 1}]}]), {"range_out_of_source"}),
     ]
     got = {k: set() for k in range(len(cases))}
     for r in validated(spark.createDataFrame([(k, j) for k, (j, _) in enumerate(cases)], "id int, json string")).collect():
