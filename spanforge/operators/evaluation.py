@@ -83,14 +83,23 @@ def share(part: Column, whole: Column) -> Column:
     return F.floor(ratio(part, whole) * 1000 + 0.5) / 10
 
 
+#: Budgets that may be broadcast.
+MOST_BUDGETS = 10_000
+
+
 def judged(measures: DataFrame, budgets: DataFrame) -> DataFrame:
     """id, value, verdict: by the budget of exactly that id, else the first whose pattern (`*` for a part without dots)
-    matches. budgets: place, pattern, low, high. Patterns are few, so the join on matching is broadcast by Spark."""
+    matches. budgets: place, pattern, low, high. Exact ids are joined by equality; each different id that is left is tried
+    with the patterns, which are broadcast after their number is checked."""
+    first = budgets.groupBy("pattern").agg(F.min_by(F.struct("low", "high"), "place").alias("exact"))
+    got = measures.join(first.withColumnRenamed("pattern", "id"), "id", "left")
     rx = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("pattern", r"[.+?^${}()|\[\]\\]", r"\\$0"), r"\*", "[^.]+"), F.lit("$"))
-    b = budgets.withColumn("rx", rx)
-    hit = measures.join(b, F.expr("regexp_like(id, rx)")).withColumn("rank", F.when(F.col("id") == F.col("pattern"), -1).otherwise(F.col("place")))
-    best = hit.groupBy("id").agg(F.min_by(F.struct("low", "high"), "rank").alias("b"))
-    got = measures.join(best, "id", "left")
+    wide = budgets.where(F.contains("pattern", F.lit("*"))).select("place", "low", "high", rx.alias("rx"))
+    if wide.count() > MOST_BUDGETS:
+        raise ValueError("too many patterns to broadcast")
+    rest = got.where("exact IS NULL").select("id").distinct()
+    hit = rest.join(F.broadcast(wide), F.expr("regexp_like(id, rx)")).groupBy("id").agg(F.min_by(F.struct("low", "high"), "place").alias("matched"))
+    got = got.join(hit, "id", "left").withColumn("b", F.coalesce("exact", "matched"))
     over = (F.col("value") > F.col("b.high")) | (F.col("value") < F.col("b.low"))
     return got.select("id", "value", F.when(F.col("value").isNull(), "unmeasured").when(F.col("b").isNull(), "info").when(over, "over").otherwise("ok").alias("verdict"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -154,19 +155,37 @@ def smoothed(rows: DataFrame, by: list[str], at: str, value: str, reach: int, al
     return got.select(*by, at, "steady", F.least(F.col("steady") + most, F.greatest(F.col("steady") - most, F.col("mean"))).alias("smooth"))
 
 
-def best_lag(samples: DataFrame, marker: DataFrame, by: list[str], least: int, most: int) -> DataFrame:
-    """by, lag, correlation: where the marker (k, m) fits a series (by, n, x) best, by normalised cross-correlation over the
-    lags asked for; the first of equals. The marker is a short fixed table, so it is broadcast up to MARKER rows: each
-    sample meets the marker's places that some lag brings to it. Samples beyond the series count as silence."""
+def best_lag(samples: DataFrame, marker: DataFrame, by: list[str], least: int, most: int, at: int = 0) -> DataFrame:
+    """by, lag, correlation: how much later than `at` the marker (k, m) is found in a series (by, n, x), by normalised
+    cross-correlation over the lags from least to most; the first of equals. Samples beyond the series count as silence, and a
+    lag that would begin before it isn't looked at. The marker is a short fixed table, broadcast up to MARKER rows: a sample
+    meets by equality the places of the marker that some lag brings to it."""
     if marker.count() > MARKER:
         raise ValueError("the marker is too long to broadcast")
-    own = marker.agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0.0
-    met = samples.join(F.broadcast(marker), F.col("n").between(F.col("k") + least, F.col("k") + most)).withColumn("lag", F.col("n") - F.col("k"))
+    own, last = marker.agg(F.sum(F.col("m") * F.col("m")), F.max("k")).first()
+    low, high = F.greatest(F.lit(0), F.col("n") - at - most), F.least(F.lit(last or 0), F.col("n") - at - least, F.col("n"))
+    met = samples.select(*by, "n", "x", low.alias("low"), high.alias("high")).where("low <= high").withColumn("k", F.explode(F.sequence("low", "high")))
+    met = met.join(F.broadcast(marker), "k").withColumn("lag", F.col("n") - F.col("k") - at)
     sums = met.groupBy(*by, "lag").agg(F.sum(F.col("m") * F.col("x")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("energy"))
-    scored = sums.withColumn("correlation", F.when(F.col("energy") > 0, F.col("dot") / F.sqrt(F.lit(float(own)) * F.col("energy"))).otherwise(0.0))
+    scored = sums.withColumn("correlation", F.when(F.col("energy") > 0, F.col("dot") / F.sqrt(F.lit(float(own or 0.0)) * F.col("energy"))).otherwise(0.0))
     return scored.groupBy(*by).agg(F.max(F.struct("correlation", (-F.col("lag")).alias("_l"))).alias("b")).select(*by, (-F.col("b._l")).cast("int").alias("lag"), F.col("b.correlation").alias("correlation"))
 
 
+# How alike a marker has to come back, and how far apart the delays of two markers may be.
+ALIKE, APART = 0.9, 1
+
+
+def delays(samples: DataFrame, marker: DataFrame, by: list[str], places: list[int], least: int, most: int) -> DataFrame:
+    """by, delay, correlation, refusal of each series into which the marker was put at `places`: the delay of the first one and
+    the least likeness; marker_not_found where one of them doesn't come back alike enough, delay_inconsistent where their
+    delays differ. A series without samples gives no row."""
+    found = reduce(DataFrame.unionByName, (best_lag(samples, marker, by, least, most, at).withColumn("place", F.lit(k)) for k, at in enumerate(places)))
+    all_ = samples.select(*by).distinct().crossJoin(F.broadcast(samples.sparkSession.range(len(places)).select(F.col("id").cast("int").alias("place"))))
+    got = all_.join(found, [*by, "place"], "left").groupBy(*by).agg(F.min(F.coalesce("correlation", F.lit(-1.0))).alias("correlation"), (F.max("lag") - F.min("lag")).alias("apart"), F.min_by("lag", "place").alias("delay"))
+    refusal = F.when(F.col("correlation") < ALIKE, "marker_not_found").when(F.col("apart") > APART, "delay_inconsistent")
+    return got.select(*by, F.when(refusal.isNull(), F.col("delay")).alias("delay"), "correlation", refusal.alias("refusal"))
+
+
 # Two of the four phases of the interpolation filter of ITU-R BS.1770-4, Annex 2; the others mirror them.
 PHASES = [
     [0.001708984375, 0.010986328125, -0.0196533203125, 0.033203125, -0.0594482421875, 0.1373291015625, 0.97216796875, -0.102294921875, 0.047607421875, -0.026611328125, 0.014892578125, -0.00830078125],
@@ -338,6 +357,26 @@ lags AS (SELECT p.series, p.part - m.k AS lag, sum(m * (energy - 0.005)) AS dot,
 corr AS (SELECT series, lag, CASE WHEN e > 0 THEN dot / sqrt((SELECT sum(m * m) FROM marker) * e) ELSE 0 END AS c FROM lags)"""
 
 
+_TWO = """chirp AS (SELECT k, sin(k * k / 3.0::DOUBLE) AS m FROM (SELECT unnest(range(9)) AS k)),
+rec AS (SELECT user_id AS series, unnest(range(60)) AS n, user_id % 7 AS d, user_id % 11 = 0 AS late, user_id % 13 = 0 AS noisy FROM (SELECT DISTINCT user_id FROM pts)),
+snd AS (SELECT r.series, r.n, coalesce(a.m, 0) + coalesce(b.m, 0) + CASE WHEN noisy THEN ((r.n * 37) % 11 - 5) / 4.0::DOUBLE ELSE 0 END AS x FROM rec r LEFT JOIN chirp a ON r.n = a.k + 5 + d LEFT JOIN chirp b ON r.n = b.k + 30 + d + CASE WHEN late THEN 4 ELSE 0 END),
+fit2 AS (SELECT series, pl, n - k - pl AS lag, sum(m * x) AS dot, sum(x * x) AS e FROM snd, chirp, (VALUES (5), (30)) AS p(pl) WHERE n - k - pl BETWEEN -3 AND 14 AND n >= k GROUP BY ALL),
+best2 AS (SELECT series, pl, max_by(lag, (c, -lag)) AS lag, max(c) AS c FROM (SELECT series, pl, lag, CASE WHEN e > 0 THEN dot / sqrt((SELECT sum(m * m) FROM chirp) * e) ELSE 0 END AS c FROM fit2) GROUP BY series, pl),
+both2 AS (SELECT series, min(c) AS c, max(lag) - min(lag) AS apart, min_by(lag, pl) AS lag FROM best2 GROUP BY series)"""
+
+
+@query("d22_marker_delay", "SELECT series, CASE WHEN c >= 0.9 AND apart <= 1 THEN lag END::INTEGER AS delay, round(c, 7) AS correlation, CASE WHEN c < 0.9 THEN 'marker_not_found' WHEN apart > 1 THEN 'delay_inconsistent' END AS refusal FROM both2", (POINTS, _TWO))
+def d22_delay(spark: SparkSession, d: str) -> DataFrame:
+    """Two markers in a recording of each user, which comes back later by the user's number; some recordings stretch, some are noisy."""
+    marker = spark.range(9).select(F.col("id").cast("int").alias("k"), F.sin(F.col("id") * F.col("id") / 3.0).alias("m"))
+    u = points(spark, d).select("user_id").distinct().select(F.col("user_id").alias("series"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("n"))
+    late, delay = F.when(F.col("series") % 11 == 0, 4).otherwise(0), F.col("series") % 7
+    chirp = lambda at: F.when(at.between(0, 8), F.sin(at * at / 3.0)).otherwise(0.0)
+    noise = F.when(F.col("series") % 13 == 0, ((F.col("n") * 37) % 11 - 5) / 4.0).otherwise(0.0)
+    rows = u.select("series", "n", (chirp(F.col("n") - 5 - delay) + chirp(F.col("n") - 30 - delay - late) + noise).alias("x"))
+    return delays(rows, marker, ["series"], [5, 30], -3, 14).select("series", "delay", F.round("correlation", 7).alias("correlation"), "refusal")
+
+
 @query("d22_best_lag", "SELECT series, max_by(lag, (c, -lag))::INTEGER AS lag, round(max(c), 9) AS correlation FROM corr GROUP BY series", (POINTS, PARTS, _LAG))
 def d22(spark: SparkSession, d: str) -> DataFrame:
     """Where a marker of twelve parts fits best in the first parts of each series."""
