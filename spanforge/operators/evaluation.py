@@ -17,31 +17,38 @@ from .textsearch import fold, tokens
 
 
 def alignment(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
-    """(substitutions, deletions, insertions, hits) of the least edits; of equal ways back the diagonal, then a deletion."""
+    """(substitutions, deletions, insertions, hits) of the least edits; of equal ways back the diagonal, then a deletion.
+
+    Each place of a row takes over the counts of the place that its way back leads to, so one row of counts is held and
+    no way is walked back; a run of insertions takes them from the place before it."""
     n, m = len(ref), len(hyp)
     ids = {w: k for k, w in enumerate(dict.fromkeys([*ref, *hyp]))}
     h = np.array([ids[w] for w in hyp], np.int64)
     ramp = np.arange(m + 1)
-    d = ramp.astype(np.int32)
-    # of each place the way back only, a byte: 0 diagonal, 1 deletion, 2 insertion
-    back = np.full((n + 1, m + 1), 2, np.uint8)
-    back[1:, 0] = 1
+    d, counts = ramp.copy(), ramp.copy()  # counts of a place in one number: 21 bits each for substitutions, deletions, insertions
+    row, source, taken, steps = np.empty_like(d), np.zeros_like(d), np.empty_like(d), ramp[1:]
+    costs: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for i, w in enumerate(ref, 1):
-        diagonal, down = d[:-1] + (h != ids[w]), d[1:] + 1
-        d = (np.minimum.accumulate(np.concatenate([[i], np.minimum(diagonal, down)]) - ramp) + ramp).astype(np.int32)
-        back[i, 1:] = np.where(d[1:] == diagonal, 0, np.where(d[1:] == down, 1, 2))
-    i, j, sub, dele, ins, hit = n, m, 0, 0, 0, 0
-    while i or j:
-        way = back[i, j]
-        if way == 0:
-            same = ref[i - 1] == hyp[j - 1]
-            sub, hit = sub + (not same), hit + same
-            i, j = i - 1, j - 1
-        elif way == 1:
-            dele, i = dele + 1, i - 1
-        else:
-            ins, j = ins + 1, j - 1
-    return sub, dele, ins, hit
+        if w not in costs:
+            other = (h != ids[w]).astype(np.int64)
+            costs[w] = other, other << 42
+        other, substituted = costs[w]
+        diagonal = d[:-1] + other
+        best = np.minimum(diagonal, d[1:] + 1)
+        row[0], taken[0] = i, i << 21
+        np.subtract(best, steps, out=row[1:])
+        np.minimum.accumulate(row, out=row)
+        row += ramp
+        np.multiply(row[1:] == best, steps, out=source[1:])
+        np.maximum.accumulate(source, out=source)
+        taken[1:] = np.where(best == diagonal, counts[:-1] + substituted, counts[1:] + (1 << 21))
+        d, row = row, d
+        counts = taken.take(source)
+        counts += ramp
+        counts -= source
+    last = int(counts[-1])
+    sub, dele, ins = last >> 42, last >> 21 & 0x1FFFFF, last & 0x1FFFFF
+    return sub, dele, ins, n - sub - dele
 
 
 def aligned(pairs: DataFrame, keys: list[str]) -> DataFrame:
