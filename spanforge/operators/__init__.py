@@ -1,3 +1,3 @@
 """Operators as DataFrame transforms; importing this package registers their queries."""
 
-from . import cues, documents, dynamics, edits, evaluation, interval_queries, ledger, pictures, replay, search, segments, signal, textsearch  # noqa: F401
+from . import cues, documents, dynamics, edits, evaluation, interval_queries, ledger, mixing, pictures, replay, search, segments, signal, textsearch  # noqa: F401
