@@ -35,6 +35,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated chunks of runs under LEAST_RUN bytes stay, as short runs are chance more often than copies; the exact way, which
+    takes them all out, is deduplicated_text(docs, least_run=0)."""
     return deduplicated_text(table(spark, sf_dir, "documents")).drop("text")
 
 
