@@ -230,7 +230,13 @@ def i24(spark: SparkSession, d: str) -> DataFrame:
     return ranges(spark, d, "view").select("user_id", "id", F.when(out, F.col("start_us")).otherwise(F.col("start_us") - 86_400_000_000).alias("start_us"))
 
 
-@query("i25_ordered_admission")
+_NEXT = f"CASE WHEN o.end_us - o.start_us < {HOUR} THEN 'too_short' WHEN o.start_us < st.last_end THEN 'overlap' WHEN st.k >= 8 THEN 'limit' ELSE 'accepted' END"
+
+
+@query("i25_ordered_admission", f"""WITH RECURSIVE {POINTS}, {ranges_sql("rv", "view")}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_us, id) AS n FROM rv),
+st AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BIGINT AS last_end, 0 AS k, NULL::VARCHAR AS verdict FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT o.user_id, o.n, o.id, CASE WHEN {_NEXT} = 'accepted' THEN o.end_us ELSE st.last_end END, st.k + ({_NEXT} = 'accepted')::INTEGER, {_NEXT} FROM st JOIN o ON o.user_id = st.user_id AND o.n = st.n + 1)
+SELECT user_id, id, verdict FROM st WHERE n > 0""")
 def i25(spark: SparkSession, d: str) -> DataFrame:
     return I.accepted_in_order(ranges(spark, d, "view"), ["user_id"], 8, HOUR)
 

@@ -223,7 +223,15 @@ def d1(spark: SparkSession, d: str) -> DataFrame:
     return framed(rows, ["kind"], "us", "x", DAY // 48).select("kind", "frame", F.round("db", 6).alias("db"))
 
 
-@query("d3_weighted_energy")
+_STAGES = [(*b, *a) for b, a in k_filter(48_000)]
+_Y1 = f"({_STAGES[0][0]!r} * p.energy + f.s1)"
+_Y2 = f"({_STAGES[1][0]!r} * {_Y1} + f.s2)"
+_AFTER = ", ".join(f"{b1!r} * {x} - {a1!r} * {y} + f.t{k}, {b2!r} * {x} - {a2!r} * {y}" for k, ((_, b1, b2, a1, a2), x, y) in enumerate(zip(_STAGES, ("p.energy", _Y1), (_Y1, _Y2), strict=True), 1))
+
+
+@query("d3_weighted_energy", f"""WITH RECURSIVE {POINTS}, {PARTS}, f AS (SELECT series, -1 AS part, 0.0::DOUBLE AS y, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS t1, 0.0::DOUBLE AS s2, 0.0::DOUBLE AS t2 FROM (SELECT DISTINCT series FROM parts)
+  UNION ALL SELECT p.series, p.part, {_Y2}, {_AFTER} FROM f JOIN parts p ON p.series = f.series AND p.part = f.part + 1)
+SELECT series, round(sum(y * y), 9) AS energy FROM f WHERE part >= 0 GROUP BY series""")
 def d3(spark: SparkSession, d: str) -> DataFrame:
     """Energy of each series after the K filter, its parts standing for samples at 48 kHz."""
     y = filtered(parts(spark, d), ["series"], "part", "energy", k_filter(48_000))
@@ -277,7 +285,14 @@ def d10(spark: SparkSession, d: str) -> DataFrame:
     return parts(spark, d).select("series", "part", F.round(F.least(F.lit(4.0), 0.01 / F.greatest(peak, F.lit(0.000001))), 6).alias("gain"))
 
 
-@query("d12_rate_bound")
+_WITHIN, _OVER = int((1 + 1e-6 + 2 / 3_600_000_000) * 3_600_000_000), 0.2 * (1e-6 + 2 / 3_600_000_000) + 1 + 1e-9
+_TICKS = """nth AS (SELECT user_id, us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM pts),
+tick AS (SELECT *, us - lag(us) OVER (PARTITION BY user_id ORDER BY nth) AS step, 0.2::DOUBLE * us / 3600000000 - nth AS key FROM nth),
+span AS (SELECT user_id, min(step) AS least_step, count(*) AS n, (max(us) - min(us)) / 3600000000.0::DOUBLE AS span FROM tick GROUP BY user_id)"""
+
+
+@query("d12_rate_bound", f"""SELECT user_id, CASE WHEN least_step <= 0 THEN 'timing' WHEN n > 1 AND (n - 1) / greatest(span, 1e-12::DOUBLE) > 0.2::DOUBLE * 1.01::DOUBLE
+  OR user_id IN (SELECT a.user_id FROM tick a JOIN tick b ON a.user_id = b.user_id AND b.us BETWEEN a.us - {_WITHIN} AND a.us AND b.key - a.key > {_OVER!r}) THEN 'fps' ELSE 'ok' END AS verdict FROM span""", (POINTS, _TICKS))
 def d12(spark: SparkSession, d: str) -> DataFrame:
     """Whether each user's events come at up to one in six hours, an hour of theirs standing for a second."""
     return within_rate(points(spark, d).select("user_id", "event_id", "us"), ["user_id"], "us", 0.2, 3_600_000_000)
