@@ -21,7 +21,7 @@ LEAST_DOCS, BEST = 30, 50
 #: Different terms of a language, and entries (document, term), that a task counts before it sends its tries.
 TERMS, HELD = 400_000, 3_000_000
 #: Bytes of a prefix whose terms travel and merge together. A prefix with more leaves is cut at twice the length.
-PREFIX, LEAVES = 3, 50_000
+PREFIX, LEAVES = 4, 150_000
 #: Terms that are compared at a time; sources of a language that are compared with each other at a time.
 SLICE, BLOCK = 2000, 256
 _TABLE = table_of(LOWER)
