@@ -25,7 +25,7 @@ SPOKEN = ["(y)IcAm", "(y)IcAn", "(y)IcAz", "cAm", "cAn", "cAz", "(y)Iyo", "(y)Iy
 WISH = ["sIn", "sInlAr", "(y)In", "(y)InIz", "(y)AyIm", "(y)AlIm", "sAnA", "(y)Am"]
 LINKING = ["mAk", "mAdAn", "(y)Ip", "(y)ArAk", "(y)IncA"]
 PARTICIPLE, AGENT, NOUN = ["DIK"], ["(y)An"], ["mA"]
-#: The longest ending; endings of English words; what a last letter softens to before a vowel.
+# The longest ending; endings of English words; what a last letter softens to before a vowel.
 LONGEST, ENGLISH = 14, ["s", "es", "ed", "d", "ing", "er"]
 SOFTENED = {"k": "g", "p": "b", "t": "d"}
 _CLASSES = {"A": "ae", "I": "iu", "D": "dt", "K": "kg", "V": "aeiu", "B": "yn"}
@@ -148,5 +148,5 @@ def surfaces(word: str) -> list[tuple[str, str]]:
     return out
 
 
-#: What the letters after a word have to look like, by need.
+# What the letters after a word have to look like, by need.
 NEEDS = {"any": "", "vowel": "^[aeiou]", "narrow": "^[iu](yo|c[ae])"}
