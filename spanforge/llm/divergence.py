@@ -20,8 +20,9 @@ from .terms import LOWER, UPPER, table_of, terms_of
 LEAST_DOCS, BEST = 30, 50
 #: Different terms of a language, and entries (document, term), that a task counts before it sends its tries.
 TERMS, HELD = 400_000, 3_000_000
-#: Bytes of a prefix whose terms travel and merge together. A prefix with more leaves is cut at twice the length.
-PREFIX, LEAVES = 4, 150_000
+#: Bytes of a prefix whose terms merge together. A prefix with more leaves is cut at twice the length. Leaves of a row that
+#: travels at most, so that ranges of as many rows are alike in bytes.
+PREFIX, LEAVES, PIECE = 3, 200_000, 500
 #: Terms that are compared at a time; sources of a language that are compared with each other at a time.
 SLICE, BLOCK = 2000, 256
 _TABLE = table_of(LOWER)
@@ -76,9 +77,10 @@ class Trie:
         return cls.of(list(sources), list(terms), np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64), least)
 
     def cut(self, depth: int) -> Iterator[tuple[bytes, Trie]]:
-        """Tries of the terms that share their first depth bytes."""
+        """Tries of terms that share their first depth bytes, of PIECE terms at most."""
         heads = [t[:depth] for t in self.terms]
         edges = [0, *(k for k in range(1, len(heads)) if heads[k] != heads[k - 1]), len(heads)] if heads else [0]
+        edges = [k for a, b in itertools.pairwise(edges) for k in range(a, b, PIECE)] + edges[-1:]
         for a, b in itertools.pairwise(edges):
             i, j = self.begin[a], self.begin[b]
             named, source = np.unique(self.source[i:j], return_inverse=True)
