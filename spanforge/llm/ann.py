@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by cosine: lists, score-aware 4-bit product codes, table scans, exact reranking."""
+"""Nearest neighbours by cosine: lists, score-aware 4-bit product codes, table scans, exact reranking of all that bounds leave."""
 
 from __future__ import annotations
 
@@ -16,14 +16,16 @@ from .common import prepare, stage, trimmed, width
 #: Vectors that centroids and codebooks are fitted on at most; every vector is indexed.
 MAX_SAMPLE = 20_000
 MAX_LISTS = 1024
-#: Part of the lists that a query looks into, and the least number of vectors in them.
-PROBED, LEAST = 0.7, 400
+#: Numbers of the sample that queries are held against first, for a floor under their results.
+FLOOR_NUMBERS = 2_000_000
 #: Dimensions of a subspace and codes of its book (4 bits).
 SUB, CODES = 2, 16
 #: Cosine from which errors along a vector are made to matter more than errors across it.
 AIM = 0.3
-#: Vectors and queries of one scan, and how many of a scan's vectors, best by their codes, are scored exactly.
+#: Vectors of one scan, and how many of them, best by their codes, are scored exactly before bounds decide on the rest.
 CHUNK, RERANKED = 8192, 100
+#: More than single precision adds to a score of codes or to a bound.
+ROUNDING = 1e-5
 
 
 @dataclass
@@ -42,6 +44,11 @@ class Index:
         """Codes that lessen |r|^2 + (weight - 1) (r . x)^2 of the error r of each x, one subspace after another."""
         return _assign(_split(unit), _split(self.centroids[lists]), self.books, self.weight, rounds)
 
+    def errors(self, unit: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far each vector is from what its list and codes say: no score of codes is off by more."""
+        said = self.books[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)[:, : unit.shape[1]]
+        return np.linalg.norm(unit - self.centroids[lists] - said, axis=1)
+
 
 def _split(x: np.ndarray) -> np.ndarray:
     short = -x.shape[1] % SUB
@@ -154,7 +161,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     Rows that agree in their vector are one entry of the index, standing for its k + 1 smallest vec_ids: no other of
     them can be among the k nearest. Equal queries are searched once. Lists are cut into blocks of a bounded size, so
     a list with a third of all vectors is scanned by many tasks; a vector goes to its block once, and the queries that look
-    into a block stream past it. Components may be of any numeric type. Rows of another length than most in the sample take
+    into a block stream past it. Nothing near is missed: a query leaves out a list only if no vector at the list's greatest
+    angle could reach the floor that the sample gives, and a vector only if its score by codes and their error can't
+    reach the k + 1 best found, so all others are scored exactly. Components may be of any numeric type. Rows of another length than most in the sample take
     no part, like those without a vec_id, null, zero or with null or non-finite components. A vec_id that repeats is
     one candidate for each different vector; a query never finds its own vec_id, but other vectors of that id take places
     among the k + 1 looked for, so it may find fewer. An empty table gives no rows.
@@ -180,56 +189,60 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 u = _unit(_matrix(b.column("embedding")))
                 at = index.lists(u)
                 codes = index.encode(u, at)
+                near, off = (u * index.centroids[at]).sum(1), index.errors(u, at, codes)
                 packed = [c.tobytes() for c in codes[:, ::2] | np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))[:, 1::2] << 4]
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column("vec_id"), pa.array(packed, pa.binary()), b.column("embedding")], names=["list", "vec_id", "codes", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column("vec_id"), pa.array(packed, pa.binary()), pa.array(off), pa.array(near), b.column("embedding")], names=["list", "vec_id", "codes", "bound", "near", "embedding"])
 
-    entries = stage(few.mapInArrow(coded, f"list int, vec_id long, codes binary, embedding {kind}"))
-    counts = np.zeros(lists, np.int64)  # one number per list, of which there are MAX_LISTS at most
-    for r in entries.groupBy("list").count().collect():
-        counts[r["list"]] = r["count"]
+    entries = stage(few.mapInArrow(coded, f"list int, vec_id long, codes binary, bound double, near double, embedding {kind}"))
+    counts, widest = np.zeros(lists, np.int64), np.zeros(lists)  # two numbers per list, of which there are MAX_LISTS at most
+    for r in entries.groupBy("list").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect():
+        counts[r["list"]], widest[r["list"]] = r["n"], np.arccos(np.clip(r["near"], -1, 1))
     first, parts = blocks_of(counts)
 
     asked = rows.where(F.col("vec_id") % every == 0)
-    probes = max(1, int(np.ceil(lists * PROBED)))
+    known = unit[: max(k + 1, FLOOR_NUMBERS // dim)].astype(np.float32)
 
     def probed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each block that a query looks into, with the lists it looks into there."""
+        """A row for each block that a query looks into, with the lists it looks into there and the least score it needs."""
         for b in it:
             if not b.num_rows:
                 continue
-            order = np.argsort(-(_unit(_matrix(b.column("embedding"))) @ index.centroids.T), axis=1, kind="stable")
-            enough = np.cumsum(counts[order], axis=1) - counts[order] < LEAST
-            enough[:, :probes] = True
-            row, col = np.nonzero(enough & (counts[order] > 0))
-            own = order[row, col]
+            q = _unit(_matrix(b.column("embedding")))
+            floor = np.partition(q.astype(np.float32) @ known.T, -k - 1, axis=1)[:, -k - 1] - ROUNDING if len(known) > k else np.full(len(q), -1.0)
+            reach = np.cos(np.maximum(0, np.arccos(np.clip(q @ index.centroids.T, -1, 1)) - widest))
+            row, own = np.nonzero((reach >= floor[:, None] - ROUNDING) & (counts > 0))
             n = parts[own]
             row, own, block = np.repeat(row, n), np.repeat(own, n), np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
             sort = np.lexsort((own, block, row))
             row, own, block = row[sort], own[sort], block[sort]
             new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])))
             looked = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(own.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(block[new].astype(np.int32)), b.column("query").take(pa.array(row[new])), b.column("embedding").take(pa.array(row[new])), looked], names=["block", "query", "embedding", "lists"])
+            yield pa.RecordBatch.from_arrays([pa.array(block[new].astype(np.int32)), b.column("query").take(pa.array(row[new])), b.column("embedding").take(pa.array(row[new])), looked, pa.array(floor[row[new]].astype(np.float64))], names=["block", "query", "embedding", "lists", "bound"])
 
     different = stage(asked.groupBy("embedding").agg(F.min("vec_id").alias("query")))
-    wanted = different.mapInArrow(probed, f"block int, query long, embedding {kind}, lists array<int>")
+    wanted = different.mapInArrow(probed, f"block int, query long, embedding {kind}, lists array<int>, bound double")
     first_, parts_ = (F.array(*(F.lit(int(x)) for x in xs)) for xs in (first, parts))
     place = F.col("list") + 1
     block = F.element_at(first_, place) + F.pmod(F.xxhash64("vec_id"), F.element_at(parts_, place)).cast("int")
-    left = entries.select(block.alias("block"), F.lit(0).alias("role"), "list", "vec_id", "codes", "embedding", F.lit(None).cast("array<int>").alias("lists"))
-    right = wanted.select("block", F.lit(1).alias("role"), F.lit(None).cast("int").alias("list"), F.col("query").alias("vec_id"), F.lit(None).cast("binary").alias("codes"), "embedding", "lists")
+    left = entries.select(block.alias("block"), F.lit(0).alias("role"), "list", "vec_id", "codes", "bound", "embedding", F.lit(None).cast("array<int>").alias("lists"))
+    right = wanted.select("block", F.lit(1).alias("role"), F.lit(None).cast("int").alias("list"), F.col("query").alias("vec_id"), F.lit(None).cast("binary").alias("codes"), "bound", "embedding", "lists")
 
     def searched(block: tuple, queries: pa.RecordBatch) -> pa.RecordBatch:
-        ids, x, at, codes = block
+        ids, x, own, at, codes, off = block
         out: dict[str, list] = {"query": [], "vec_id": [], "score": []}
-        q, looked = _matrix(queries.column("embedding")), queries.column("lists").to_pylist()
+        q, looked, floors = _matrix(queries.column("embedding")), queries.column("lists").to_pylist(), queries.column("bound").to_numpy()
         for k0 in range(0, len(q), 128):
             part, looks = q[k0 : k0 + 128], np.zeros((len(q[k0 : k0 + 128]), lists), bool)
             for i, ls in enumerate(looked[k0 : k0 + 128]):
                 looks[i, ls] = True
             near = scan(index, at, codes, part, looks)
             tops = np.argpartition(-near, RERANKED - 1, axis=1)[:, :RERANKED] if len(ids) > RERANKED else np.tile(np.arange(len(ids)), (len(part), 1))
-            for one, query, top, score in zip(part, queries.column("vec_id")[k0 : k0 + 128].to_pylist(), tops, near, strict=True):
-                top = np.sort(top[score[top] > -np.inf])
+            for one, unit, query, top, score, floor in zip(part, _unit(part), queries.column("vec_id")[k0 : k0 + 128].to_pylist(), tops, near, floors[k0 : k0 + 128], strict=True):
+                first = own[top[score[top] > -np.inf]] @ unit
+                if len(first) > k:
+                    floor = max(floor, np.partition(first, -k - 1)[-k - 1])
+                top = np.flatnonzero(score + off >= floor - ROUNDING)
+                top = top[own[top] @ unit >= floor - ROUNDING]
                 score = cosines(one, x[top])
                 best = np.lexsort((ids[top], -score))[: k + 1]
                 out["query"] += [query] * len(best)
@@ -254,7 +267,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                         own = pa.Table.from_batches(held)
                         packed = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(own.num_rows, -1)
                         codes = np.stack([packed & 15, packed >> 4], 2).reshape(own.num_rows, -1)[:, : len(index.books)]
-                        ready = own.column("vec_id").to_numpy(), _matrix(own.column("embedding").combine_chunks()), own.column("list").to_numpy(), codes
+                        x = _matrix(own.column("embedding").combine_chunks())
+                        ready = own.column("vec_id").to_numpy(), x, _unit(x), own.column("list").to_numpy(), codes, own.column("bound").to_numpy()
                     yield searched(ready, part)
 
     met = left.unionByName(right).repartition(width(spark), "block").sortWithinPartitions("block", "role", "list", "vec_id")

@@ -624,6 +624,19 @@ def test_recall_over_a_whole_table(spark):
     assert hits >= 0.93 * 5 * len(got) and len(got) == (ids % 4 == 0).sum()
 
 
+def test_nearest_in_tight_clusters(spark):
+    """Hundreds of vectors whose codes hardly differ: codes alone can't tell which are nearest."""
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(6, 16))[rng.integers(0, 6, 2400)] + 0.02 * rng.normal(size=(2400, 16))).astype(np.float32)
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.rank): r.vec_id for r in ann.nearest(df).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for q in range(0, 2400, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        assert [got[q, r] for r in range(1, 6)] == np.argsort(-s, kind="stable")[:5].tolist(), q
+
+
 def test_nearest_with_clashing_columns_and_repeated_ids(spark):
     x = np.random.default_rng(4).normal(size=(120, 6)).astype(np.float32)
     data = [(k % 110, [float(v) for v in row], "x", "y", "z") for k, row in enumerate(x)]
