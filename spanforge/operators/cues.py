@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,18 +20,29 @@ ENDS, HALF_ENDS = ".?!", ",;:"
 #: seen for less than SHORTEST_US, and a sentence that ends inside.
 EACH, UNUSED, TORN, HALF, BRIEF, INSIDE = 1.0, 1.0, 1.0, 0.25, 1.5, 0.5
 
+#: What a caption of so many characters costs for itself and its unused room.
+_ROOM = [EACH + UNUSED * max(0.0, 1 - n / (2 * LINE)) ** 2 for n in range(2 * LINE + 1)]
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), in which the value is worked out once however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
 
 def two_lines(words: Column, line: int = LINE) -> Column:
     """The words as one line, or as the two that differ least in length (an end of a part before the break is worth
     PART_END), the earlier break of equals; null where there is no room. Functions of Spark only."""
-    whole = F.array_join(words, " ")
-    left = lambda k: F.array_join(F.slice(words, F.lit(1), k), " ")
-    right = lambda k: F.array_join(F.slice(words, k + 1, F.size(words)), " ")
-    breaks = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 1)), lambda k: (k < F.size(words)) & (F.char_length(left(k)) <= line) & (F.char_length(right(k)) <= line))
     bonus = lambda a: F.when(F.right(a, F.lit(1)).isin(*ENDS, *HALF_ENDS), PART_END).otherwise(0)
-    scored = F.transform(breaks, lambda k: F.struct((F.abs(F.char_length(left(k)) - F.char_length(right(k))) - bonus(left(k))).alias("score"), k.alias("k")))
-    k = F.array_min(scored)["k"]
-    return F.when(F.char_length(whole) <= line, whole).when(k.isNotNull(), F.concat(left(k), F.lit("\n"), right(k)))
+
+    def broken(ws: Column, whole: Column) -> Column:
+        size, left = F.char_length(whole), lambda b: F.char_length(b["a"])
+        lefts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - 1)), lambda k: F.struct(F.array_join(F.slice(ws, F.lit(1), k), " ").alias("a"), k.alias("k")))
+        breaks = F.filter(lefts, lambda b: (b["k"] < F.size(ws)) & (left(b) <= line) & (size - left(b) - 1 <= line))
+        scored = F.transform(breaks, lambda b: F.struct((F.abs(2 * left(b) + 1 - size) - bonus(b["a"])).alias("score"), b["k"].alias("k"), b["a"].alias("a")))
+        rest = lambda b: F.array_join(F.slice(ws, b["k"] + 1, F.size(ws)), " ")
+        return _once(F.array_min(scored), lambda b: F.when(b.isNotNull(), F.concat(b["a"], F.lit("\n"), rest(b))))
+
+    return _once(F.array_compact(words), lambda ws: _once(F.array_join(ws, " "), lambda whole: F.when(F.char_length(whole) <= line, whole).otherwise(broken(ws, whole))))
 
 
 def roomy(lengths: list[int], line: int = LINE) -> bool:
@@ -62,19 +74,41 @@ def cost_of(words: list[tuple[int, int, str]], last: bool) -> float:
 
 def segmentation(words: list[tuple[int, int, str]]) -> list[int]:
     """Ends of the captions (words before each break) of least total cost; of equals the one with the later last breaks.
-    The best way to break the words before each place is found once, from the places before it that are in reach."""
-    best, back = [0.0], [0]
-    for j in range(1, len(words) + 1):
-        least, at = float("inf"), j - 1
-        for i in range(j - 1, -1, -1):
-            c = cost_of(words[i:j], j == len(words))
-            if c == float("inf"):
+    The best way to break the words before each place is found once, from the places before it that are in reach. Costs
+    are cost_of's, from sums over the words before each place, so that each takes the same time however long a caption is."""
+    count, starts, stops = len(words), [w[0] for w in words], [w[1] for w in words]
+    sums, ended, torn = [0], [0], []
+    for *_, w in words:
+        sums.append(sums[-1] + len(w) + 1)
+        ended.append(ended[-1] + (w[-1:] in ENDS))
+        torn.append(0.0 if w[-1:] in ENDS else HALF if w[-1:] in HALF_ENDS else TORN)
+    if count:
+        torn[-1] = 0.0
+    full, m = [], 0  # where a line ends that begins at each place
+    for i in range(count):
+        m = max(m, i)
+        while m < count and sums[m + 1] - sums[i] <= LINE + 1:
+            m += 1
+        full.append(m)
+    full.append(count)
+    best, back, low = [0.0], [0], 0
+    for j in range(1, count + 1):
+        last, stop, chars, inside, own = j - 1, stops[j - 1], sums[j] - 1, ended[j - 1], torn[j - 1]
+        if last and starts[last] - stops[last - 1] >= PAUSE_US:
+            low = last
+        while low < last and full[full[low]] < j:
+            low += 1
+        least, at = float("inf"), last
+        for i in range(last, low - 1, -1):
+            span = stop - starts[i]
+            if span > LONGEST_US and i < last:
                 break
-            if best[i] + c < least - 1e-12:
-                least, at = best[i] + c, i
+            c = best[i] + (_ROOM[min(chars - sums[i], 2 * LINE)] + own + BRIEF * (span < SHORTEST_US) + INSIDE * (inside - ended[i]))
+            if c < least - 1e-12:
+                least, at = c, i
         best.append(least)
         back.append(at)
-    out, j = [], len(words)
+    out, j = [], count
     while j:
         out.append(j)
         j = back[j]
@@ -92,8 +126,11 @@ def segmented(words: DataFrame, by: list[str], segment: str, end_us: str) -> Dat
     def broken(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             row, n, low, high, own = [], [], [], [], []
-            for r, (ws, limit) in enumerate(zip(b.column("_words").to_pylist(), b.column("_limit").to_pylist(), strict=True)):
-                timed = [(w["start_us"], w["stop_us"], w["word"]) for w in ws]
+            held = b.column("_words")
+            fields = [held.flatten().field(f).to_pylist() for f in ("start_us", "stop_us", "word")]
+            offsets = (held.offsets.to_numpy() - held.offsets[0].as_py()).tolist()
+            for r, ((x, y), limit) in enumerate(zip(itertools.pairwise(offsets), b.column("_limit").to_pylist(), strict=True)):
+                timed = list(zip(*(f[x:y] for f in fields), strict=True))
                 ends = segmentation(timed)
                 for k, (i, j) in enumerate(zip([0, *ends], ends, strict=False)):
                     nxt = timed[j][0] if j < len(timed) else limit

@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -283,6 +284,47 @@ def test_captions_have_the_least_cost():
     assert cues.segmentation([]) == []
 
 
+def old_segmentation(words):
+    """Straight from cost_of."""
+    best, back = [0.0], [0]
+    for j in range(1, len(words) + 1):
+        least, at = float("inf"), j - 1
+        for i in range(j - 1, -1, -1):
+            c = cues.cost_of(words[i:j], j == len(words))
+            if c == float("inf"):
+                break
+            if best[i] + c < least - 1e-12:
+                least, at = best[i] + c, i
+        best.append(least)
+        back.append(at)
+    out, j = [], len(words)
+    while j:
+        out.append(j)
+        j = back[j]
+    return out[::-1]
+
+
+def test_captions_of_long_segments_break_where_their_costs_say():
+    """Segments of every kind of word as by cost_of, and work that doesn't grow with the words of a caption."""
+    rng = random.Random(12)
+    for _ in range(40):
+        at, words = 0, []
+        for _ in range(rng.randrange(1, 120)):
+            at += rng.choice([0, 0, 0, 10_000, 300_000, 499_999, 500_000])
+            w = "v" * rng.choice([0, 1, 1, 2, 5, 9, 20, 31, 32, 33, 70]) + rng.choice(["", "", ",", ".", "?"])
+            words.append((at, at + rng.choice([0, len(w) * 60_000, 2_000_000]), w))
+            at = rng.choice([at, words[-1][1]])
+        assert cues.segmentation(words) == old_segmentation(words)
+    words = [(k * 60_000, k * 60_000 + 60_000, "v") for k in range(20_000)]
+    began = time.process_time()
+    cues.segmentation(words[:2_000])
+    few = time.process_time() - began
+    began = time.process_time()
+    old_segmentation(words[:2_000])
+    assert few * 4 < time.process_time() - began
+    assert cues.segmentation(words)[-1] == 20_000
+
+
 def test_captions_keep_words_and_their_room(spark):
     rows = [(g, s, k, (s * 40 + k) * 300_000, (s * 40 + k) * 300_000 + 250_000, w, 99_000_000) for g in range(2) for s in range(2) for k, w in enumerate("zorb velt. quan dripple, mox yarrowin tesk fulm grandivor? ulp".split())]
     got = cues.segmented(spark.createDataFrame(rows, "g int, s int, place int, start_us long, stop_us long, word string, end long"), ["g"], "s", "end").orderBy("g", "s", "n").collect()
