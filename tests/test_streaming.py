@@ -47,3 +47,30 @@ def test_sessions_of_a_stream_are_those_of_batch(spark, tmp_path):
             open_[u] = [kind, us, e, 1, e]
     assert sorted(tuple(r) for r in spark.table("own_sessions").collect()) == sorted(want)
     spark.sql("DROP VIEW IF EXISTS own_sessions")
+
+
+def test_users_that_share_a_state_keep_their_own_sessions(spark, tmp_path):
+    """Forty users and nobody's rows in three states: one call of Python for a state and micro-batch, not for a user."""
+    rng, rows, at = random.Random(3), [], 0
+    for _ in range(600):
+        at += rng.choice([1, 2, 9])
+        rows.append((rng.choice([None, *range(-5, 35)]), rng.choice("aab"), at, at + rng.choice([0, 3, 30, 60])))
+    for k in range(3):
+        part = spark.createDataFrame(rows[k * 200 : k * 200 + 200], "user_id long, kind string, us long, e long").withColumn("ts", F.timestamp_micros(F.col("us") * 1000))
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema(part.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with keyed_state(spark):
+        got = gap_sessions(stream, 50, "1 hour", buckets=3)
+        q = got.writeStream.format("memory").queryName("shared_sessions").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    want, open_ = [], {}
+    for u, kind, us, e in rows:
+        s = open_.get(u)
+        if s and s[0] == kind and us - s[4] <= 50:
+            open_[u] = [kind, s[1], max(s[2], e), s[3] + 1, e]
+        else:
+            if s:
+                want.append((u, *s[:4]))
+            open_[u] = [kind, us, e, 1, e]
+    assert sorted((tuple(r) for r in spark.table("shared_sessions").collect()), key=str) == sorted(want, key=str)
+    spark.sql("DROP VIEW IF EXISTS shared_sessions")
